@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import exact_dedup, huffman, packing, simhash
+from lacuna.llm import decontam, exact_dedup, htmltext, huffman, langid, packing, secrets, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,40 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_simhash, op4_token_ids)}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_exact_dedup,
+        op3_simhash,
+        op4_token_ids,
+        op5_decontamination,
+        op6_language_id,
+        op7_url_filter,
+        op9_secret_scan,
+        op10_html_extraction,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -41,4 +74,18 @@ ORACLES = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op7_url_filter": r"""
+        WITH u AS (
+            SELECT page_id,
+                translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+            FROM pages),
+        rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fit AS (
+            SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+            FROM (SELECT DISTINCT page_id, host, path FROM u) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT u.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+            coalesce(verdict, CASE WHEN coalesce(host, '') = '' OR regexp_matches(host, 'casino|pills|bets|spam|porn|viagra') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN fit USING (page_id)
+    """,
 }
