@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import decontam, exact_dedup, htmltext, huffman, langid, packing, secrets, simhash, urlfilter
+from lacuna.llm import decontam, exact_dedup, htmltext, huffman, langid, lm, packing, secrets, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op5_decontamination,
         op6_language_id,
         op7_url_filter,
+        op8_lm_scoring,
         op9_secret_scan,
         op10_html_extraction,
     )
