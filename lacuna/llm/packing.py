@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lacuna.llm.rows import map_rows
-from lacuna.llm.tokens import WordEncoder
+from lacuna.llm.tokens import encoder
 from lacuna.sources.staging import discard, stage
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
 
         def each(rows):
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}

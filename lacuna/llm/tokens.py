@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,15 +15,19 @@ WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # What may follow a run of them for its end to be a split of the tokenizer as well.
 EDGE = r"(?=[\x00-@\[-`{-\x7f]|\Z)"
-#: Distinct words that one task remembers, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Distinct pieces that a worker remembers, the longest of them, and characters of texts that are split at once.
+CACHE_PIECES, CACHE_CHARS, GROUP_CHARS = 400_000, 64, 1 << 20
+#: Plain words that are encoded as one text.
+JOINED = 512
 
 
 class WordEncoder:
     """Encodes texts piecewise: the pieces end where the tokenizer itself always splits a text.
 
-    Both tokenizer kinds never merge across these places, so the joined ids equal those of the whole
-    text. Each distinct piece goes through the tokenizers library once and is then looked up.
+    The tokenizer never merges across these places, so the joined ids equal those of the whole text.
+    Each distinct piece goes through the tokenizers library once and is then looked up. Plain words
+    among the new ones go through it many at a time; the ids that can only begin (byte-level kind) or
+    only end (word-end kind) a word tell them apart again.
     """
 
     def __init__(self, path: str):
@@ -31,26 +36,61 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        keeps_space = self.tok.normalizer is None
-        word = f" ?[{LETTERS}]+{EDGE}| ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+" if keeps_space else f"[{LETTERS}]+{EDGE}|[^{WS}]+"
+        self.spaced = self.tok.normalizer is None  # the byte-level kind keeps a word's space
+        word = f" ?[{LETTERS}]+{EDGE}| ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+" if self.spaced else f"[{LETTERS}]+{EDGE}|[^{WS}]+"
         self.pieces = re.compile(word).findall
+        self.plain = re.compile(f"{' ' if self.spaced else ''}[{LETTERS}]+").fullmatch
+        vocabulary = self.tok.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.edge[[i for w, i in vocabulary.items() if (w.startswith("\u0120") if self.spaced else w.endswith("</w>"))]] = True
         self.cache: dict[str, bytes] = {}
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        out = []
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
         for text in texts:
-            pieces = self.pieces(text or "")
-            new = set(pieces).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = set(pieces)
-                words = list(new)
-                found = self.tok.encode_batch_fast(words, add_special_tokens=False)
-                self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
-            out.append(b"".join(map(self.cache.__getitem__, pieces)))
-            for word in new:
-                if len(word) > CACHE_CHARS:
-                    del self.cache[word]
-        return out
+            held.append(self.pieces(text or ""))
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                out += self._look_up(held)
+                held, size = [], 0
+        return out + self._look_up(held)
+
+    def _look_up(self, split: list[list[str]]) -> list[bytes]:
+        found = [list(map(self.cache.get, pieces)) for pieces in split]
+        gaps = [[i for i, x in enumerate(parts) if x is None] for parts in found]
+        new = list({pieces[i] for pieces, gap in zip(split, gaps, strict=True) for i in gap})
+        full = len(self.cache) + len(new) > CACHE_PIECES
+        plain = [w for w in new if self.plain(w)]
+        for at in range(0, len(plain), JOINED):
+            self._encode_words(plain[at : at + JOINED])
+        self._encode([w for w in new if w not in self.cache])
+        for pieces, parts, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                parts[i] = self.cache[pieces[i]]
+        for w in new:
+            if full or len(w) > CACHE_CHARS:
+                del self.cache[w]
+        return list(map(b"".join, found))
+
+    def _encode(self, pieces: list[str]) -> None:
+        found = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
+        self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(pieces, found, strict=True))
+
+    def _encode_words(self, words: list[str]) -> None:
+        joined = ("" if self.spaced else " ").join(words)
+        ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(self.edge[ids]) + (not self.spaced)
+        cut = np.append(cut, len(ids)) if self.spaced else np.append(0, cut)
+        if len(cut) != len(words) + 1 or cut[0] != 0 or cut[-1] != len(ids):
+            return  # left to _encode
+        raw, cut = ids.tobytes(), (4 * cut).tolist()
+        self.cache.update((w, raw[a:z]) for w, a, z in zip(words, cut, cut[1:], strict=False))
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of a file, which a reused Python worker keeps from task to task."""
+    return WordEncoder(path)
