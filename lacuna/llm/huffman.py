@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm.rows import map_rows
-from lacuna.llm.tokens import WordEncoder
+from lacuna.llm.tokens import encoder
 from lacuna.sources.staging import stage, stage_path
 
 END_ID = 0
 #: Longest code in bits: more than enough for 2^16 ids, and a decoding table of 2^18 entries.
 MAX_BITS = 18
 #: Tokens between two checkpoints, and tokens of a block.
-LANE, BLOCK = 64, 16_384
+LANE, BLOCK = 64, 1 << 16
 #: Tokens that one shard aims at.
 SHARD_TOKENS = 4_000_000
 
@@ -87,9 +87,15 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tup
         n = lengths[part]
         ends = np.cumsum(n)
         starts = ends - n
-        within = np.arange(int(ends[-1])) - np.repeat(starts, n)
-        one = (np.repeat(codes[part], n) >> (np.repeat(n, n) - 1 - within)) & 1
-        bits.append(np.packbits(one.astype(np.uint8)).tobytes())
+        # Each code as the top bits of the 64-bit window that begins at its 32-bit word; codes of one word are put together.
+        word = starts >> 5
+        window = codes[part].astype(np.uint64) << (64 - n - (starts & 31)).astype(np.uint64)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        whole = np.zeros(int(word[-1]) + 2, np.uint64)
+        whole[word[first]] = np.bitwise_or.reduceat(window, first)
+        out = whole >> np.uint64(32)
+        out[1:] |= whole[:-1] & np.uint64(0xFFFFFFFF)
+        bits.append(out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8])
         marks.append((starts[::LANE] + 8 * done).astype("<u4").tobytes())
         done += len(bits[-1])
     return b"".join(bits), b"".join(marks)
@@ -114,7 +120,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
     width = id_width(tokenizer)
 
     def make():
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
 
         def each(rows):
             ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(f"<u{width}") for x in encode(rows["text"])]
