@@ -1,3 +1,202 @@
-"""SQL of the registered queries."""
+"""SQL of the registered queries, put together from common table expressions."""
 
-ORACLES = {}
+from __future__ import annotations
+
+P = """p AS (SELECT vec_id AS node_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 1 + embedding[4]::DOUBLE AS density,
+    1 + embedding[5]::DOUBLE AS temperature, 1 + abs(embedding[6]::DOUBLE) AS mass FROM embeddings)"""
+GRID = """grid AS (SELECT iy * 24 + ix AS node_id, iy, ix, v FROM (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS iy, CAST(hour(ts) AS BIGINT) AS ix,
+    CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2))"""
+PIXELS = """grid AS (SELECT iy * 64 + ix AS node_id, iy, ix, v FROM (SELECT CAST(floor(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT) AS iy,
+    CAST(l_partkey % 64 AS BIGINT) AS ix, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2))"""
+FULL = """grid AS (SELECT t.n AS node_id, t.n // 24 AS iy, t.n % 24 AS ix, coalesce(v, 0.0) AS v FROM range(720) t(n) LEFT JOIN raw ON raw.node_id = t.n)"""
+RAW = GRID.replace("grid AS", "raw AS", 1)
+CROSS = "(VALUES (0, 1), (1, 0))"
+AHEAD = "(VALUES (0, 1), (1, -1), (1, 0), (1, 1))"
+
+
+def cells(deviations: float) -> str:
+    return f"cells AS (SELECT g.*, v <= (SELECT avg(v) - {deviations}e0 * stddev_pop(v) FROM grid) AS inn FROM grid g)"
+
+
+def edges(ahead: str = AHEAD, of: str = "grid", name: str = "e") -> str:
+    return f"{name} AS (SELECT a.node_id AS src, b.node_id AS dst FROM {of} a CROSS JOIN {ahead} s(dy, dx) JOIN {of} b ON b.iy = a.iy + s.dy AND b.ix = a.ix + s.dx)"
+
+
+def both(of: str = "e", name: str = "adj") -> str:
+    return f"{name} AS (SELECT src AS node, dst AS nbr FROM {of} UNION ALL SELECT dst, src FROM {of})"
+
+
+def reached(nodes: str, adj: str, name: str) -> str:
+    """Least node of each component: all (node, start) pairs that walks inside the set make."""
+    return f"""{name}_walk AS (SELECT node_id, node_id AS start FROM {nodes} UNION SELECT n.node_id, w.start FROM {name}_walk w JOIN {adj} ON {adj}.node = w.node_id JOIN {nodes} n ON n.node_id = {adj}.nbr),
+    {name} AS (SELECT node_id, min(start) AS component FROM {name}_walk GROUP BY 1)"""
+
+
+INNER = "inn AS (SELECT * FROM cells WHERE inn)"
+HALVES = "halves AS (SELECT node_id, iy % 7 AS group_id FROM cells WHERE inn)"
+GRID_GRAPH = ", ".join([GRID, cells(0.5), edges(), both()])
+RADIUS_E = """e AS (SELECT a.node_id AS src, b.node_id AS dst FROM p a JOIN p b ON a.node_id < b.node_id
+    AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.1e0 * 0.1e0)"""
+ISLANDS = "WITH RECURSIVE " + ", ".join([GRID, cells(0.5), INNER, edges(CROSS), both(), reached("inn", "adj", "c0")])
+LEVELS = f"""{ISLANDS}, s1 AS (SELECT node_id FROM inn WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.node = inn.node_id AND adj.nbr NOT IN (SELECT node_id FROM inn))),
+    {reached("s1", "adj", "c1")},
+    n0 AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cid FROM (SELECT DISTINCT component FROM c0)),
+    n1 AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cid FROM (SELECT DISTINCT component FROM c1)),
+    up AS (SELECT DISTINCT n0.cid AS pcid, n1.cid AS cid FROM c1 JOIN n1 USING (component) JOIN c0 ON c0.node_id = c1.node_id JOIN n0 ON n0.component = c0.component
+        WHERE (SELECT count(*) FROM n1) > 1)"""
+
+
+def binned(quantity: str) -> str:
+    """Bins, profile and log ratio of one quantity."""
+    return f"""b AS (SELECT *, sqrt(x * x + y * y) AS r FROM p),
+    lim AS (SELECT min(r) AS r0, min(z) AS z0, greatest(1, ceil((max(r) - min(r)) / 0.05e0)) AS rn, greatest(1, ceil((max(z) - min(z)) / 0.05e0)) AS zn, max(r) - min(r) AS rs, max(z) - min(z) AS zs FROM b),
+    k AS (SELECT b.*, CAST(greatest(0, least(floor((r - r0) / (rs / rn)), rn - 1)) AS BIGINT) AS r_bin, CAST(greatest(0, least(floor((z - z0) / (zs / zn)), zn - 1)) AS BIGINT) AS z_bin FROM b, lim),
+    prof AS (SELECT r_bin, z_bin, sum(mass) AS mass, sum(mass * {quantity}) / sum(mass) AS mean FROM k GROUP BY 1, 2),
+    ratio AS (SELECT node_id, ln({quantity} / mean) AS log_ratio FROM k JOIN prof USING (r_bin, z_bin))"""
+
+
+def scaled(of: str, column: str) -> str:
+    q = lambda x: f"quantile_cont({column}, {x})"
+    return f"(SELECT {q(0.5)} AS center, CASE WHEN {q(0.75)} = {q(0.25)} THEN 1.0 ELSE {q(0.75)} - {q(0.25)} END AS scale FROM {of})"
+
+
+def smooth(sigma: int, name: str) -> str:
+    """Separable Gaussian with half-sample reflection on the 30 x 24 grid."""
+    reach = 4 * sigma
+    flip = lambda i, n: f"CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN {2 * n - 1} - ({i}) ELSE {i} END"
+    return f"""{name}_k AS (SELECT d, w / (SELECT sum(exp(-0.5e0 * (d / {sigma}e0) * (d / {sigma}e0))) FROM range(-{reach}, {reach + 1}) t(d)) AS w
+        FROM (SELECT d, exp(-0.5e0 * (d / {sigma}e0) * (d / {sigma}e0)) AS w FROM range(-{reach}, {reach + 1}) t(d))),
+    {name}_x AS (SELECT f.node_id, f.iy, f.ix, sum(w * g.v) AS v FROM grid f CROSS JOIN {name}_k k JOIN grid g ON g.iy = f.iy AND g.ix = {flip("f.ix + k.d", 24)} GROUP BY 1, 2, 3),
+    {name} AS (SELECT f.node_id, any_value(o.v) / (sum(w * g.v) + 1e-10) AS v FROM {name}_x f CROSS JOIN {name}_k k JOIN {name}_x g ON g.ix = f.ix AND g.iy = {flip("f.iy + k.d", 30)}
+        JOIN grid o ON o.node_id = f.node_id GROUP BY 1)"""
+
+
+def attention(sent: str, heads: list[str], outs: list[list[str]], last: list[float]) -> str:
+    """Softmax of each head's logit over the rows of a node, weighted sums, mean of heads."""
+    logits = ", ".join(f"{e} AS e{h}" for h, e in enumerate(heads))
+    top = ", ".join(f"max(e{h}) OVER (PARTITION BY node_id) AS m{h}" for h in range(len(heads)))
+    o = []
+    for k, bias in enumerate(last):
+        total = " + ".join(f"sum(exp(e{h} - m{h}) * {outs[h][k]}) / sum(exp(e{h} - m{h}))" for h in range(len(heads)))
+        o.append(f"({total}) / {len(heads)} + {bias}e0 AS o{k}")
+    return f"t AS (SELECT *, {top} FROM (SELECT *, {logits} FROM {sent})), o AS (SELECT node_id, {', '.join(o)} FROM t GROUP BY 1)"
+
+
+def leaky(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN {x} ELSE 0.2e0 * ({x}) END)"
+
+
+MEANS = "m AS (SELECT p.node_id, p.density AS x1, p.temperature AS x2, coalesce(avg(n.density), 0.0) AS m1, coalesce(avg(n.temperature), 0.0) AS m2 FROM p LEFT JOIN adj ON adj.node = p.node_id LEFT JOIN p n ON n.node_id = adj.nbr GROUP BY 1, 2, 3)"
+SOFTMAX = f"""WITH {P}, {RADIUS_E}, {both()}, {MEANS},
+    h AS (SELECT node_id, greatest(0, ((x1 + 0.5e0 * x2 + 0.5e0 * m1 - m2 + 0.1e0) - 0.2e0) / sqrt(0.99999e0 + 1e-5) * 1.5e0) AS h1,
+        greatest(0, ((-x1 + 2 * x2 + m1 + 0.25e0 * m2 - 0.2e0) - 0.1e0) / sqrt(3.99999e0 + 1e-5) * 0.5e0 + 0.3e0) AS h2 FROM m),
+    d AS (SELECT node_id, h1 - h2 AS l0, 0.5e0 * h1 + 0.5e0 * h2 + 0.1e0 AS l1, 2 * h1 AS l2, -h1 + h2 - 0.1e0 AS l3, 0.5e0 * h1 + h2 AS r0, h1 AS r1, h2 + 0.2e0 AS r2, h1 + h2 AS r3 FROM h),
+    pairs AS (SELECT node AS node_id, nbr FROM adj UNION ALL SELECT node_id, node_id FROM p),
+    sent AS (SELECT i.node_id, j.l0, j.l1, j.l2, j.l3, j.l0 + i.r0 AS a0, j.l1 + i.r1 AS a1, j.l2 + i.r2 AS a2, j.l3 + i.r3 AS a3 FROM pairs JOIN d i USING (node_id) JOIN d j ON j.node_id = pairs.nbr),
+    {attention("sent", [f"{leaky('a0')} - 0.5e0 * {leaky('a1')}", f"0.5e0 * {leaky('a2')} + {leaky('a3')}"], [["l0", "l1"], ["l2", "l3"]], [0.25, -0.25])}
+    SELECT node_id, round(exp(o0 - greatest(o0, o1)) / (exp(o0 - greatest(o0, o1)) + exp(o1 - greatest(o0, o1))), 6) AS score FROM o"""
+SIGMOID = f"""WITH {GRID}, {edges()}, {both()},
+    m AS (SELECT g.node_id, ln(g.v) AS x, coalesce(avg(ln(n.v)), 0.0) AS m FROM grid g LEFT JOIN adj ON adj.node = g.node_id LEFT JOIN grid n ON n.node_id = adj.nbr GROUP BY 1, 2),
+    h AS (SELECT node_id, greatest(0, ((x + 0.5e0 * m + 0.1e0) - 0.2e0) / sqrt(0.99999e0 + 1e-5) * 1.5e0) AS h1, greatest(0, ((-x + m - 0.2e0) - 0.1e0) / sqrt(3.99999e0 + 1e-5) * 0.5e0 + 0.3e0) AS h2 FROM m),
+    d AS (SELECT node_id, h1 - h2 AS l0, 0.5e0 * h1 + 0.5e0 * h2 + 0.1e0 AS l1, 0.5e0 * h1 + h2 AS r0, h1 + 0.2e0 AS r1 FROM h),
+    pairs AS (SELECT node AS node_id, nbr FROM adj UNION ALL SELECT node_id, node_id FROM grid),
+    sent AS (SELECT i.node_id, j.l0, j.l1, j.l0 + i.r0 AS a0, j.l1 + i.r1 AS a1 FROM pairs JOIN d i USING (node_id) JOIN d j ON j.node_id = pairs.nbr),
+    {attention("sent", [leaky("a0"), f"-0.5e0 * {leaky('a1')}"], [["l0"], ["l1"]], [0.25])}
+    SELECT node_id, round(1 / (1 + exp(-o0)), 6) AS score FROM o"""
+
+MODE = """met AS (SELECT node, group_id, count(*) AS n FROM adj JOIN groups ON groups.node_id = adj.nbr GROUP BY 1, 2),
+    best AS (SELECT node, arg_max(group_id, row(n, -group_id)) AS mode_group, max(n) AS n, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total FROM met GROUP BY 1)"""
+CONTACTS = """touch AS (SELECT DISTINCT h.group_id, adj.nbr FROM adj JOIN halves h ON h.node_id = adj.node),
+    near AS (SELECT t.group_id, h.group_id AS other, count(*) AS n FROM touch t LEFT JOIN halves h ON h.node_id = t.nbr WHERE h.group_id IS NULL OR h.group_id <> t.group_id GROUP BY 1, 2)"""
+HOLES = "WITH RECURSIVE " + ", ".join([RAW, FULL, cells(0.0), "outs AS (SELECT * FROM cells WHERE NOT inn)", edges(CROSS), both(), reached("outs", "adj", "c")])
+PHI = "CASE WHEN x IS NULL THEN NULL ELSE (atan2(y, x) + pi()) % (2 * pi()) END"
+SUPPLY = "e AS (SELECT DISTINCT -l_suppkey - 1 AS src, l_partkey AS dst FROM lineitem)"
+
+ORACLES = {
+    "slice_mask": f"WITH {P} SELECT node_id, z FROM p WHERE abs(z - 0e0) < 0.05e0",
+    "range_mask": f"WITH {P} SELECT node_id, x FROM p WHERE x > -0.1e0 AND x < 0.1e0",
+    "line_mask": f"WITH {P} SELECT node_id, x, z FROM p WHERE abs(x) <= 0.08e0 AND abs(z) <= 0.08e0",
+    "cylinder_filter": f"WITH {P} SELECT node_id, x, y, z FROM p WHERE x * x + y * y > 0.05e0 * 0.05e0 - 1e-4 AND x * x + y * y < 0.2e0 * 0.2e0 + 1e-4 AND abs(z) < 0.1e0 + 1e-4",
+    "cylinder_boundary": f"WITH {P} SELECT node_id, sqrt(x * x + y * y) > 0.25e0 - 0.02e0 OR sqrt(x * x + y * y) < 0.02e0 + 0.02e0 OR z > 0.2e0 - 0.02e0 OR z < -0.2e0 + 0.02e0 AS is_boundary FROM p",
+    "box_boundary": f"WITH {P} SELECT node_id, greatest(x, y, z) > 0.2e0 - 0.02e0 OR least(x, y, z) < -0.2e0 + 0.02e0 AS is_boundary FROM p",
+    "polar_coordinates": f"WITH {P} SELECT node_id, round(sqrt(x * x + y * y), 6) AS r, round(atan2(y, x), 6) AS phi, round({PHI}, 6) AS phi_mod FROM p",
+    "azimuth_chunks": f"""WITH {P}, a AS (SELECT node_id, {PHI} AS f FROM p), h AS (SELECT *, least(floor(f / (2 * pi() / 8)), 7) AS home FROM a)
+        SELECT DISTINCT node_id, c AS chunk, c = home AS own FROM (
+            SELECT node_id, home, CAST(unnest([home, CASE WHEN f - home * (2 * pi() / 8) < 0.05e0 THEN (home + 7) % 8 END, CASE WHEN (home + 1) * (2 * pi() / 8) - f <= 0.05e0 THEN (home + 1) % 8 END]) AS BIGINT) AS c FROM h) WHERE c IS NOT NULL""",
+    "overlap_zone": f"""WITH {P} SELECT DISTINCT node_id FROM p CROSS JOIN range(33) t(k)
+        WHERE ((atan2(y, x) + pi() - k * (2 * pi() / 32) + 0.01e0) % (2 * pi()) + 2 * pi()) % (2 * pi()) < 2 * 0.01e0""",
+    "display_projection": f"WITH {P} SELECT node_id, round(log10(density), 6) AS log_density, round(asinh(temperature), 6) AS asinh_temperature FROM p",
+    "region_class": f"WITH {GRID}, {cells(0.5)} SELECT node_id, CAST(CASE WHEN inn THEN 1 WHEN ix % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS region FROM cells",
+    "pixel_clean": f"WITH {GRID} SELECT node_id, CASE WHEN node_id % 5 IN (0, 1) THEN 0.0 ELSE v END::DOUBLE AS v FROM grid",
+    "valid_pixels": f"WITH {PIXELS} SELECT node_id, iy, ix FROM grid WHERE v > 0",
+    "pixel_edges_valid": f"WITH {PIXELS}, {edges()} SELECT src, dst FROM e",
+    "pixel_edges_all": f"WITH {GRID}, lim AS (SELECT max(iy) + 1 AS h, max(ix) + 1 AS w FROM grid), every AS (SELECT n AS node_id, n // w AS iy, n % w AS ix FROM lim, range((SELECT h * w FROM lim)) t(n)), {edges(of='every')} SELECT src, dst FROM e",
+    "radius_edges": f"WITH {P}, {RADIUS_E} SELECT src, dst FROM e",
+    "edge_length_filter": f"""WITH {P} SELECT a.node_id AS src, b.node_id AS dst FROM p a JOIN p b ON b.node_id = a.node_id + 1
+        WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.25e0 * 0.25e0""",
+    "edge_canonical": f"WITH {SUPPLY} SELECT src, dst FROM e",
+    "adjacency": f"WITH {GRID}, {edges()}, {both()} SELECT node, nbr FROM adj",
+    "degree": f"WITH {SUPPLY}, {both()} SELECT node, count(*) AS degree FROM adj GROUP BY 1",
+    "id_lookup": "SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT p_partkey FROM part) GROUP BY 1, 2",
+    "chunk_membership": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= '1998-01-01')",
+    "chunk_last_wins": "SELECT l_partkey AS node_id, arg_max(l_quantity, row(l_orderkey, l_linenumber)) AS score FROM lineitem GROUP BY 1",
+    "induced_edges": f"WITH {GRID}, {cells(0.5)}, {INNER}, {edges(of='inn')} SELECT src, dst FROM e",
+    "rz_profile": f"WITH {P}, {binned('density')} SELECT r_bin, z_bin, round(mass, 6) AS mass, round(mean, 6) AS mean FROM prof",
+    "profile_normalised": f"WITH {P}, {binned('temperature')} SELECT node_id, round(log_ratio, 6) + 0e0 AS log_ratio FROM ratio",
+    "scaled_features": f"""WITH {P}, f AS (WITH {binned("density")} SELECT node_id, (log_ratio - center) / scale AS f0 FROM ratio, {scaled("ratio", "log_ratio")}),
+        g AS (WITH {binned("temperature")} SELECT node_id, (log_ratio - center) / scale AS f1 FROM ratio, {scaled("ratio", "log_ratio")})
+        SELECT node_id, round(f0, 6) + 0e0 AS f0, round(f1, 6) + 0e0 AS f1 FROM f JOIN g USING (node_id)""",
+    "robust_scale": f"WITH {P}, q AS (SELECT node_id, ln(density) AS q FROM p) SELECT node_id, round((q - center) / scale, 6) + 0e0 AS scaled FROM q, {scaled('q', 'q')}",
+    "robust_scale_by_group": """WITH s AS (SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS center, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS scale FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round((l_quantity - center) / CASE WHEN scale = 0 THEN 1 ELSE scale END, 6) + 0e0 AS scaled FROM lineitem JOIN s USING (l_returnflag)""",
+    "scaler_reuse": f"""WITH {P}, q AS (SELECT node_id, ln(density) AS q FROM p), half AS (SELECT * FROM q WHERE node_id % 2 = 0)
+        SELECT node_id, round((q - center) / scale, 6) + 0e0 AS scaled FROM q, {scaled("half", "q")} WHERE node_id % 2 = 1""",
+    "phase_space_hist": """SELECT CAST(least(floor((l_quantity - 0e0) / ((50e0 - 0e0) / 11)), 10) AS BIGINT) AS bx, CAST(least(floor((l_discount - (-0.005e0)) / ((0.105e0 - (-0.005e0)) / 11)), 10) AS BIGINT) AS by, count(*) AS n
+        FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_discount BETWEEN -0.005e0 AND 0.105e0 GROUP BY 1, 2""",
+    "component_ids": f"""WITH RECURSIVE {GRID}, {cells(0.5)}, {INNER}, {edges()}, {both()}, {reached("inn", "adj", "c")},
+        n AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cid FROM c GROUP BY 1 HAVING count(*) >= 2) SELECT cid, node_id FROM c JOIN n USING (component)""",
+    "component_medians": f"""WITH RECURSIVE {GRID}, {cells(0.5)}, {INNER}, {edges()}, {both()}, {reached("inn", "adj", "c")}
+        SELECT component, count(*) AS n, median(v) AS median_v FROM c JOIN inn USING (node_id) GROUP BY 1""",
+    "component_sizes": f"WITH RECURSIVE {PIXELS}, {cells(1.0)}, {INNER}, {edges(CROSS, 'inn')}, {both()}, {reached('inn', 'adj', 'c')} SELECT component, count(*) AS n FROM c GROUP BY 1",
+    "peel_once": f"WITH {GRID_GRAPH}, {INNER} SELECT node_id FROM inn WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.node = inn.node_id AND adj.nbr NOT IN (SELECT node_id FROM inn))",
+    "peel_levels": f"{LEVELS} SELECT inn.node_id, CAST(CASE WHEN s1.node_id IS NULL OR (SELECT count(*) FROM n0) < 2 THEN 1 ELSE 2 END AS BIGINT) AS iter_label FROM inn LEFT JOIN s1 ON s1.node_id = inn.node_id",
+    "lineage_edges": f"{LEVELS} SELECT CAST(0 AS BIGINT) AS parent_iter, pcid AS parent_cid, CAST(1 AS BIGINT) AS iter, cid FROM up",
+    "lineage_seeds": f"""{LEVELS}, kids AS (SELECT pcid, count(*) AS n FROM up GROUP BY 1)
+        SELECT CAST(0 AS BIGINT) AS iter, cid, false AS invalid FROM n0 WHERE (SELECT count(*) FROM n0) > 1 AND cid NOT IN (SELECT pcid FROM kids WHERE n > 1)
+        UNION ALL SELECT 1, cid, true FROM up JOIN kids USING (pcid) WHERE n > 1""",
+    "mode_neighbour": f"WITH {GRID_GRAPH}, {HALVES.replace('halves', 'groups', 1)}, {MODE} SELECT * FROM best",
+    "mode_supplier_nation": f"WITH {SUPPLY}, {both()}, groups AS (SELECT -s_suppkey - 1 AS node_id, CAST(s_nationkey AS BIGINT) AS group_id FROM supplier), {MODE} SELECT * FROM best",
+    "grow_wave": f"""WITH {GRID_GRAPH}, {HALVES.replace("halves", "groups", 1)}, {MODE}
+        SELECT node AS node_id, mode_group AS group_id FROM best WHERE node IN (SELECT node_id FROM cells WHERE NOT inn) AND total >= 2 AND ((groups = 1 AND n >= 2) OR n >= 3)""",
+    "merge_contacts": f"WITH {GRID_GRAPH}, {HALVES}, {CONTACTS} SELECT group_id, other, n FROM near",
+    "merge_decisions": f"""WITH {GRID_GRAPH}, {HALVES}, {CONTACTS},
+        size AS (SELECT group_id, count(*) AS size, count(*) FILTER (WHERE ix IN (0, 23)) AS edge FROM halves JOIN cells USING (node_id) GROUP BY 1),
+        s AS (SELECT size.group_id, any_value(size) AS size, any_value(edge) AS edge, CAST(coalesce(sum(n), 0) AS BIGINT) AS neighbours, CAST(coalesce(sum(n) FILTER (WHERE other IS NOT NULL), 0) AS BIGINT) AS touching,
+            arg_max(other, row(n, -other)) FILTER (WHERE other IS NOT NULL) AS top FROM size LEFT JOIN near ON near.group_id = size.group_id GROUP BY 1)
+        SELECT group_id, size, neighbours, touching, CASE WHEN touching = 0 THEN NULL WHEN (touching + edge) / neighbours::DOUBLE >= 0.3e0 THEN top ELSE group_id END AS target FROM s""",
+    "group_stats": f"WITH {GRID}, {cells(0.5)} SELECT iy % 7 AS group_id, count(*) AS size, median(v) AS median_v, count(*) FILTER (WHERE ix IN (0, 23)) AS boundary FROM cells WHERE inn GROUP BY 1",
+    "directed_edges": f"WITH {GRID}, {edges()} SELECT CASE WHEN a.v >= b.v THEN src ELSE dst END AS node, CASE WHEN a.v >= b.v THEN dst ELSE src END AS nbr FROM e JOIN grid a ON a.node_id = src JOIN grid b ON b.node_id = dst",
+    "directed_edges_density_temperature": f"""WITH {P}, {RADIUS_E}, d AS (SELECT src, dst, a.density >= b.density AND a.temperature <= b.temperature AS f, b.density >= a.density AND b.temperature <= a.temperature AS g
+        FROM e JOIN p a ON a.node_id = src JOIN p b ON b.node_id = dst) SELECT CASE WHEN f THEN src ELSE dst END AS node, CASE WHEN f THEN dst ELSE src END AS nbr FROM d WHERE f OR g""",
+    "shell_reach": f"""WITH {GRID_GRAPH}, {HALVES}, a AS (SELECT DISTINCT nbr AS n FROM adj WHERE node IN (SELECT node_id FROM halves WHERE group_id = 0)), b AS (SELECT DISTINCT nbr AS n FROM adj WHERE node IN (SELECT n FROM a))
+        SELECT DISTINCT nbr AS node_id FROM adj WHERE node IN (SELECT n FROM b)""",
+    "shell_round": f"""WITH {GRID_GRAPH}, {HALVES},
+        d AS (SELECT CASE WHEN a.v >= b.v THEN src ELSE dst END AS node, CASE WHEN a.v >= b.v THEN dst ELSE src END AS nbr FROM e JOIN grid a ON a.node_id = src JOIN grid b ON b.node_id = dst),
+        s AS (SELECT node, h.group_id, count(*) AS n FROM d JOIN halves h ON h.node_id = d.nbr WHERE node IN (SELECT node_id FROM cells WHERE NOT inn) GROUP BY 1, 2)
+        SELECT node AS node_id, arg_max(group_id, row(n, -group_id)) AS group_id FROM s GROUP BY 1""",
+    "erosion": f"""WITH {GRID}, {cells(0.5)}, {INNER} SELECT node_id, iy, ix FROM inn WHERE NOT EXISTS (SELECT 1 FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx)
+        WHERE inn.iy + dy BETWEEN 0 AND 29 AND inn.ix + dx BETWEEN 0 AND 23 AND (inn.iy + dy) * 24 + inn.ix + dx NOT IN (SELECT node_id FROM inn))""",
+    "dilation": f"""WITH {GRID}, {cells(0.5)} SELECT DISTINCT c.iy + y.d AS iy, c.ix + x.d AS ix FROM cells c CROSS JOIN range(-2, 3) y(d) CROSS JOIN range(-2, 3) x(d)
+        WHERE inn AND c.iy % 5 = 0 AND abs(y.d) + abs(x.d) <= 2 AND c.iy + y.d BETWEEN 0 AND 29 AND c.ix + x.d BETWEEN 0 AND 23""",
+    "small_holes": f'{HOLES} SELECT cells.node_id, inn OR count(*) OVER (PARTITION BY component) < 4 AND component IS NOT NULL AS "inner" FROM cells LEFT JOIN c ON c.node_id = cells.node_id',
+    "fill_holes": f"""{HOLES}, open AS (SELECT DISTINCT component FROM c JOIN cells USING (node_id) WHERE iy IN (0, 29) OR ix IN (0, 23))
+        SELECT cells.node_id, inn OR component NOT IN (SELECT component FROM open) AS "inner" FROM cells LEFT JOIN c ON c.node_id = cells.node_id""",
+    "gaussian_norm": f"WITH {RAW}, {FULL}, {smooth(1, 's')} SELECT node_id, round(v, 6) AS v FROM s",
+    "multiscale_mean": f"WITH {RAW}, {FULL}, {smooth(1, 's')}, {smooth(2, 't')} SELECT s.node_id, round((s.v + t.v) / 2, 6) AS v FROM s JOIN t ON t.node_id = s.node_id",
+    "max_over_scales": "SELECT l_partkey AS node_id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1",
+    "align_moments": f"WITH {GRID}, {cells(0.5)} SELECT round(var_samp(iy), 6) AS syy, round(var_samp(ix), 6) AS sxx, round(covar_samp(iy, ix), 6) AS sxy FROM cells WHERE inn",
+    "nonzero_bbox": f'WITH {PIXELS}, {cells(-2.0)} SELECT min(iy) AS top, max(iy) AS bottom, min(ix) AS "left", max(ix) AS "right" FROM cells WHERE NOT inn',
+    "graphconv_mean": f"WITH {P}, {RADIUS_E}, {both()}, {MEANS} SELECT node_id, round(m1, 6) AS mean_density, round(m2, 6) AS mean_temperature FROM m",
+    "gnn_softmax": SOFTMAX,
+    "gnn_sigmoid": SIGMOID,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lacuna.sources.staging import discard, stage
@@ -39,12 +39,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "edges",
     )
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")
-    seen = now.agg(F.count("*").alias("n"), mark).first()
+    seen = now.agg(F.count("*").alias("n"), mark).first().asDict()
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        nxt = stage(_round(now), "edges")
-        got = nxt.agg(F.count("*").alias("n"), mark).first()
+        watch = Observation()
+        nxt = stage(_round(now).observe(watch, F.count(F.lit(1)).alias("n"), mark), "edges")
+        got = watch.get
         discard(now)
         now = nxt
         if got == seen:

@@ -69,10 +69,10 @@ def robust_apply(df: DataFrame, column: str, scaler: DataFrame, out: str, by: li
 
 def features(points: DataFrame, names: list[str], normalize: bool = True, z_size: float = 0.05, r_size: float = 2.0) -> DataFrame:
     """points with f0, f1, ...: the scaled log of each named quantity, over its profile if normalize."""
+    if unknown := set(names) - set(QUANTITIES):
+        raise ValueError(f"unknown quantities {sorted(unknown)}; known are {', '.join(QUANTITIES)}")
     edges = bin_edges(points, z_size, r_size)
     for k, name in enumerate(names):
-        if name not in QUANTITIES:
-            raise ValueError(f"unknown quantity {name!r}; known are {', '.join(QUANTITIES)}")
         if normalize:
             points = corrected(points, name, edges, profile(points, name, edges))
         else:

@@ -26,7 +26,7 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df as Parquet under the shared folder and read it back."""
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,7 +47,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): pairs of parts and suppliers that meet in a line item; suppliers are the negative nodes."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"))
 
 
 def quiet(grid: DataFrame, deviations: float = 0.5) -> DataFrame:
