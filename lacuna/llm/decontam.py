@@ -22,7 +22,7 @@ HEAD, HEAD_SAMPLES, TAIL_SAMPLES, WALKS, MOST_REPEATS = 12, 3, 2, 3, 24
 ITEM_BLOCK = 20_000
 SEED = 5
 #: Words of documents that are embedded at once.
-STEP = 1 << 19
+STEP = 1 << 17
 
 _WORDS = re.compile(r"[^\W_]+").findall
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lacuna.llm.rows import map_rows
+from lacuna.llm.rows import map_rows, slices
 from lacuna.llm.tokens import encoder
 from lacuna.sources.staging import discard, stage
 
@@ -35,6 +35,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     Null or empty text is the end id alone. Repeated rows and rows without an id are packed like any
     other; columns other than doc_id and text are not read.
     """
+    return map_rows(_texts(docs), _cut(tokenizer, capacity, end_id), PIECES)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _cut(tokenizer: str, capacity: int, end_id: int):
+    """make() of map_rows: texts to pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
@@ -52,7 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
         return each
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, PIECES)
+    return make
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -79,40 +88,47 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(level: int, capacity: int, slack: int):
+def _pack(level: int, capacity: int, slack: int, make=None):
+    """Best-fit packing of a partition's items, after make()'s function where it is given."""
     names = list(_MEMBERS)
     schema = to_arrow_schema(T._parse_datatype_string(_BINS))
 
-    def flush(rows: dict[str, list], base: int) -> pa.RecordBatch:
+    def flush(rows: dict[str, list], base: int) -> Iterator[pa.RecordBatch]:
         sizes = rows["size"]
-        out: dict[str, list] = {n: [] for n in ("sequence_id", "size", "done", *names)}
-        for k, members in enumerate(best_fit(sizes, capacity)):
-            total, joined = 0, {n: [] for n in names}
-            for i in members:
-                for n in names[:-1]:
-                    joined[n] += rows[n][i]
-                joined["offset"] += [total + o for o in rows["offset"][i]]
-                total += sizes[i]
-            out["sequence_id"].append(base + k)
-            out["size"].append(total)
-            out["done"].append(capacity - total <= slack)
-            for n in names:
-                out[n].append(joined[n])
-        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        bins = best_fit(sizes, capacity)
+        for at in range(0, len(bins), 1000):
+            out: dict[str, list] = {n: [] for n in ("sequence_id", "size", "done", *names)}
+            for k, members in enumerate(bins[at : at + 1000], at):
+                total, joined = 0, {n: [] for n in names}
+                for i in members:
+                    for n in names[:-1]:
+                        joined[n] += rows[n][i]
+                    joined["offset"] += [total + o for o in rows["offset"][i]]
+                    total += sizes[i]
+                out["sequence_id"].append(base + k)
+                out["size"].append(total)
+                out["done"].append(capacity - total <= slack)
+                for n in names:
+                    out[n].append(joined[n])
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (level << 56) + (TaskContext.get().partitionId() << 32)
+        each = make() if make else lambda rows: rows
         held: dict[str, list] = {}
         for batch in batches:
-            got = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-            if "size" not in got:  # first round: each piece is an item of one member
-                got = {"size": got["length"], **{n: [[v] for v in got[n]] for n in names[:-1]}, "offset": [[0] for _ in got["length"]]}
-            held = {n: held.get(n, []) + v for n, v in got.items()} if held else got
-            if len(held["size"]) >= TASK_BINS:
-                yield flush(held, base)
-                base, held = base + len(held["size"]), {}
+            for rows in slices(batch):
+                got = each(rows)
+                if "size" not in got:  # first round: each piece is an item of one member
+                    got = {"size": got["length"], **{n: [[v] for v in got[n]] for n in names[:-1]}, "offset": [[0] for _ in got["length"]]}
+                for n, v in got.items():
+                    held.setdefault(n, []).extend(v)
+                if len(held["size"]) >= TASK_BINS:
+                    yield from flush(held, base)
+                    base, held = base + len(held["size"]), {}
+            pa.default_memory_pool().release_unused()
         if held:
-            yield flush(held, base)
+            yield from flush(held, base)
 
     return run
 
@@ -126,9 +142,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL)
     Rounds are written to the shared folder. An empty table gives no rows.
     """
     first = pieces.select(*[c for c in _MEMBERS if c != "offset"])
-    bins = stage(first.mapInArrow(_pack(0, capacity, slack), _BINS), "bins")
+    return _rounds(first.mapInArrow(_pack(0, capacity, slack), _BINS), capacity, slack)
+
+
+def _rounds(first: DataFrame, capacity: int, slack: int) -> DataFrame:
+    """The rounds after the first, and the members of all bins."""
+    bins = stage(first, "bins")
     packed, level = [bins], 0
-    tasks = max(1, bins.rdd.getNumPartitions())
+    tasks = max(1, len(bins.inputFiles()))
     while True:
         left = packed[-1].where("NOT done")
         count = left.count()
@@ -148,6 +169,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL)
     return out.select("sequence_id", members).select(*[F.col(f"m.{n}").alias(n) for n in _MEMBERS if n != "offset"], "sequence_id", F.col("m.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """token_pieces, then pack."""
-    return pack(token_pieces(docs, tokenizer, capacity), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = NEARLY_FULL) -> DataFrame:
+    """pack(token_pieces(docs)), with both steps in one Python worker."""
+    first = _texts(docs).mapInArrow(_pack(0, capacity, slack, _cut(tokenizer, capacity, END_ID)), _BINS)
+    return _rounds(first, capacity, slack)

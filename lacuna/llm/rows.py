@@ -16,16 +16,30 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_ROWS = 250_000
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow over column lists: make() runs once a task and returns the function of a batch."""
+#: Bytes of an Arrow batch that are Python objects at once; a longer row is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[dict[str, list]]:
+    """Column lists of consecutive rows of about limit bytes, so that memory doesn't follow the number of rows in a batch."""
+    step = max(1, int(len(batch) * limit / max(1, batch.nbytes)))
+    for at in range(0, len(batch), step):
+        part = batch.slice(at, step)
+        yield {n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)}
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over column lists: make() runs once a task and returns the function of a slice of rows."""
     ddl = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            out = each({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for rows in slices(batch, limit):
+                out = each(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, ddl)
 
@@ -47,7 +61,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped (one column, doc_id); rows without an id stay."""
-    return docs.join(small(dropped), "doc_id", "left_anti")
+    return docs.join(small(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
 def keep_one_of_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
