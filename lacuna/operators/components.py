@@ -21,7 +21,7 @@ def _star(pairs: DataFrame) -> DataFrame:
 def _round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; edges (a, b) with a > b."""
     both = edges.selectExpr("a AS u", "b AS v").unionByName(edges.selectExpr("b AS u", "a AS v"))
-    large = _star(both).where("v > u").selectExpr("v AS a", "m AS b").distinct()
+    large = _star(both).where("v > u").selectExpr("v AS a", "m AS b")  # repeats go with the last distinct
     small = _star(large.selectExpr("a AS u", "b AS v"))
     kept = small.selectExpr("v AS a", "m AS b").unionByName(small.selectExpr("u AS a", "m AS b"))
     return kept.where("a > b").distinct()

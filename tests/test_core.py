@@ -157,7 +157,7 @@ def test_merge_fold(spark, order, targets, want):
     assert [r["group_id"] for r in got] == want
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.integers(0, 7), min_size=8, max_size=8), st.permutations(range(8)))
 def test_merge_fold_equals_loop(spark, targets, order):
     label = list(range(8))
@@ -184,7 +184,7 @@ def test_walk_reach_is_exact(spark):
 # Graphs
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
 def test_components_equal_union_find(spark, pairs):
     up = list(range(41))
