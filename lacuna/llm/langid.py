@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.rows import crc_mod, map_rows
+from lacuna.llm.rows import bound_batches, crc_mod, map_rows
 
 #: Buckets of the hashed n-grams (presence of 1- to 3-grams), and texts of one matrix product.
 DIM, BATCH = 1 << 14, 64
@@ -167,4 +167,4 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         lang, score = label(texts.tolist(), model.value)
         return pd.Series([a != UNKNOWN and s >= min_score for a, s in zip(lang, score, strict=True)], dtype=bool)
 
-    return docs.where(known(F.col("text").cast("string")))
+    return bound_batches(docs).where(known(F.col("text").cast("string")))

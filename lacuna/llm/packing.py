@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lacuna.llm.rows import map_rows, slices
+from lacuna.llm.rows import bound_batches, map_rows, slices
 from lacuna.llm.tokens import encoder
 from lacuna.sources.staging import discard, stage
 
@@ -171,5 +171,5 @@ def _rounds(first: DataFrame, capacity: int, slack: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = NEARLY_FULL) -> DataFrame:
     """pack(token_pieces(docs)), with both steps in one Python worker."""
-    first = _texts(docs).mapInArrow(_pack(0, capacity, slack, _cut(tokenizer, capacity, END_ID)), _BINS)
+    first = bound_batches(_texts(docs)).mapInArrow(_pack(0, capacity, slack, _cut(tokenizer, capacity, END_ID)), _BINS)
     return _rounds(first, capacity, slack)

@@ -16,10 +16,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_ROWS = 250_000
 
 
+#: Rows of an Arrow batch at most: texts are long, and both sides hold whole batches.
+ARROW_ROWS = 2_500
 #: Bytes of an Arrow batch that are Python objects at once; a longer row is a slice of its own.
 SLICE_BYTES = 4 << 20
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were limited to ARROW_ROWS rows where they were larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[dict[str, list]]:
     """Column lists of consecutive rows of about limit bytes, so that memory doesn't follow the number of rows in a batch."""
     step = max(1, int(len(batch) * limit / max(1, batch.nbytes)))
@@ -41,7 +51,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
             pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, ddl)
+    return bound_batches(df).mapInArrow(run, ddl)
 
 
 def crc_mod(column: str, m: int) -> F.Column:
