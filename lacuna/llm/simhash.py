@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.rows import drop_ids, keep_one_of_repeats, map_rows
+from lacuna.llm.rows import drop_ids, keep_one_of_repeats, map_rows, small
 from lacuna.operators.components import connected_components
 from lacuna.sources.staging import stage
 
@@ -167,8 +167,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     merged = classes.join(found.withColumnRenamed("node", "fp"), "fp")
     best = merged.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = merged.join(best, "component").select("fp", "component_id")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Written before it is joined back, so that the rows of a hot fingerprint can be split.
+    named = stage(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    return fps.join(small(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup_near(docs: DataFrame) -> DataFrame:
