@@ -35,11 +35,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = F.sha2(norm.cast("binary"), 256).alias("text_sha256")
     rows = docs.select(F.col(id_col).alias("doc_id"), *key, *([full] if digests else []))
     rows = stage(rows, "lengths")
-    lengths = rows.groupBy("n_chars").count().where("count > 1").select("n_chars")
-    prefixes = rows.join(lengths, "n_chars", "left_semi").groupBy("n_chars", "prefix").count().where("count > 1").select("n_chars", "prefix")
+    # Tables of keys are written before they are joined back, so that a hot key's rows can be split.
+    lengths = stage(rows.groupBy("n_chars").count().where("count > 1").select("n_chars"), "lengths")
+    prefixes = rows.join(small(lengths), "n_chars", "left_semi").groupBy("n_chars", "prefix").count().where("count > 1").select("n_chars", "prefix")
     prefixes = stage(prefixes, "prefixes")
     if digests:
-        open_rows = rows.join(prefixes, ["n_chars", "prefix"], "left_semi")
+        open_rows = rows.join(small(prefixes), ["n_chars", "prefix"], "left_semi")
     else:
         again = docs.select(F.col(id_col).alias("doc_id"), *key, norm.alias("norm"))
         hit = small(prefixes.withColumn("open", F.lit(True)))
@@ -48,7 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         open_rows = rows.where("text_sha256 IS NOT NULL")
     groups = open_rows.groupBy("n_chars", "prefix", "text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     same = ["n_chars", "prefix", "text_sha256"]
-    out = rows.join(groups, same, "left")
+    out = rows.join(small(stage(groups, "groups")), same, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", *same, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"))
 
