@@ -319,6 +319,28 @@ def test_leaks_edited_and_odd(spark, odd, empty):
     assert {r["doc_id"] for r in decontam.decontaminate(spark.createDataFrame(docs, DOCS), bench).collect()} == {d[0] for d in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_leaks_equal_brute_at_every_edit_level(share):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(300)]
+    items = [(n * 100 + k, " ".join(rng.choice(words, n))) for n in (1, 3, 4, 5, 9, 14, 15, 30, 45, 59) for k in range(6)]
+    docs = [" ".join(rng.choice(words, 150)) for _ in range(10)]
+    for _, text in items:
+        w = text.split()
+        for _ in range(int(len(w) * share + 1e-9)):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = [str(rng.choice(words))] * int(rng.integers(0, 2))
+        docs.append(" ".join([*rng.choice(words, int(rng.integers(0, 40))), *w, *rng.choice(words, int(rng.integers(0, 40)))]))
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in items:
+            edits = decontam.best_window(item.split(), text.split())[0]
+            if edits <= 0.2 * len(item.split()) + 1e-9:
+                want[d, i] = edits
+    got = {(d, i): e for d, i, _, _, e in decontam.leaks_of(docs, decontam.build_index(items))}
+    assert len(want) > 50 and got == want
+
+
 # 6: language ID
 
 
