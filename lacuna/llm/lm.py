@@ -7,18 +7,19 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.rows import crc_mod, map_rows
+from lacuna.llm.rows import bound_batches, crc_mod, map_rows, slices
 from lacuna.sources.staging import stage
 
 #: Words of the model's own vocabulary (the most frequent ones), their classes, and the sizes of embedding and state.
 VOCABULARY, CLASSES, EMBED, HIDDEN = 1024, 32, 16, 24
 #: Documents that advance together, and steps of a window: gradients are truncated there, the state is carried on.
 LANES, WINDOW = 128, 16
-#: One in so many training documents gives gradients; epochs (each ends in an average over all tasks) and step size.
-GRADIENT_SHARE, EPOCHS, RATE = 16, 2, 0.06
+#: Epochs over all training documents (each ends in an average over all tasks) and step size.
+EPOCHS, RATE = 1, 0.06
 FOLDS, HELD_OUT, SEED = 5, 1, 8
 #: Bytes of documents that are sorted into lanes together.
 SLICE_BYTES = 12 << 20
@@ -208,9 +209,13 @@ class Gru:
                     held, states, targets, size = [], [], [], 0
         return out
 
-    def learn(self, texts: list[np.ndarray], end: int, rate: float = RATE) -> int:
-        """One pass of truncated backpropagation with Adagrad steps; returns the number of tokens."""
-        seen = {k: np.full_like(x, 1e-6) for k, x in self.p.items()}
+    def squares(self) -> dict[str, np.ndarray]:
+        """Adagrad's sums of squared gradients, before the first step."""
+        return {k: np.full_like(x, 1e-6) for k, x in self.p.items()}
+
+    def learn(self, texts: list[np.ndarray], end: int, rate: float = RATE, seen: dict[str, np.ndarray] | None = None) -> int:
+        """One pass of truncated backpropagation with Adagrad steps, carrying on from seen if given; returns the number of tokens."""
+        seen = self.squares() if seen is None else seen
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         total = 0
         for a in range(0, len(order), LANES // 2):
@@ -280,29 +285,31 @@ def coded(words: list[bytes], lex: Lexicon) -> np.ndarray:
 
 
 def train(docs: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> Gru:
-    """GRU fitted by all tasks at once: each learns from its gradient documents, and the weights are averaged by tokens.
+    """GRU fitted by all tasks at once: each learns from its training documents, and the weights are averaged by tokens.
 
-    One in GRADIENT_SHARE training documents gives gradients, so the sample grows with the input. The
+    All training documents give gradients, and a task carries its weights on from slice to slice. The
     average is a grouped sum over weight numbers; only one row for each weight reaches the driver.
     """
     spark = docs.sparkSession
     shared_lex = spark.sparkContext.broadcast(lex)
     model = Gru(lex)
-    picked = docs.where(training(docs) & (F.pmod(F.xxhash64(F.lit("gradient"), F.col("doc_id")), F.lit(GRADIENT_SHARE)) == 0)).select("text")
+    picked = docs.where(training(docs)).select("text")
     for epoch in range(epochs):
         now = spark.sparkContext.broadcast(model.flat())
 
-        def make(now=now, rate=RATE / (1 + 2 * epoch)):
+        def learned(batches, now=now, rate=RATE / (1 + 2 * epoch)):
             lex = shared_lex.value
-
-            def each(rows):
-                gru = Gru(lex).load(now.value)
-                n = gru.learn([coded(words_of(t), lex) for t in rows["text"]], lex.end, rate)
-                return {"weights": [gru.flat().tolist()], "n": [n]}
-
-            return each
-
-        got = map_rows(picked, make, "weights array<float>, n long").where("n > 0").select(F.posexplode("weights").alias("k", "w"), "n")
+            gru = Gru(lex).load(now.value)
+            seen, n = gru.squares(), 0
+            for batch in batches:
+                for rows in slices(batch):
+                    n += gru.learn([coded(words_of(t), lex) for t in rows["text"]], lex.end, rate, seen)
+                pa.default_memory_pool().release_unused()
+            if n:
+                flat = gru.flat()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), n))], names=["k", "w", "n"])
+
+        got = bound_batches(picked).mapInArrow(learned, "k long, w float, n long")
         mean = got.groupBy("k").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")).toPandas().sort_values("k")
         if len(mean):
             model.load(mean["w"].to_numpy())

@@ -421,6 +421,27 @@ def lexicon_of(words):
     return lm.Lexicon(len(words) + 1, len(counts) + 1, 1, dict(counts), ids, 0.5)
 
 
+def test_every_training_document_gives_gradients_one_slice_after_the_other(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 40))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    lex = lexicon_of([b"ab", b"cd", b"ef", b"gh"])
+    mine = [lm.coded(lm.words_of(t), lex) for i, t in docs if crc(i) % 5 != 1]
+    want = lm.Gru(lex)
+    seen = {k: np.full_like(x, 1e-6) for k, x in want.p.items()}
+    for at in range(0, len(mine), 5):
+        want.learn(mine[at : at + 5], lex.end, seen=seen)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        got = lm.train(df, lex, epochs=1)
+    finally:
+        spark.conf.set(key, before)
+    assert got.flat() == pytest.approx(want.flat(), abs=1e-5)
+    assert not np.allclose(got.flat(), lm.Gru(lex).flat(), atol=1e-3)
+
+
 def test_gru_probabilities_sum_to_one_and_state_is_carried():
     lex = lexicon_of([b"a", b"b", b"c"])
     gru = lm.Gru(lex)
