@@ -19,11 +19,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SECTIONS = frozenset("html body main article section div td center blockquote".split())
 BOILERPLATE = frozenset("nav footer aside menu header dialog".split())
-# Words of class, id or role that name what is not the article.
+# Words of class, id or role that often name what is not the article: a prior of NAMED on the ratio, as for the tags above.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "header masthead footer sidebar side aside widget complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "signup login form search share sharing social related recommended comment comments reply replies discussion disqus respond pagination pager toolbar skip copyright legal hidden".split()
+    "signup login form search share sharing social related recommended comment comments reply replies discussion disqus respond pagination pager toolbar skip copyright legal".split()
 )
 # Start tags that end an open element, and the elements at which the search for it stops.
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -35,21 +35,23 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、！？；：]")
 
-#: Share of the score that the content section must hold; weight of a path's neighbours in page order; threshold in mean scores.
-SECTION_SHARE, NEIGHBOUR, THRESHOLD = 0.8, 0.25, 0.5
+#: Share of the score that the content section must hold; weight of a path's neighbours in page order; threshold in mean scores
+#: of paths on pages without sections, and of those inside a section; weight of paths in elements named like boilerplate.
+SECTION_SHARE, NEIGHBOUR, THRESHOLD, INSIDE, NAMED = 0.8, 0.25, 0.5, 0.1, 0.01
 
 
 @dataclass
 class Node:
-    """An open element: its path with class names, whether it is noise, and the sections that hold it."""
+    """An open element: its path, whether it or one around it is named like boilerplate or silent, and its section."""
 
     tag: str
     path: str
-    noise: bool
+    named: bool
     silent: bool
     section: int
 
@@ -57,46 +59,53 @@ class Node:
 @dataclass
 class Block:
     path: str
+    named: bool
     section: int
     pieces: list[str] = field(default_factory=list)
     links: int = 0
 
 
-def _noisy(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in BOILERPLATE and not (tag == "header" and inside_article):
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     names = " ".join(m[2] for m in _NAMES.finditer(attributes)).lower()
     return not NOISE.isdisjoint(_PARTS.findall(names))
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attributes say that the element isn't shown: hidden, aria-hidden=true or display:none."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
-    """(text blocks that are not noise, sections as (parent, tag)) of a page, in page order."""
+    """(text blocks that are shown, sections as (parent, tag)) of a page, in page order."""
     sections: list[tuple[int, str]] = [(-1, "root")]
     stack = [Node("", "", False, False, 0)]
     blocks: list[Block] = []
-    now: Block | None = None
+    now: dict[bool, Block] = {}  # the open block of text in named elements, and that of other text
 
     def text(raw: str) -> None:
-        nonlocal now
         top = stack[-1]
-        if top.noise or top.silent or not raw:
+        if top.silent or not raw:
             return
-        if now is None or now.section != top.section:
-            now = Block(top.path, top.section)
-            blocks.append(now)
+        block = now.get(top.named)
+        if block is None or block.section != top.section:
+            block = now[top.named] = Block(top.path, top.named, top.section)
+            blocks.append(block)
         piece = html.unescape(raw)
-        now.pieces.append(piece)
+        block.pieces.append(piece)
         if any(n.tag == "a" for n in stack[-3:]):
-            now.links += len(piece.strip())
+            block.links += len(piece.strip())
 
     def pop_to(depth: int) -> None:
-        nonlocal now
         if any(n.tag not in INLINE for n in stack[depth:]):
-            now = None
+            now.clear()
         del stack[depth:]
 
     at = 0
@@ -108,13 +117,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         tag = m[4].lower()
         if m[3]:
             if tag == "br":
-                now = None
+                now.clear()
                 continue
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
             if depth and not (tag in INLINE and any(stack[d].tag in SCOPE for d in range(depth + 1, len(stack)))):
                 pop_to(depth)
             elif tag not in INLINE:
-                now = None
+                now.clear()
             continue
         if tag in P_ENDS:
             for d in range(len(stack) - 1, 0, -1):
@@ -131,17 +140,17 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
                 if stack[d].tag in SAME_ENDS[tag]:
                     break
         if tag not in INLINE:
-            now = None
+            now.clear()
         if tag in VOID or m[5].endswith("/") and tag not in SECTIONS:
             continue
         top = stack[-1]
-        noise = top.noise or _noisy(tag, m[5], any(n.tag in ("article", "main") for n in stack))
+        own = _named(tag, m[5], any(n.tag in ("article", "main") for n in stack))
         section = top.section
-        if tag in SECTIONS and not noise:
+        if tag in SECTIONS:
             sections.append((section, tag))
             section = len(sections) - 1
-        path = top.path if tag in INLINE else f"{top.path}/{tag}"
-        stack.append(Node(tag, path, noise, top.silent or tag in SILENT, section))
+        path = f"{top.path}/{tag}!" if own else top.path if tag in INLINE else f"{top.path}/{tag}"
+        stack.append(Node(tag, path, top.named or own, top.silent or tag in SILENT or _hidden(m[5]), section))
     text(page[at:])
     return blocks, sections
 
@@ -161,12 +170,14 @@ def main_text(page: str | None) -> str:
         r[1] += len(_PUNCTUATION.findall(t)) if b.links < len(t) / 2 else 0
         r[2] += 1
     paths = list(ratio)
+    named = {b.path for b, _ in kept if b.named}
     fused = [r[0] / r[2] * (0.2 + math.sqrt(r[1] / r[2])) for r in ratio.values()]
     # Smoothing over the paths in page order.
     smooth = {}
     for k, path in enumerate(paths):
         near = [fused[i] for i in (k - 1, k + 1) if 0 <= i < len(fused)]
-        smooth[path] = (fused[k] + NEIGHBOUR * sum(near)) / (1 + NEIGHBOUR * len(near))
+        smooth[path] = (fused[k] + NEIGHBOUR * sum(near)) / (1 + NEIGHBOUR * len(near)) * (NAMED if path in named else 1)
+    mean = sum(smooth.values()) / len(smooth)
     weight = [0.0] * len(sections)
     for b, t in kept:
         share = smooth[b.path] * len(t)
@@ -179,24 +190,24 @@ def main_text(page: str | None) -> str:
     for s in range(1, len(sections)):
         if weight[s] >= SECTION_SHARE * weight[0] and not (sections[best][1] in ("article", "main") and sections[s][1] not in ("article", "main")):
             best = s
-    labelled = [s for s, (_, tag) in enumerate(sections) if tag in ("article", "main") and weight[s] > 0]
+    roots = {best}
+    labelled = {s for s, (_, tag) in enumerate(sections) if tag in ("article", "main") and weight[s] > 0}
     if labelled and sections[best][1] not in ("article", "main"):
-        heaviest = max(labelled, key=lambda s: (weight[s], -s))
-        if weight[heaviest] >= 0.3 * weight[0] or sections[best][1] in ("root", "html", "body"):
-            best = heaviest
+        if max(weight[s] for s in labelled) >= 0.3 * weight[0] or sections[best][1] in ("root", "html", "body"):
+            roots = labelled
 
     def within(s: int) -> bool:
         while s >= 0:
-            if s == best:
+            if s in roots:
                 return True
             s = sections[s][0]
         return False
 
-    if sections[best][1] in ("root", "html", "body"):  # no section of its own: the threshold selects paths
-        mean = sum(fused) / len(fused)
+    # The threshold selects paths, inside the sections as on a page that has none of its own.
+    if sections[best][1] in ("root", "html", "body") and roots == {best}:
         chosen = [t for b, t in kept if smooth[b.path] >= THRESHOLD * mean and b.links <= len(t) / 2]
     else:
-        chosen = [t for b, t in kept if within(b.section)]
+        chosen = [t for b, t in kept if within(b.section) and smooth[b.path] >= INSIDE * mean]
     return "\n".join(chosen)
 
 

@@ -558,6 +558,20 @@ def test_html_cases(page, want):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body><article><p>First article, some words.</p></article><article><p>Second article, other words.</p></article><footer>f</footer>", "First article, some words.\nSecond article, other words."),
+        ("<article><p>A long first sentence, with more words in it.</p><p class='overflow-hidden'>Shown, and kept.</p><p title='hidden gems'>This, too.</p></article>", "A long first sentence, with more words in it.\nShown, and kept.\nThis, too."),
+        ("<article><p>One, two.</p><p hidden>No.</p><p style='color:red; display: none'>No.</p><p aria-hidden='true'>No.</p></article>", "One, two."),
+        ("<div class='widget post'><p>The only text, which is the article. It is long enough.</p></div>", "The only text, which is the article. It is long enough."),
+        ("<article><p>" + "Long text, with commas. " * 20 + "</p><h2>More</h2><section><div><ul><li><b></b><a href=x>one</a></li></ul></div><table><tr><td><a href=y>two</a></td></tr></table></section></article>", ("Long text, with commas. " * 20).strip() + "\nMore"),
+    ],
+)
+def test_html_ratios_decide(page, want):
+    assert htmltext.main_text(page) == want
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x", 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, htmltext.extract(df).collect()), key=str) == sorted([(1, None, "", 0), (None, "u", "x", 1)], key=str)
