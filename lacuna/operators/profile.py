@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.masks import radius
+from lacuna.sources.staging import stage
 
 QUANTITIES = ("density", "temperature")
 
@@ -55,10 +56,36 @@ def corrected(points: DataFrame, quantity: str, edges: DataFrame, means: DataFra
 
 def robust_fit(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """(by..., center, scale): exact median and interquartile range, interpolated; a scale of 0 becomes 1."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    got = df.groupBy(*(by or [])).agg(q)
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return got.select(*(by or []), F.col("q")[1].alias("center"), F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"))
+    got = _percentiles(df, column, by or [], (0.25, 0.5, 0.75))
+    iqr = F.col("_q2") - F.col("_q0")
+    return got.select(*(by or []), F.col("_q1").alias("center"), F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"))
+
+
+def _percentiles(df: DataFrame, column: str, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(by..., _q0, _q1, ...): as F.percentile, nulls left out, but counted values are numbered by ranges and no task holds a column."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = df.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(column).alias("_n"))
+    ranged = stage(counted.repartitionByRange(parts, *by, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
+    inside = ranged.withColumn("_inside", F.sum("_n").over(Window.partitionBy("_part", *by).orderBy("_v")))
+    # A row for each range and each group in it.
+    sizes = ranged.groupBy(F.col("_part").alias("_at"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(by))).agg(F.sum("_n").alias("_size"))
+    group = Window.partitionBy(*(f"_{k}" for k in range(len(by))))
+    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    shift = shift.withColumn("_total", F.sum("_size").over(group))
+    same = F.col("_part") == F.col("_at")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    placed = inside.join(shift, same).withColumn("_end", F.col("_shift") + F.col("_inside"))
+    at = lambda rank: F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")), F.col("_v")))
+    picked = [F.max("_total").alias("_total")]
+    for k, share in enumerate(shares):
+        place = (F.col("_total") - 1) * F.lit(share)
+        picked += [at(F.floor(place)).alias(f"_lo{k}"), at(F.ceil(place)).alias(f"_hi{k}")]
+    out = placed.groupBy(*by).agg(*picked)
+    for k, share in enumerate(shares):
+        place, lo, hi = (F.col("_total") - 1) * F.lit(share), F.col(f"_lo{k}"), F.col(f"_hi{k}")
+        out = out.withColumn(f"_q{k}", F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi))
+    return out.select(*by, *(f"_q{k}" for k in range(len(shares))))
 
 
 def robust_apply(df: DataFrame, column: str, scaler: DataFrame, out: str, by: list[str] | None = None) -> DataFrame:

@@ -265,6 +265,26 @@ def test_robust_scaling(spark):
         profile.features(df, ["pressure"])
 
 
+def test_robust_fit_is_exact_without_a_percentile_buffer(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(g), float(v)) for g, n in enumerate((1, 2, 3, 50, 400)) for v in np.round(rng.standard_normal(n), 2)]
+    rows += [("null", None), (None, 1.0), (None, 4.0), ("3", None), ("inf", float("inf")), ("inf", 1.0), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, q double").repartition(7)
+    for by in (["g"], []):
+        for some in (df, df.where("q IS NULL"), df.limit(0)):
+            fit = profile.robust_fit(some, "q", by)
+            assert "percentile" not in fit._jdf.queryExecution().toString()
+            q = F.percentile("q", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+            want = some.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[1], F.col("q")[2] - F.col("q")[0]).collect()
+            got = fit.collect()
+            assert len(got) == len(want)
+            key = lambda r: str(r[:-2])
+            for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+                assert tuple(x)[:-2] == tuple(y)[:-2]
+                for a, b in ((x[-2], y[-2]), (x[-1], 1.0 if y[-1] == 0 else y[-1])):
+                    assert (a is None and b is None) or a == pytest.approx(b, abs=1e-12, nan_ok=True)
+
+
 # Rasters
 
 
