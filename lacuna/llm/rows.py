@@ -6,7 +6,9 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +32,28 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value: those of texts and binaries, also inside lists and structs; others count as 8."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(kind):
+        inside, at = np.append(0, np.cumsum(row_bytes(column.values))), column.offsets.to_numpy()
+        return inside[at[1:]] - inside[at[:-1]] + 8
+    if pa.types.is_struct(kind):
+        return sum((row_bytes(c) for c in column.flatten()), np.zeros(len(column), np.int64))
+    return np.full(len(column), 8, np.int64)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[dict[str, list]]:
-    """Column lists of consecutive rows of about limit bytes, so that memory doesn't follow the number of rows in a batch."""
-    step = max(1, int(len(batch) * limit / max(1, batch.nbytes)))
-    for at in range(0, len(batch), step):
-        part = batch.slice(at, step)
+    """Column lists of consecutive rows of at most limit bytes together; only a single longer row makes a larger slice."""
+    ends = np.cumsum(sum((row_bytes(c) for c in batch.columns), np.zeros(len(batch), np.int64)))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        part = batch.slice(at, to - at)
         yield {n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)}
+        at = to
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:

@@ -27,7 +27,8 @@ class WordEncoder:
     The tokenizer never merges across these places, so the joined ids equal those of the whole text.
     Each distinct piece goes through the tokenizers library once and is then looked up. Plain words
     among the new ones go through it many at a time; the ids that can only begin (byte-level kind) or
-    only end (word-end kind) a word tell them apart again.
+    only end (word-end kind) a word tell them apart again. As the library does by default, the strings
+    of special tokens are cut out of a text first and become their ids.
     """
 
     def __init__(self, path: str):
@@ -35,7 +36,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.around = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.spaced = self.tok.normalizer is None  # the byte-level kind keeps a word's space
         word = f" ?[{LETTERS}]+{EDGE}| ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+" if self.spaced else f"[{LETTERS}]+{EDGE}|[^{WS}]+"
         self.pieces = re.compile(word).findall
@@ -51,13 +53,20 @@ class WordEncoder:
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append(self.pieces(text or ""))
-            size += len(text or "")
+            text = text or ""
+            held.append(self._split(text))
+            size += len(text)
             if size >= GROUP_CHARS:
                 out += self._look_up(held)
                 held, size = [], 0
         return out + self._look_up(held)
 
+    def _split(self, text: str) -> list[str]:
+        if not any(t in text for t in self.special):
+            return self.pieces(text)
+        parts = self.around(text)  # every second one is a special token's string
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))]
+
     def _look_up(self, split: list[list[str]]) -> list[bytes]:
         found = [list(map(self.cache.get, pieces)) for pieces in split]
         gaps = [[i for i, x in enumerate(parts) if x is None] for parts in found]
