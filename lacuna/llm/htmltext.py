@@ -25,13 +25,23 @@ NOISE = frozenset(
     "header masthead footer sidebar side aside widget complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login form search share sharing social related recommended comment comments reply replies discussion disqus respond pagination pager toolbar skip copyright legal".split()
 )
-# Start tags that end an open element, and the elements at which the search for it stops.
+# Elements that a start tag of the same family ends, the tags that open and end each family, and where the search for one stops.
+FAMILIES = (
+    ("p", "p", "table td th caption button object html body"),
+    ("li", "li", "ul ol menu"),
+    ("dt dd", "dt dd", "dl"),
+    ("tr", "tr", "table"),
+    ("td th", "td th", "tr table"),
+    ("option", "option", "select"),
+)
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME_ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 SCOPE = frozenset("table td th caption button object html body".split())
 
+# Every alternative runs to its end or the page's, so that each character is looked at once whatever is left open.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(" + "|".join(RAW) + r""")\b((?:"[^"]*"|'[^']*'|[^'">])*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""",
+    r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(" + "|".join(RAW) + r""")\b(ATTRIBUTES)(?:>|\Z).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(ATTRIBUTES)(?:>|\Z)""".replace(
+        "ATTRIBUTES", r"""(?:[^'">]++|"[^"]*+"|'[^']*+'|["'])*+"""
+    ),
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
@@ -40,31 +50,51 @@ _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、！？；：]")
 
-#: Share of the score that the content section must hold; weight of a path's neighbours in page order; threshold in mean scores
-#: of paths on pages without sections, and of those inside a section; weight of paths in elements named like boilerplate.
-SECTION_SHARE, NEIGHBOUR, THRESHOLD, INSIDE, NAMED = 0.8, 0.25, 0.5, 0.1, 0.01
+#: Weight of a path's neighbours in page order; threshold of a content path, in mean scores of the page's paths, and that of a
+#: path which may stand between content paths; how much a character of another path counts against a section.
+NEIGHBOUR, THRESHOLD, INSIDE, AGAINST = 0.25, 0.7, 0.05, 0.5
+#: Priors: weight of paths in elements named like boilerplate, and of text that stands in no paragraph, heading, item or cell.
+NAMED, BARE = 0.003, 0.05
 
 
 @dataclass
 class Node:
-    """An open element: its path, whether it or one around it is named like boilerplate or silent, and its section."""
+    """An open element: its path, what it inherits, its section, and the depth of the nearest scope and family members."""
 
     tag: str
-    path: str
+    path: int
     named: bool
     silent: bool
+    link: bool
+    article: bool
     section: int
+    scope: int
+    near: tuple[int, ...]
 
 
 @dataclass
 class Block:
-    path: str
+    path: int
     named: bool
     section: int
     pieces: list[str] = field(default_factory=list)
     links: int = 0
 
 
+@dataclass
+class Page:
+    """Text blocks that are shown, in page order; parent of each section (a section comes after its parent); leaf tag of each path."""
+
+    blocks: list[Block]
+    sections: list[int]
+    leaves: list[str]
+
+
+_OPENS = {t: k for k, (opens, _, _) in enumerate(FAMILIES) for t in opens.split()}
+_MEMBERS = [frozenset(m.split()) for _, m, _ in FAMILIES]
+_STOPS = [frozenset(x.split()) for _, _, x in FAMILIES]
+
+
 def _named(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in BOILERPLATE and not (tag == "header" and inside_article):
         return True
@@ -83,10 +113,12 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
-    """(text blocks that are shown, sections as (parent, tag)) of a page, in page order."""
-    sections: list[tuple[int, str]] = [(-1, "root")]
-    stack = [Node("", "", False, False, 0)]
+def blocks_of(page: str) -> Page:
+    """The page's text by blocks. Each tag costs the same however deep it stands, and each element is closed once."""
+    sections, leaves = [-1], [""]
+    paths: dict[tuple[int, str, bool], int] = {}
+    stack = [Node("", 0, False, False, False, False, 0, 0, (0,) * len(FAMILIES))]
+    depths: dict[str, list[int]] = {}  # of the open elements by tag
     blocks: list[Block] = []
     now: dict[bool, Block] = {}  # the open block of text in named elements, and that of other text
 
@@ -100,13 +132,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             blocks.append(block)
         piece = html.unescape(raw)
         block.pieces.append(piece)
-        if any(n.tag == "a" for n in stack[-3:]):
+        if top.link:
             block.links += len(piece.strip())
 
     def pop_to(depth: int) -> None:
-        if any(n.tag not in INLINE for n in stack[depth:]):
-            now.clear()
-        del stack[depth:]
+        while len(stack) > depth:
+            gone = stack.pop()
+            depths[gone.tag].pop()
+            if gone.tag not in INLINE:
+                now.clear()
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -116,99 +150,84 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             continue
         tag = m[4].lower()
         if m[3]:
+            depth = depths[tag][-1] if depths.get(tag) else 0
             if tag == "br":
                 now.clear()
-                continue
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
-            if depth and not (tag in INLINE and any(stack[d].tag in SCOPE for d in range(depth + 1, len(stack)))):
+            elif depth and not (tag in INLINE and stack[-1].scope > depth):
                 pop_to(depth)
             elif tag not in INLINE:
                 now.clear()
             continue
-        if tag in P_ENDS:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag == "p":
-                    pop_to(d)
-                    break
-                if stack[d].tag in SCOPE:
-                    break
-        if tag in SAME_ENDS:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag == tag or (tag in ("td", "th") and stack[d].tag in ("td", "th")) or (tag in ("dt", "dd") and stack[d].tag in ("dt", "dd")):
-                    pop_to(d)
-                    break
-                if stack[d].tag in SAME_ENDS[tag]:
-                    break
+        if tag in P_ENDS and stack[-1].near[0]:
+            pop_to(stack[-1].near[0])
+        family = _OPENS.get(tag, 0)
+        if family and stack[-1].near[family]:
+            pop_to(stack[-1].near[family])
         if tag not in INLINE:
             now.clear()
         if tag in VOID or m[5].endswith("/") and tag not in SECTIONS:
             continue
-        top = stack[-1]
-        own = _named(tag, m[5], any(n.tag in ("article", "main") for n in stack))
-        section = top.section
+        top, depth = stack[-1], len(stack)
+        own = _named(tag, m[5], top.article)
+        section, path = top.section, top.path
         if tag in SECTIONS:
-            sections.append((section, tag))
+            sections.append(section)
             section = len(sections) - 1
-        path = f"{top.path}/{tag}!" if own else top.path if tag in INLINE else f"{top.path}/{tag}"
-        stack.append(Node(tag, path, top.named or own, top.silent or tag in SILENT or _hidden(m[5]), section))
+        if own or tag not in INLINE:
+            path = paths.setdefault((top.path, tag, own), len(leaves))
+            if path == len(leaves):
+                leaves.append(tag)
+        near = tuple([depth if tag in _MEMBERS[k] else 0 if tag in _STOPS[k] else d for k, d in enumerate(top.near)])
+        silent = top.silent or tag in SILENT or _hidden(m[5])
+        stack.append(Node(tag, path, top.named or own, silent, top.link or tag == "a", top.article or tag in ("article", "main"), section, depth if tag in SCOPE else top.scope, near))
+        depths.setdefault(tag, []).append(depth)
     text(page[at:])
-    return blocks, sections
+    return Page(blocks, sections, leaves)
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by one line feed; empty if there is none."""
-    blocks, sections = blocks_of(page or "")
-    lines = [" ".join("".join(b.pieces).split()) for b in blocks]
-    kept = [(b, t) for b, t in zip(blocks, lines, strict=True) if t]
-    if not kept:
-        return ""
-    # Tag-path ratios: text and punctuation of each path over its blocks, without the text of links.
-    ratio: dict[str, list[float]] = {}
+def path_scores(kept: list[tuple[Block, str]], leaves: list[str]) -> dict[int, float]:
+    """Score of each path: text and punctuation over its blocks, without links, fused, smoothed over neighbours, with the priors."""
+    ratio: dict[int, list[int]] = {}
     for b, t in kept:
-        r = ratio.setdefault(b.path, [0, 0, 0])
+        r = ratio.setdefault(b.path, [0, 0, 0, 0])
         r[0] += max(0, len(t) - b.links)
         r[1] += len(_PUNCTUATION.findall(t)) if b.links < len(t) / 2 else 0
         r[2] += 1
-    paths = list(ratio)
-    named = {b.path for b, _ in kept if b.named}
-    fused = [r[0] / r[2] * (0.2 + math.sqrt(r[1] / r[2])) for r in ratio.values()]
-    # Smoothing over the paths in page order.
+        r[3] += len(t)
+    paths, named = list(ratio), {b.path for b, _ in kept if b.named}
+    prior = [r[0] / r[3] * (NAMED if p in named else 1) * (BARE if leaves[p] in SECTIONS or not leaves[p] else 1) for p, r in ratio.items()]
+    fused = [w * r[3] / r[2] * (0.2 + math.sqrt(r[1] / r[2])) for w, r in zip(prior, ratio.values(), strict=True)]
     smooth = {}
     for k, path in enumerate(paths):
         near = [fused[i] for i in (k - 1, k + 1) if 0 <= i < len(fused)]
-        smooth[path] = (fused[k] + NEIGHBOUR * sum(near)) / (1 + NEIGHBOUR * len(near)) * (NAMED if path in named else 1)
-    mean = sum(smooth.values()) / len(smooth)
-    weight = [0.0] * len(sections)
-    for b, t in kept:
-        share = smooth[b.path] * len(t)
-        s = b.section
-        while s >= 0:
-            weight[s] += share
-            s = sections[s][0]
-    # The innermost section with most of the score; an article wins over sections inside it.
-    best = 0
-    for s in range(1, len(sections)):
-        if weight[s] >= SECTION_SHARE * weight[0] and not (sections[best][1] in ("article", "main") and sections[s][1] not in ("article", "main")):
-            best = s
-    roots = {best}
-    labelled = {s for s, (_, tag) in enumerate(sections) if tag in ("article", "main") and weight[s] > 0}
-    if labelled and sections[best][1] not in ("article", "main"):
-        if max(weight[s] for s in labelled) >= 0.3 * weight[0] or sections[best][1] in ("root", "html", "body"):
-            roots = labelled
-
-    def within(s: int) -> bool:
-        while s >= 0:
-            if s in roots:
-                return True
-            s = sections[s][0]
-        return False
+        smooth[path] = (fused[k] + NEIGHBOUR * prior[k] * sum(near)) / (1 + NEIGHBOUR * len(near))
+    return smooth
+
 
-    # The threshold selects paths, inside the sections as on a page that has none of its own.
-    if sections[best][1] in ("root", "html", "body") and roots == {best}:
-        chosen = [t for b, t in kept if smooth[b.path] >= THRESHOLD * mean and b.links <= len(t) / 2]
-    else:
-        chosen = [t for b, t in kept if within(b.section) and smooth[b.path] >= INSIDE * mean]
-    return "\n".join(chosen)
+def main_text(page: str | None) -> str:
+    """The article of a page: its blocks joined by one line feed; empty if there is none.
+
+    Paths over the threshold are content, those of hardly any score are left out. The article is the section with
+    the most text of content paths less AGAINST times that of the paths between, the innermost of equal ones.
+    """
+    got = blocks_of(page or "")
+    lines = [" ".join("".join(b.pieces).split()) for b in got.blocks]
+    kept = [(b, t) for b, t in zip(got.blocks, lines, strict=True) if t]
+    if not kept:
+        return ""
+    score = path_scores(kept, got.leaves)
+    mean = sum(score.values()) / len(score)
+    gain = [0.0] * len(got.sections)
+    for b, t in kept:
+        if score[b.path] >= INSIDE * mean:
+            gain[b.section] += len(t) * (1 if score[b.path] >= THRESHOLD * mean else -AGAINST)
+    for s in range(len(gain) - 1, 0, -1):
+        gain[got.sections[s]] += gain[s]
+    best = max(range(len(gain)), key=lambda s: (gain[s], s)) if max(gain) > 0 else 0
+    inside = [False] * len(gain)
+    for s in range(len(gain)):
+        inside[s] = s == best or s > 0 and inside[got.sections[s]]
+    return "\n".join([t for b, t in kept if inside[b.section] and score[b.path] >= INSIDE * mean])
 
 
 def extract(pages: DataFrame) -> DataFrame:
