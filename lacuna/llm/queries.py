@@ -90,7 +90,9 @@ ORACLES = {
             SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
             FROM (SELECT DISTINCT page_id, host, path FROM u) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT u.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
-            coalesce(verdict, CASE WHEN coalesce(host, '') = '' OR regexp_matches(host, 'casino|pills|bets|spam|porn|viagra') THEN 'block' ELSE 'allow' END) AS verdict
+            coalesce(verdict, CASE WHEN coalesce(host, '') = '' OR regexp_matches(host, 'casino|pills|bets|spam|porn|viagra|poker|warez|torrent|malware|phish|escort')
+                OR regexp_matches(host, '^(ads?|adserver|banners?|click|doubleclick|pixel|track|tracker|tracking)\.')
+                OR regexp_matches(path, '(/wp-login\.php|/xmlrpc\.php|/login|/signin|\.(apk|css|exe|gif|ico|iso|jpeg|jpg|js|mp3|mp4|png|svg|zip))$|/(wp-admin|cgi-bin|login|signin|cart|checkout)/') THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN fit USING (page_id)
     """,
 }

@@ -18,13 +18,22 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# Hosts that are blocked where no named rule fits: globs over the host (fixed values).
-BLOCKED_HOSTS = ("*casino*", "*pills*", "*bets*", "*spam*", "*porn*", "*viagra*")
+# What is blocked where no named rule fits: globs over the host, and over the path (fixed values).
+BLOCKED_HOSTS = (
+    "*casino*", "*pills*", "*bets*", "*spam*", "*porn*", "*viagra*", "*poker*", "*warez*", "*torrent*", "*malware*", "*phish*", "*escort*",
+    "ad.*", "ads.*", "adserver.*", "banner.*", "banners.*", "click.*", "doubleclick.*", "pixel.*", "track.*", "tracker.*", "tracking.*",
+)
+BLOCKED_PATHS = (
+    "*/wp-login.php", "*/wp-admin/*", "*/xmlrpc.php", "*/cgi-bin/*", "*/login", "*/login/*", "*/signin", "*/signin/*", "*/cart/*", "*/checkout/*",
+    "*.apk", "*.css", "*.exe", "*.gif", "*.ico", "*.iso", "*.jpeg", "*.jpg", "*.js", "*.mp3", "*.mp4", "*.png", "*.svg", "*.zip",
+)
 
 OTHER, SEP, PAD = 128, 129, 130
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: URLs that advance together.
-GROUP = 512
+#: URLs that advance together, characters from which one is walked by itself, and states that are remembered for that.
+GROUP, LONG, STATES = 512, 2048, 10_000
+#: Globs that a table of them may hold.
+MOST_GLOBS = 100_000
 
 
 def canonical(url: str | None) -> tuple[str, str]:
@@ -79,13 +88,17 @@ def compile_globs(globs: list[tuple[str, str]]) -> Automaton:
 
 
 def simulate(auto: Automaton, texts: list[tuple[str, str]]) -> np.ndarray:
-    """Boolean matrix (URL, glob): which globs match the whole of (host, path)."""
+    """Boolean matrix (URL, glob): which globs match the whole of (host, path).
+
+    URLs under LONG characters advance together, so a step's memory is GROUP states and a grid's is GROUP
+    times LONG bytes; a longer one is walked by itself.
+    """
     codes = []
     for host, path in texts:
         h, p = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (host, path))
-        codes.append(np.concatenate([np.minimum(h, OTHER), [SEP], np.minimum(p, OTHER)]).astype(np.uint8))
-    out = np.zeros((len(texts), len(auto.ends)), bool)
-    order = sorted(range(len(codes)), key=lambda i: len(codes[i]))
+        codes.append(np.concatenate([np.minimum(h, OTHER).astype(np.uint8), np.array([SEP], np.uint8), np.minimum(p, OTHER).astype(np.uint8)]))
+    last = np.zeros((len(texts), len(auto.start)), np.uint64)
+    order = sorted((i for i in range(len(codes)) if len(codes[i]) < LONG), key=lambda i: len(codes[i]))
     for a in range(0, len(order), GROUP):
         rows = order[a : a + GROUP]
         grid = np.full((len(codes[rows[-1]]), len(rows)), PAD, np.uint8)
@@ -93,25 +106,75 @@ def simulate(auto: Automaton, texts: list[tuple[str, str]]) -> np.ndarray:
             grid[: len(codes[i]), k] = codes[i]
         state = np.repeat(auto.start[None, :], len(rows), axis=0)
         for c in grid:
-            moved = state << np.uint64(1)
-            moved[:, 1:] |= state[:, :-1] >> np.uint64(63)
-            state = (moved & auto.step[c]) | (state & auto.loop[c])
-        for g, (word, bit) in enumerate(auto.ends):
-            out[rows, g] = (state[:, word] >> np.uint64(bit)) & np.uint64(1)
+            state = advance(auto, state, c)
+        last[rows] = state
+    walker = Walker(auto)
+    for i, code in enumerate(codes):
+        if len(code) >= LONG:
+            last[i] = walker.walk(code)
+    out = np.zeros((len(texts), len(auto.ends)), bool)
+    for g, (word, bit) in enumerate(auto.ends):
+        out[:, g] = (last[:, word] >> np.uint64(bit)) & np.uint64(1)
     return out
 
 
-def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def advance(auto: Automaton, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """States of all rows after one character each."""
+    moved = state << np.uint64(1)
+    moved[:, 1:] |= state[:, :-1] >> np.uint64(63)
+    return (moved & auto.step[c]) | (state & auto.loop[c])
+
+
+class Walker:
+    """The automaton over one long URL: what follows a set of states on each character is worked out once and remembered."""
+
+    def __init__(self, auto: Automaton):
+        self.auto, self.numbers, self.states, self.after = auto, {}, [], []
+
+    def number(self, state: np.ndarray) -> int:
+        k = self.numbers.setdefault(state.tobytes(), len(self.states))
+        if k == len(self.states):
+            self.states.append(state)
+            self.after.append([-1] * (PAD + 1))
+        return k
+
+    def walk(self, code: np.ndarray) -> np.ndarray:
+        now = self.number(self.auto.start)
+        for c in code.tobytes():
+            then = self.after[now][c]
+            if then < 0:
+                state = advance(self.auto, self.states[now][None, :], np.array([c]))[0]
+                if len(self.states) >= STATES:
+                    self.numbers, self.states, self.after = {}, [], []
+                    then = self.number(state)
+                else:
+                    then = self.after[now][c] = self.number(state)
+            now = then
+        return self.states[now]
+
+
+def globs_of(table: DataFrame, host_col: str = "host", path_col: str = "path") -> list[tuple[str, str]]:
+    """(host, path) globs of a table, which may hold MOST_GLOBS rows; null stands for any."""
+    rows = table.select(F.coalesce(host_col, F.lit("*")), F.coalesce(path_col, F.lit("*"))).distinct().limit(MOST_GLOBS + 1).collect()
+    if len(rows) > MOST_GLOBS:
+        raise ValueError(f"more than {MOST_GLOBS} globs")
+    return sorted(map(tuple, rows))
+
+
+BLOCKED = tuple((h, "*") for h in BLOCKED_HOSTS) + tuple(("*", p) for p in BLOCKED_PATHS)
+
+
+def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each row of pages.
 
     rule is the longest named rule that fits (the earlier one of equal lengths), else null. Without one
-    the verdict is block if a blocked host glob matches or the host is empty (null, empty or malformed
-    url), else allow. Repeated rows repeat; other columns are not read; an empty table gives no rows.
+    the verdict is block if a blocked (host, path) glob matches (globs_of takes them from a table) or the
+    host is empty (null, empty or malformed url), else allow. Repeated rows repeat; other columns are not read; an empty table gives no rows.
     """
     names = [h + p for _, h, p in rules]
 
     def make():
-        globs = [g for _, h, p in rules for g in ((h, p + "*"), ("*." + h, p + "*"))] + [(g, "*") for g in blocked]
+        globs = [g for _, h, p in rules for g in ((h, p + "*"), ("*." + h, p + "*"))] + list(blocked)
         auto = compile_globs(globs)
         best = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
 
