@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,24 +63,48 @@ def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{z}" for a, z, kind in spans)
 
 
-def battery(tokens: list[str], counts: np.ndarray, change: float) -> np.ndarray:
+@dataclass
+class Ordinary:
+    """Ordinary text: counts of ASCII characters, and how often neighbours change between letters and others, and in case."""
+
+    counts: np.ndarray
+    kind_change: float
+    case_change: float
+
+
+def kind_changes(c: np.ndarray) -> tuple[int, int]:
+    """(neighbours of encoding characters, those of which one is a letter and the other a digit or sign)."""
+    k = _CLASS[c]
+    both = (k[1:] > 0) & (k[:-1] > 0)
+    other = k > 2
+    return int(both.sum()), int((both & ((other[1:] != other[:-1]) | (other[1:] & (k[1:] != k[:-1])))).sum())
+
+
+def case_changes(c: np.ndarray) -> tuple[int, int]:
+    """(neighbouring letters after another letter, those of which differ in case); a word's capital doesn't count."""
+    k = _CLASS[c]
+    letter = (k == 1) | (k == 2)
+    three = letter[2:] & letter[1:-1] & letter[:-2]
+    return int(three.sum()), int((three & (k[2:] != k[1:-1])).sum())
+
+
+def battery(tokens: list[str], text: Ordinary) -> np.ndarray:
     """p-value of each token against ordinary text, 1 where it isn't random in its inferred encoding.
 
-    counts: how often each ASCII character occurs in the corpus; change: how often neighbours inside its
-    runs are of different character classes. Against ordinary text count chi-squared uniformity (drawn
-    from the corpus' frequencies inside the alphabet it is larger) and the number of class runs (it is
-    smaller); twice the lesser of both p-values is returned. Against a uniform source none of chi-squared,
+    Against ordinary text count chi-squared uniformity (drawn from the corpus' frequencies inside the
+    alphabet it is larger) and two numbers of runs, of letters and of others, and of one case (they are
+    smaller); three times the least of their p-values is returned. Against a uniform source none of chi-squared,
     runs about the middle of the alphabet, and serial correlation may have a p-value under UNIFORM_ALPHA.
     """
     out = np.ones(len(tokens))
     for i, token in enumerate(tokens):
         chars = set(token)
         alphabet = next(a for a, known in _KNOWN if chars <= known)
-        out[i] = _one(np.frombuffer(token.encode("ascii"), np.uint8).astype(np.int64), alphabet, counts, change)
+        out[i] = _one(np.frombuffer(token.encode("ascii"), np.uint8).astype(np.int64), alphabet, text)
     return out
 
 
-def _one(c: np.ndarray, alphabet: str, counts: np.ndarray, change: float) -> float:
+def _one(c: np.ndarray, alphabet: str, text: Ordinary) -> float:
     n, a = len(c), len(alphabet)
     place = np.full(128, -1)
     order = [ord(x) for x in alphabet]
@@ -100,16 +125,17 @@ def _one(c: np.ndarray, alphabet: str, counts: np.ndarray, change: float) -> flo
     z_serial = abs(float((d[:-1] * d[1:]).sum()) / spread + 1 / n) * math.sqrt(n) if spread else 40.0
     if min(_upper(z_chi), 2 * _upper(z_runs), 2 * _upper(z_serial)) < UNIFORM_ALPHA:
         return 1.0
-    q = counts[order] + 0.5
+    q = text.counts[order] + 0.5
     q = q / q.sum()
     s2, s3 = float((q * q).sum()), float((q**3).sum())
     text_mean = a * ((n - 1) * s2 + 1) - n
     text_var = max(1e-9, a * a / (n * n) * (4 * n * (n - 1) * (n - 2) * (s3 - s2 * s2) + 2 * n * (n - 1) * (s2 - s2 * s2)))
     p_chi = _upper((text_mean - chi) / math.sqrt(text_var))
-    kinds = _CLASS[c]
-    changes = int((kinds[1:] != kinds[:-1]).sum())
-    p_runs = _binomial_tail(changes, n - 1, change)
-    return min(1.0, 2 * min(p_chi, p_runs))
+    pairs, changed = kind_changes(c)
+    p_kinds = _binomial_tail(changed, pairs, text.kind_change)
+    pairs, changed = case_changes(c)
+    p_cases = _binomial_tail(changed, pairs, text.case_change)
+    return min(1.0, 3 * min(p_chi, p_kinds, p_cases))
 
 
 def _binomial_tail(k: int, n: int, p: float) -> float:
@@ -121,28 +147,26 @@ def _binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(max(log, -90)) / max(1e-3, 1 - ratio))
 
 
-def corpus_characters(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """(count of each ASCII character, share of neighbours in runs of encoding characters that change class) of all texts."""
+def corpus_characters(docs: DataFrame) -> Ordinary:
+    """Character counts, and the shares of neighbours that change, of all texts."""
 
     def make():
         def each(rows):
-            out = np.zeros(130, np.int64)
+            out = np.zeros(132, np.int64)
             for text in rows["text"]:
                 b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 b = b[b < 128]
                 out[:128] += np.bincount(b, minlength=128)
-                k = _CLASS[b]
-                both = (k[1:] > 0) & (k[:-1] > 0)
-                out[128] += int(both.sum())
-                out[129] += int((both & (k[1:] != k[:-1])).sum())
+                out[128:130] += kind_changes(b)
+                out[130:] += case_changes(b)
             hit = np.flatnonzero(out)
             return {"k": hit.tolist(), "n": out[hit].tolist()}
 
         return each
 
     sums = dict(map(tuple, map_rows(docs.select("text"), make, "k int, n long").groupBy("k").agg(F.sum("n")).collect()))
-    pairs, changed = sums.get(128, 0), sums.get(129, 0)
-    return np.array([sums.get(k, 0) for k in range(128)], np.int64), min(0.5, (changed + 1) / (pairs + 2))
+    share = lambda k: min(0.5, (sums.get(k + 1, 0) + 1) / (sums.get(k, 0) + 2))
+    return Ordinary(np.array([sums.get(k, 0) for k in range(128)], np.int64), share(128), share(130))
 
 
 def _p_bin(p: np.ndarray) -> np.ndarray:
@@ -174,7 +198,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(corpus_characters(rows))
 
     def make():
-        counts, change = model.value
+        ordinary = model.value
 
         def each(rows):
             out = {n: [] for n in ("doc_id", "base", "starts", "ends", "strata", "bins", "tests")}
@@ -182,7 +206,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 found = _outside(text, spans)
-                bins = _p_bin(battery([m[0] for m in found], counts, change))
+                bins = _p_bin(battery([m[0] for m in found], ordinary))
                 strata = [max(s for s in STRATA if len(m[0]) >= s) for m in found]
                 keep = [i for i in range(len(found)) if bins[i] >= PER_TEN]
                 tests = dict.fromkeys(strata, 0)
