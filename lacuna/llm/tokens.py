@@ -16,7 +16,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # What may follow a run of them for its end to be a split of the tokenizer as well.
 EDGE = r"(?=[\x00-@\[-`{-\x7f]|\Z)"
 #: Distinct pieces that a worker remembers, the longest of them, and characters of texts that are split at once.
-CACHE_PIECES, CACHE_CHARS, GROUP_CHARS = 300_000, 64, 1 << 19
+CACHE_PIECES, CACHE_CHARS, GROUP_CHARS = 500_000, 64, 1 << 19
 #: Plain words that are encoded as one text.
 JOINED = 512
 
