@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -14,12 +15,13 @@ from lacuna.sources.staging import stage
 
 #: A window is a leak if its word edit distance to the item is at most (1 - SIMILARITY) of the item's words.
 SIMILARITY = 0.8
-#: Chance to find a window of an item after two edits by sampling alone, which sets how often it is repeated; pieces find the others.
-TARGET_RECALL, EDITS = 0.9, 2
-#: Sampled places: the first three among the first HEAD steps, the others anywhere in the item's embedding.
-HEAD, HEAD_SAMPLES, TAIL_SAMPLES, WALKS, MOST_REPEATS = 12, 3, 2, 3, 24
+#: Chance to find a window with as many edits as its item allows by sampling alone, in each class of items; it sets how often
+#: sampling is repeated, up to MOST_REPEATS. PROBES items are tried in each class.
+TARGET_RECALL, MOST_REPEATS, PROBES = 0.9, 60, 200
+#: Sampled places: the first ones among the first HEAD steps, the others anywhere in the item's embedding.
+HEAD, HEAD_SAMPLES, TAIL_SAMPLES, WALKS = 16, 3, 1, 4
 #: Items that are held as one broadcast block; a larger benchmark is worked through block after block.
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 100_000
 SEED = 5
 #: Words of documents that are embedded at once.
 STEP = 1 << 17
@@ -60,34 +62,62 @@ class Pieces:
 @dataclass
 class Index:
     vocabulary: dict[str, int]  # word to id from 1; 0 is any other word
-    coins: np.ndarray  # (WALKS, steps, words + 2) in 0 or 1
-    items: list[tuple[int, np.ndarray]]
+    mixed: np.ndarray  # random number of each word id; the last one, of the pad, is 0
+    turns: np.ndarray  # (WALKS, steps) odd factors: a word's coin at a step is the top bit of factor * mixed
+    items: list[tuple[int | None, np.ndarray]]
     repeats: list[Repeat]
     pieces: list[Pieces]
+    sizes: np.ndarray  # words of each item
+    members: np.ndarray  # sieve of (item, word)
+
+    @property
+    def pad(self) -> int:
+        return len(self.mixed) - 1
 
 
-_SIEVE = 1 << 20
 _ODD = np.int64(0x5851F42D4C957F2D)
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """Which keys modulo its size, a power of two of at least 16 times their number, occur."""
+    out = np.zeros(1 << min(26, max(20, (16 * len(keys)).bit_length())), bool)
+    out[keys & (len(out) - 1)] = True
+    return out
+
+
 def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a key and one more sampled word; equal keys are verified by edit distance later on."""
     key = (key ^ (word + np.int64(0x2545F491))) * _ODD
     return key ^ (key >> np.int64(29))
 
 
-def _walk(ids: np.ndarray, at: np.ndarray, coins: np.ndarray, upto: int):
-    """Places in ids at each step of the CGK walk from at: a step copies the word and moves on if its coin says so."""
-    bound = np.array([len(ids) - 1])
-    for step in range(upto):
-        yield step, at
-        at = np.minimum(at + coins[step].take(ids.take(at)), bound)
+def _member(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(_mix(np.zeros(len(item), np.int64), item), word)
 
 
-def embed(ids: np.ndarray, coins: np.ndarray, length: int) -> np.ndarray:
-    """The CGK string of 2 * length words of one item; past its end the pad word."""
-    padded = np.append(ids, coins.shape[1] - 1)
-    return np.array([padded[at[0]] for _, at in _walk(padded, np.zeros(1, np.int64), coins, max(HEAD, 2 * length))])
+def _walk(mixed_ids: np.ndarray, at: np.ndarray, turns: np.ndarray, upto: int):
+    """Places at each step of the CGK walk from at: a step copies the word and moves on if its coin says so, never past a pad."""
+    bound = np.array([len(mixed_ids) - 1])
+    for step in range(upto):
+        yield step, at
+        at = np.minimum(at + ((mixed_ids.take(at) * turns[step]) >> np.uint64(63)).astype(np.int64), bound)
+
+
+def embed(texts: list[np.ndarray], index: Index, walk: int, asked: np.ndarray) -> np.ndarray:
+    """(texts, samples): the words of the CGK string of each text at its own asked steps; past its end the pad word."""
+    begins = np.cumsum([0] + [len(x) + 1 for x in texts])
+    ids = np.full(int(begins[-1]), index.pad, np.int64)
+    for b, x in zip(begins, texts, strict=False):
+        ids[b : b + len(x)] = x
+    out = np.zeros(asked.size, np.int64)
+    order = np.argsort(asked, axis=None, kind="stable")
+    upto = int(asked.max(initial=-1)) + 1
+    cuts = np.searchsorted(asked.reshape(-1)[order], np.arange(upto + 1))
+    for step, at in _walk(index.mixed.take(ids), begins[:-1], index.turns[walk], upto):
+        hit = order[cuts[step] : cuts[step + 1]]
+        if len(hit):
+            out[hit] = ids.take(at[hit // asked.shape[1]])
+    return out.reshape(asked.shape)
 
 
 def _head_key(words: list[np.ndarray]) -> np.ndarray:
@@ -97,44 +127,77 @@ def _head_key(words: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
+def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     """LSH keys of items; how often the sampling is repeated is set by the recall measured on edited copies of the items."""
     split = [(i, w) for i, t in items if (w := words_of(t))]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in split for w in ws}), 1)}
     coded = [(i, np.array([vocabulary[w] for w in ws], np.int64)) for i, ws in split]
-    if not coded:
-        return Index({}, np.zeros((WALKS, HEAD, 2), np.int64), [], [], [])
-    sizes = sorted({len(x) for _, x in coded})
-    place = {n: k for k, n in enumerate(sizes)}
     rng = np.random.default_rng(SEED)
-    coins = rng.integers(0, 2, (WALKS, max(HEAD, 2 * sizes[-1]), len(vocabulary) + 2))
-    probes = [coded[k][1] for k in rng.permutation(len(coded))[:200]]
-    edited = [_edit(x, rng) for x in probes]
-    at = np.array([place[len(x)] for _, x in coded])
-    strings = [[embed(x, coins[w], len(x)) for _, x in coded] for w in range(WALKS)]
-    probed = [[(embed(x, coins[w], len(x)), embed(y, coins[w], len(x))) for x, y in zip(probes, edited, strict=True)] for w in range(WALKS)]
-    found = np.zeros(len(probes), bool)
-    repeats: list[Repeat] = []
+    mixed = rng.integers(1, 1 << 63, len(vocabulary) + 2, dtype=np.uint64)
+    mixed[-1] = 0
+    sizes = sorted({len(x) for _, x in coded})
+    turns = rng.integers(0, 1 << 63, (WALKS, max(HEAD, 2 * max(sizes, default=1))), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    texts = [x for _, x in coded]
+    owner = np.repeat(np.arange(len(coded)), [len(x) for x in texts])
+    members = _sieve(_member(owner, np.concatenate([*texts, np.zeros(0, np.int64)])))
+    index = Index(vocabulary, mixed, turns, coded, [], _cut(texts), np.array([len(x) for x in texts], np.int64), members)
+    if not coded:
+        return index
+    samples: list[tuple[int, np.ndarray, np.ndarray]] = []
     for k in range(MOST_REPEATS):
-        walk = k % WALKS
         head = np.sort(rng.choice(HEAD, HEAD_SAMPLES, replace=False))
         draws = np.sort(rng.random(TAIL_SAMPLES))
-        tails = np.array([np.maximum(head[-1], draws * 2 * n * 0.9).astype(np.int64) for n in sizes])
-        key = _head_key([np.array([e[s] for e in strings[walk]]) for s in head])
+        tails = np.array([np.maximum(head[-1], draws * 2 * n * 0.6).astype(np.int64) for n in sizes])
+        samples.append((k % WALKS, head, tails))
+    place = {n: k for k, n in enumerate(sizes)}
+    at = np.array([place[len(x)] for x in texts])
+    samples = samples[: _repeats(texts, index, place, samples)]
+    words = _sampled(texts, index, at, samples)
+    for k, (walk, head, tails) in enumerate(samples):
+        mine = words[:, k]
+        key = _head_key(list(mine[:, :HEAD_SAMPLES].T))
         pairs = np.unique(np.stack([key, at], 1), axis=0)
-        sieve = np.zeros(_SIEVE, bool)
-        sieve[pairs[:, 0] & (_SIEVE - 1)] = True
         full = _mix(key, at)
-        for s in range(TAIL_SAMPLES):
-            full = _mix(full, np.array([e[tails[a, s]] for e, a in zip(strings[walk], at, strict=True)]))
+        for s in range(HEAD_SAMPLES, mine.shape[1]):
+            full = _mix(full, mine[:, s])
         order = np.argsort(full, kind="stable")
-        repeats.append(Repeat(walk, head, tails, pairs[:, 0], pairs[:, 1], sieve, full[order], order))
-        for n, (a, b) in enumerate(probed[walk]):
-            steps = [*head, *tails[place[len(probes[n])]]]
-            found[n] |= bool((a[steps] == b[steps]).all())
-        if found.mean() >= TARGET_RECALL:
-            break
-    return Index(vocabulary, coins, coded, repeats, _cut([x for _, x in coded]))
+        index.repeats.append(Repeat(walk, head, tails, pairs[:, 0], pairs[:, 1], _sieve(pairs[:, 0]), full[order], order))
+    return index
+
+
+def _sampled(texts: list[np.ndarray], index: Index, lengths: np.ndarray, samples: list) -> np.ndarray:
+    """(texts, repetitions, samples): words of the texts' embeddings, sampled as for items of the given lengths (places in tails)."""
+    out = np.zeros((len(texts), len(samples), HEAD_SAMPLES + TAIL_SAMPLES), np.int64)
+    for walk in range(WALKS):
+        mine = [k for k, s in enumerate(samples) if s[0] == walk]
+        if mine:
+            steps = np.stack([np.concatenate([np.repeat(samples[k][1][None], len(texts), 0), samples[k][2][lengths]], 1) for k in mine], 1)
+            out[:, mine] = embed(texts, index, walk, steps.reshape(len(texts), -1)).reshape(steps.shape)
+    return out
+
+
+def _repeats(texts: list[np.ndarray], index: Index, place: dict[int, int], samples: list) -> int:
+    """Repetitions after which copies with all edits that their items allow are found at TARGET_RECALL in each class of items.
+
+    Classes are powers of two of the number of edits. Where MOST_REPEATS aren't enough, pieces find the rest.
+    """
+    rng = np.random.default_rng(SEED + 1)
+    classes: dict[int, list[np.ndarray]] = {}
+    for k in rng.permutation(len(texts)).tolist():
+        held = classes.setdefault(slack_of(len(texts[k])).bit_length(), [])
+        if len(held) < PROBES:
+            held.append(texts[k])
+    probes = [x for held in classes.values() for x in held for _ in range(max(1, PROBES // len(held) if len(held[0]) < 1000 else 1))]
+    kind = np.array([slack_of(len(x)).bit_length() for x in probes])
+    lengths = np.array([place[len(x)] for x in probes])
+    edited = [_edit(x, slack_of(len(x)), rng) for x in probes]
+    found = (_sampled(probes, index, lengths, samples) == _sampled(edited, index, lengths, samples)).all(2)
+    found = np.logical_or.accumulate(found, axis=1)
+    for k in range(len(samples)):
+        shares = [(found[kind == c, k].mean(), (kind == c).sum()) for c in classes]
+        if all(p - math.sqrt(p * (1 - p) / n) >= TARGET_RECALL for p, n in shares):  # less what chance may have added
+            return k + 1
+    return len(samples)
 
 
 def slack_of(length: int) -> int:
@@ -154,9 +217,7 @@ def _cut(items: list[np.ndarray]) -> list[Pieces]:
     for size, rows in sorted(cut.items()):
         key = _head_key(list(np.array([p for p, _, _ in rows]).T))
         order = np.argsort(key, kind="stable")
-        sieve = np.zeros(_SIEVE, bool)
-        sieve[key & (_SIEVE - 1)] = True
-        out.append(Pieces(size, sieve, key[order], np.array([k for _, k, _ in rows])[order], np.array([a for _, _, a in rows])[order]))
+        out.append(Pieces(size, _sieve(key), key[order], np.array([k for _, k, _ in rows])[order], np.array([a for _, _, a in rows])[order]))
     return out
 
 
@@ -168,7 +229,7 @@ def seeded(ids: np.ndarray, index: Index) -> np.ndarray:
         if many < 1:
             continue
         key = _head_key([ids[s : s + many] for s in range(p.size)])
-        alive = np.flatnonzero(p.sieve.take(key & (_SIEVE - 1)))
+        alive = np.flatnonzero(p.sieve.take(key & (len(p.sieve) - 1)))
         w, k = _spans(p.keys, key[alive])
         out.append(np.stack([alive[w], p.items[k], p.offsets[k]], 1))
     return np.concatenate(out)
@@ -188,20 +249,21 @@ def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
     on alone, so what is found is what complete sampling of every window finds.
     """
     out = [np.zeros((0, 2), np.int64)]
-    pad = index.coins.shape[2] - 1
+    pad = index.pad
     ids = np.append(ids, pad)
+    mixed = index.mixed.take(ids)
     starts = np.flatnonzero((ids > 0) & (ids < pad))  # a first word that is in no item can match none
     for walk in sorted({r.walk for r in index.repeats}):
         mine = [r for r in index.repeats if r.walk == walk]
         seen = {}
-        coins = index.coins[walk]
+        turns = index.turns[walk]
         wanted = {int(s) for r in mine for s in r.head}
-        for step, at in _walk(ids, starts, coins, max(wanted) + 1):
+        for step, at in _walk(mixed, starts, turns, max(wanted) + 1):
             if step in wanted:
                 seen[step] = ids.take(at)
         for r in mine:
             key = _head_key([seen[int(s)] for s in r.head])
-            alive = np.flatnonzero(r.sieve.take(key & (_SIEVE - 1)))
+            alive = np.flatnonzero(r.sieve.take(key & (len(r.sieve) - 1)))
             w, k = _spans(r.heads, key[alive])
             if not len(w):
                 continue
@@ -211,7 +273,7 @@ def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
             walkers, back = np.unique(origin, return_inverse=True)
             words = np.zeros((TAIL_SAMPLES, len(origin)), np.int64)
             asked = set(np.unique(steps).tolist())
-            for step, at in _walk(ids, walkers, coins, int(steps.max()) + 1):
+            for step, at in _walk(mixed, walkers, turns, int(steps.max()) + 1):
                 if step in asked:
                     now = ids.take(at)
                     for s in range(TAIL_SAMPLES):
@@ -224,10 +286,10 @@ def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _edit(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """x after EDITS replacements, insertions or removals at random places, as far as the threshold allows."""
+def _edit(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """x after so many replacements, insertions or removals at random places."""
     out = x.tolist()
-    for _ in range(min(EDITS, int(len(x) * (1 - SIMILARITY)))):
+    for _ in range(edits):
         at = int(rng.integers(0, len(out)))
         kind = rng.integers(0, 3)
         if kind == 0:
@@ -239,35 +301,33 @@ def _edit(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _costs(item: np.ndarray, text: np.ndarray, anywhere: bool) -> np.ndarray:
+    """Least edit distance of the whole item to a stretch of text that ends at each place; it begins anywhere, or at the first word."""
+    up = np.arange(len(item) + 1)
+    cost = up.copy()
+    out = np.empty(len(text) + 1, np.int64)
+    out[0] = cost[-1]
+    for j, word in enumerate(text, 1):
+        now = np.minimum(cost + 1, np.append(0 if anywhere else j, cost[:-1] + (item != word)))
+        if anywhere:
+            now[0] = 0
+        cost = np.minimum.accumulate(now - up) + up
+        out[j] = cost[-1]
+    return out
+
+
 def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(edits, start, end): least word edit distance of the whole item to any window of text, the leftmost end of ties."""
-    n, m = len(item), len(text)
-    cost, origin = list(range(n + 1)), [0] * (n + 1)
-    best = (n, 0, 0)
-    for j in range(1, m + 1):
-        word = text[j - 1]
-        diagonal, diagonal_from = cost[0], origin[0]
-        cost[0], origin[0] = 0, j
-        for i in range(1, n + 1):
-            replaced = diagonal + (item[i - 1] != word)
-            came = diagonal_from
-            diagonal, diagonal_from = cost[i], origin[i]
-            here, start = replaced, came
-            if cost[i] + 1 < here:
-                here, start = cost[i] + 1, origin[i]
-            if cost[i - 1] + 1 < here:
-                here, start = cost[i - 1] + 1, origin[i - 1]
-            cost[i], origin[i] = here, start
-        if cost[n] < best[0]:
-            best = (cost[n], origin[n], j)
-            if best[0] == 0:
-                break
-    return best
+    """(edits, start, end): least word edit distance of the whole item to any window of text, the leftmost end and shortest window of ties."""
+    item, text = np.asarray(item), np.asarray(text)
+    ends = _costs(item, text, True)
+    end = int(ends.argmin())
+    back = _costs(item[::-1], text[:end][::-1], False)
+    return int(ends[end]), end - int(back.argmin()), end
 
 
 def leaks_of(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item_id, start word, end word, edits) for each item that a window of a text matches, the best window of each."""
-    get, pad = index.vocabulary.get, index.coins.shape[2] - 1
+    """(text number, item number, start word, end word, edits) for each item that a window of a text matches, the best window of each."""
+    get, pad = index.vocabulary.get, index.pad
     out: list[tuple[int, int, int, int, int]] = []
     held: list[np.ndarray] = []
     first, size = 0, 0
@@ -290,29 +350,43 @@ def _verified(texts: list[np.ndarray], pad: int, index: Index) -> list[tuple[int
     hashed = candidates(joined, index)
     rows = np.concatenate([np.insert(hashed, 2, 0, axis=1), seeded(joined, index)])
     owner = np.searchsorted(begins, rows[:, 0], side="right") - 1
-    rows = np.unique(np.stack([owner, rows[:, 1], rows[:, 0] - begins[owner] - rows[:, 2]], 1), axis=0)
+    rows = np.unique(np.stack([owner, rows[:, 1], rows[:, 0] - rows[:, 2]], 1), axis=0)
+    size = index.sizes[rows[:, 1]]
+    slack = (size * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    lo, hi = np.maximum(begins[rows[:, 0]], rows[:, 2] - slack), np.minimum(begins[rows[:, 0] + 1] - 1, rows[:, 2] + size + slack)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     windows: list[list[int]] = []  # (text, item, from, to)
-    for t, item, at in rows.tolist():
-        x = index.items[item][1]
-        slack = slack_of(len(x))
-        lo, hi = max(0, at - slack), min(len(texts[t]), at + len(x) + slack)
-        if np.isin(x, texts[t][lo:hi]).sum() < len(x) - slack:
-            continue
-        if windows and windows[-1][:2] == [t, item] and lo <= windows[-1][3]:
-            windows[-1][3] = hi
+    for k in np.flatnonzero(_common(joined, rows[:, 1], lo, hi, index) >= size - slack).tolist():
+        t, item = rows[k, :2].tolist()
+        a, z = int(lo[k] - begins[t]), int(hi[k] - begins[t])
+        if windows and windows[-1][:2] == [t, item] and a <= windows[-1][3]:
+            windows[-1][3] = z
         else:
-            windows.append([t, item, lo, hi])
+            windows.append([t, item, a, z])
     for t, item, lo, hi in windows:
         x = index.items[item][1]
         slack = slack_of(len(x))
         best = found.get((t, item), (slack + 1, 0, 0))
         if best[0] == 0:
             continue
-        edits, a, b = best_window(x.tolist(), texts[t][lo:hi].tolist())
+        edits, a, b = best_window(x, texts[t][lo:hi])
         if edits <= slack and (edits, lo + a) < best[:2]:
             found[t, item] = (edits, lo + a, lo + b)
-    return sorted((t, index.items[k][0], a, b, e) for (t, k), (e, a, b) in found.items())
+    return sorted((t, k, a, b, e) for (t, k), (e, a, b) in found.items())
+
+
+def _common(ids: np.ndarray, items: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: Index) -> np.ndarray:
+    """How many words of each window lo to hi are the item's, or rarely more; a match has all but its edits. Some 4 million words at once."""
+    n = np.maximum(hi - lo, 0)
+    out = np.zeros(len(n), np.int64)
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()) + 1, 1 << 22), side="left")
+    for a, z in zip(cuts, np.append(cuts[1:], len(n)), strict=True):
+        many = n[a:z]
+        row = np.repeat(np.arange(a, z), many)
+        at = np.arange(len(row)) + np.repeat(lo[a:z] - np.cumsum(many) + many, many)
+        hit = index.members.take(_member(items[row], ids.take(at)) & (len(index.members) - 1))
+        out[a:z] = np.bincount(row[hit] - a, minlength=z - a)
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -321,17 +395,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts are compared as lower-cased words of letters and digits; an item is found where a window's
     word edit distance to it is at most 20 % of the item's words (similarity of 0.8 or more). None is
     missed: k edits leave one of an item's k + 1 pieces as it is, and all places of all pieces are looked at. Items
-    without a word match nothing, nor do null or empty texts. Repeated rows repeat their rows; an empty
-    table on either side gives no rows. Items are broadcast in blocks of ITEM_BLOCK rows; a larger
+    without a word match nothing, nor do null or empty texts. An item_id with several texts is found where
+    one of them is, with the most similar; items without an id are found with a null one. Repeated rows of
+    docs repeat their rows; an empty table on either side gives no rows. Items are broadcast in blocks of ITEM_BLOCK rows; a larger
     benchmark takes one pass for each block.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word int, end_word int, edits int, similarity double"
     out = None
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text")
+    for b in range(blocks):  # all texts of an item_id are in one block
+        mine = items.where(F.pmod(F.xxhash64(F.coalesce("item_id", F.xxhash64("text"))), F.lit(blocks)) == b).orderBy("item_id", "text")
         index = docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in mine.collect()]))
 
         def make(index=index):
@@ -339,9 +414,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = {n: [] for n in ("doc_id", "item_id", "start_word", "end_word", "edits", "similarity")}
                 if not index.value.items:
                     return out
-                lengths = {i: len(x) for i, x in index.value.items}
-                for t, item, a, z, edits in leaks_of(rows["text"], index.value):
-                    for n, v in zip(out, (rows["doc_id"][t], item, a, z, edits, 1 - edits / lengths[item]), strict=True):
+                best: dict = {}
+                for t, k, a, z, edits in leaks_of(rows["text"], index.value):
+                    item, x = index.value.items[k]
+                    row = (1 - edits / len(x), -a, z, edits)
+                    best[t, item] = max(row, best.get((t, item), row))
+                for (t, item), (similarity, a, z, edits) in best.items():
+                    for n, v in zip(out, (rows["doc_id"][t], item, -a, z, edits, similarity), strict=True):
                         out[n].append(v)
                 return out
 
