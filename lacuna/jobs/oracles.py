@@ -8,7 +8,7 @@ GRID = """grid AS (SELECT iy * 24 + ix AS node_id, iy, ix, v FROM (SELECT date_d
     CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2))"""
 PIXELS = """grid AS (SELECT iy * 64 + ix AS node_id, iy, ix, v FROM (SELECT CAST(floor(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) / 7) AS BIGINT) AS iy,
     CAST(l_partkey % 64 AS BIGINT) AS ix, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2))"""
-FULL = """grid AS (SELECT t.n AS node_id, t.n // 24 AS iy, t.n % 24 AS ix, coalesce(v, 0.0) AS v FROM range(720) t(n) LEFT JOIN raw ON raw.node_id = t.n)"""
+FULL = """grid AS (SELECT t.n AS node_id, t.n // 24 AS iy, t.n % 24 AS ix, coalesce(v, 0.0) AS v FROM range((SELECT (max(iy) + 1) * 24 FROM raw)) t(n) LEFT JOIN raw ON raw.node_id = t.n)"""
 RAW = GRID.replace("grid AS", "raw AS", 1)
 CROSS = "(VALUES (0, 1), (1, 0))"
 AHEAD = "(VALUES (0, 1), (1, -1), (1, 0), (1, 1))"
@@ -37,13 +37,29 @@ HALVES = "halves AS (SELECT node_id, iy % 7 AS group_id FROM cells WHERE inn)"
 GRID_GRAPH = ", ".join([GRID, cells(0.5), edges(), both()])
 RADIUS_E = """e AS (SELECT a.node_id AS src, b.node_id AS dst FROM p a JOIN p b ON a.node_id < b.node_id
     AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.1e0 * 0.1e0)"""
-ISLANDS = "WITH RECURSIVE " + ", ".join([GRID, cells(0.5), INNER, edges(CROSS), both(), reached("inn", "adj", "c0")])
-LEVELS = f"""{ISLANDS}, s1 AS (SELECT node_id FROM inn WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.node = inn.node_id AND adj.nbr NOT IN (SELECT node_id FROM inn))),
-    {reached("s1", "adj", "c1")},
-    n0 AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cid FROM (SELECT DISTINCT component FROM c0)),
-    n1 AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cid FROM (SELECT DISTINCT component FROM c1)),
-    up AS (SELECT DISTINCT n0.cid AS pcid, n1.cid AS cid FROM c1 JOIN n1 USING (component) JOIN c0 ON c0.node_id = c1.node_id JOIN n0 ON n0.component = c0.component
-        WHERE (SELECT count(*) FROM n1) > 1)"""
+ORDERS = "grid AS (SELECT o_orderkey AS node_id, o_orderkey // 128 AS iy, o_orderkey % 128 AS ix, o_totalprice AS v FROM orders)"
+CALM = """blocks AS (SELECT iy // 8 AS jy, ix // 8 AS jx, avg(v) AS m FROM grid GROUP BY 1, 2), level AS (SELECT avg(m) - 0.3e0 * stddev_pop(m) AS l FROM blocks),
+    cells AS (SELECT g.*, m <= l AS inn FROM grid g JOIN blocks ON jy = g.iy // 8 AND jx = g.ix // 8 CROSS JOIN level)"""
+
+
+def peeled(of: str, name: str) -> str:
+    return f"{name} AS (SELECT node_id FROM {of} WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.node = {of}.node_id AND adj.nbr NOT IN (SELECT node_id FROM {of})))"
+
+
+def numbered(of: str, name: str) -> str:
+    return f"{name} AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cid FROM (SELECT DISTINCT component FROM {of}))"
+
+
+def parents(k: int) -> str:
+    """Components of round k with those of the round before that hold them."""
+    return f"SELECT DISTINCT {k - 1} AS piter, a.cid AS pcid, {k} AS iter, b.cid AS cid FROM c{k} JOIN n{k} b USING (component) JOIN c{k - 1} d ON d.node_id = c{k}.node_id JOIN n{k - 1} a ON a.component = d.component"
+
+
+LEVELS = "WITH RECURSIVE " + ", ".join(
+    [ORDERS, CALM, INNER, edges(CROSS), both(), reached("inn", "adj", "c0"), numbered("c0", "n0")]
+    + [peeled("inn", "s1"), reached("s1", "adj", "c1"), numbered("c1", "n1"), peeled("s1", "s2"), reached("s2", "adj", "c2"), numbered("c2", "n2")]
+    + [f"up AS ({parents(1)} UNION ALL {parents(2)})"]
+)
 
 
 def binned(quantity: str) -> str:
@@ -61,13 +77,13 @@ def scaled(of: str, column: str) -> str:
 
 
 def smooth(sigma: int, name: str) -> str:
-    """Separable Gaussian with half-sample reflection on the 30 x 24 grid."""
-    reach = 4 * sigma
-    flip = lambda i, n: f"CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN {2 * n - 1} - ({i}) ELSE {i} END"
+    """Separable Gaussian with half-sample reflection on the grid of days and 24 hours."""
+    reach, days = 4 * sigma, "(SELECT max(iy) + 1 FROM raw)"
+    flip = lambda i, n: f"CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
     return f"""{name}_k AS (SELECT d, w / (SELECT sum(exp(-0.5e0 * (d / {sigma}e0) * (d / {sigma}e0))) FROM range(-{reach}, {reach + 1}) t(d)) AS w
         FROM (SELECT d, exp(-0.5e0 * (d / {sigma}e0) * (d / {sigma}e0)) AS w FROM range(-{reach}, {reach + 1}) t(d))),
     {name}_x AS (SELECT f.node_id, f.iy, f.ix, sum(w * g.v) AS v FROM grid f CROSS JOIN {name}_k k JOIN grid g ON g.iy = f.iy AND g.ix = {flip("f.ix + k.d", 24)} GROUP BY 1, 2, 3),
-    {name} AS (SELECT f.node_id, any_value(o.v) / (sum(w * g.v) + 1e-10) AS v FROM {name}_x f CROSS JOIN {name}_k k JOIN {name}_x g ON g.ix = f.ix AND g.iy = {flip("f.iy + k.d", 30)}
+    {name} AS (SELECT f.node_id, any_value(o.v) / (sum(w * g.v) + 1e-10) AS v FROM {name}_x f CROSS JOIN {name}_k k JOIN {name}_x g ON g.ix = f.ix AND g.iy = {flip("f.iy + k.d", days)}
         JOIN grid o ON o.node_id = f.node_id GROUP BY 1)"""
 
 
@@ -104,6 +120,30 @@ SIGMOID = f"""WITH {GRID}, {edges()}, {both()},
     {attention("sent", [leaky("a0"), f"-0.5e0 * {leaky('a1')}"], [["l0"], ["l1"]], [0.25])}
     SELECT node_id, round(1 / (1 + exp(-o0)), 6) AS score FROM o"""
 
+def on_features(sql: str) -> str:
+    """The network of points on the table q of features instead of p."""
+    return sql.replace(MEANS, MEANS.replace("p.", "q.").replace("FROM p ", "FROM q ").replace("JOIN p n", "JOIN q n"))
+
+
+SCALED = f"""f AS (WITH {binned("density")} SELECT node_id, (log_ratio - center) / scale AS f0 FROM ratio, {scaled("ratio", "log_ratio")}),
+    g AS (WITH {binned("temperature")} SELECT node_id, (log_ratio - center) / scale AS f1 FROM ratio, {scaled("ratio", "log_ratio")}),
+    q AS (SELECT node_id, f0 AS density, f1 AS temperature FROM f JOIN g USING (node_id))"""
+SCORE = "exp(o0 - greatest(o0, o1)) / (exp(o0 - greatest(o0, o1)) + exp(o1 - greatest(o0, o1)))"
+IMAGE = (
+    "WITH RECURSIVE "
+    + ", ".join([RAW, FULL, smooth(1, "fine"), smooth(2, "wide"), "mix AS (SELECT g.node_id, g.iy, g.ix, (fine.v + wide.v) / 2 AS v FROM grid g JOIN fine ON fine.node_id = g.node_id JOIN wide ON wide.node_id = g.node_id)"])
+    + ", live AS (SELECT node_id, iy, ix, ln(v) AS lv FROM mix WHERE v > 0), "
+    + f"feat AS (SELECT node_id, iy, ix, exp((lv - center) / scale) AS v FROM live, {scaled('live', 'lv')}), {edges(of='feat')}, "
+    + SIGMOID.removeprefix(f"WITH {GRID}, {edges()}, ").replace("FROM grid", "FROM feat").replace("JOIN grid", "JOIN feat").removesuffix("SELECT node_id, round(1 / (1 + exp(-o0)), 6) AS score FROM o")
+    + ", cells AS (SELECT mix.*, coalesce(1 / (1 + exp(-o0)), 0.0) AS score, coalesce(1 / (1 + exp(-o0)), 0.0) > 0.5 AS inn FROM mix LEFT JOIN o USING (node_id)), outs AS (SELECT * FROM cells WHERE NOT inn), "
+    + edges(CROSS, "cells", "e4")
+    + ", "
+    + both("e4", "adj4")
+    + ", "
+    + reached("outs", "adj4", "c")
+    + ' SELECT cells.node_id, round(v, 6) AS v, round(score, 6) AS score, inn OR count(*) OVER (PARTITION BY component) < 4 AND component IS NOT NULL AS "inner" FROM cells LEFT JOIN c ON c.node_id = cells.node_id'
+)
+
 MODE = """met AS (SELECT node, group_id, count(*) AS n FROM adj JOIN groups ON groups.node_id = adj.nbr GROUP BY 1, 2),
     best AS (SELECT node, arg_max(group_id, row(n, -group_id)) AS mode_group, max(n) AS n, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total FROM met GROUP BY 1)"""
 CONTACTS = """touch AS (SELECT DISTINCT h.group_id, adj.nbr FROM adj JOIN halves h ON h.node_id = adj.node),
@@ -149,8 +189,10 @@ ORACLES = {
     "robust_scale": f"WITH {P}, q AS (SELECT node_id, ln(density) AS q FROM p) SELECT node_id, round((q - center) / scale, 6) + 0e0 AS scaled FROM q, {scaled('q', 'q')}",
     "robust_scale_by_group": """WITH s AS (SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS center, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS scale FROM lineitem GROUP BY 1)
         SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round((l_quantity - center) / CASE WHEN scale = 0 THEN 1 ELSE scale END, 6) + 0e0 AS scaled FROM lineitem JOIN s USING (l_returnflag)""",
-    "scaler_reuse": f"""WITH {P}, q AS (SELECT node_id, ln(density) AS q FROM p), half AS (SELECT * FROM q WHERE node_id % 2 = 0)
-        SELECT node_id, round((q - center) / scale, 6) + 0e0 AS scaled FROM q, {scaled("half", "q")} WHERE node_id % 2 = 1""",
+    "scaler_reuse": f"""WITH {P}, q AS (SELECT node_id, ln(density) AS q, ln(density * temperature) AS later FROM p)
+        SELECT node_id, round((later - center) / scale, 6) + 0e0 AS scaled FROM q, {scaled("q", "q")}""",
+    "saved_features": f"""WITH {P}, {binned("density")} SELECT k.node_id, round((ln(density * temperature / mean) - center) / scale, 6) + 0e0 AS f0
+        FROM k JOIN prof USING (r_bin, z_bin), {scaled("ratio", "log_ratio")}""",
     "phase_space_hist": """SELECT CAST(least(floor((l_quantity - 0e0) / ((50e0 - 0e0) / 11)), 10) AS BIGINT) AS bx, CAST(least(floor((l_discount - (-0.005e0)) / ((0.105e0 - (-0.005e0)) / 11)), 10) AS BIGINT) AS by, count(*) AS n
         FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 AND l_discount BETWEEN -0.005e0 AND 0.105e0 GROUP BY 1, 2""",
     "component_ids": f"""WITH RECURSIVE {GRID}, {cells(0.5)}, {INNER}, {edges()}, {both()}, {reached("inn", "adj", "c")},
@@ -158,12 +200,18 @@ ORACLES = {
     "component_medians": f"""WITH RECURSIVE {GRID}, {cells(0.5)}, {INNER}, {edges()}, {both()}, {reached("inn", "adj", "c")}
         SELECT component, count(*) AS n, median(v) AS median_v FROM c JOIN inn USING (node_id) GROUP BY 1""",
     "component_sizes": f"WITH RECURSIVE {PIXELS}, {cells(1.0)}, {INNER}, {edges(CROSS, 'inn')}, {both()}, {reached('inn', 'adj', 'c')} SELECT component, count(*) AS n FROM c GROUP BY 1",
-    "peel_once": f"WITH {GRID_GRAPH}, {INNER} SELECT node_id FROM inn WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.node = inn.node_id AND adj.nbr NOT IN (SELECT node_id FROM inn))",
-    "peel_levels": f"{LEVELS} SELECT inn.node_id, CAST(CASE WHEN s1.node_id IS NULL OR (SELECT count(*) FROM n0) < 2 THEN 1 ELSE 2 END AS BIGINT) AS iter_label FROM inn LEFT JOIN s1 ON s1.node_id = inn.node_id",
-    "lineage_edges": f"{LEVELS} SELECT CAST(0 AS BIGINT) AS parent_iter, pcid AS parent_cid, CAST(1 AS BIGINT) AS iter, cid FROM up",
-    "lineage_seeds": f"""{LEVELS}, kids AS (SELECT pcid, count(*) AS n FROM up GROUP BY 1)
-        SELECT CAST(0 AS BIGINT) AS iter, cid, false AS invalid FROM n0 WHERE (SELECT count(*) FROM n0) > 1 AND cid NOT IN (SELECT pcid FROM kids WHERE n > 1)
-        UNION ALL SELECT 1, cid, true FROM up JOIN kids USING (pcid) WHERE n > 1""",
+    "peel_once": f"WITH {ORDERS}, {CALM}, {edges()}, {both()}, {INNER}, {peeled('inn', 's')} SELECT node_id FROM s",
+    "peel_levels": f"""{LEVELS} SELECT inn.node_id, CAST(CASE WHEN s1.node_id IS NULL THEN 1 WHEN s2.node_id IS NULL THEN 2 ELSE 3 END AS BIGINT) AS iter_label
+        FROM inn LEFT JOIN s1 ON s1.node_id = inn.node_id LEFT JOIN s2 ON s2.node_id = inn.node_id""",
+    "lineage_edges": f"{LEVELS} SELECT CAST(piter AS BIGINT) AS parent_iter, pcid AS parent_cid, CAST(iter AS BIGINT) AS iter, cid FROM up",
+    "lineage_seeds": f"""{LEVELS}, step AS (SELECT *, count(*) OVER (PARTITION BY piter, pcid) AS n FROM up),
+        nodes AS (SELECT 0 AS iter, cid FROM n0 UNION ALL SELECT 1, cid FROM n1 UNION ALL SELECT 2, cid FROM n2),
+        leaves AS (SELECT * FROM nodes ANTI JOIN up ON up.piter = nodes.iter AND up.pcid = nodes.cid),
+        climb AS (SELECT l.iter, l.cid, coalesce(s.n, 0) > 1 AS invalid FROM leaves l LEFT JOIN step s ON s.iter = l.iter AND s.cid = l.cid
+            UNION ALL SELECT s.piter, s.pcid, c.invalid FROM climb c JOIN step s ON s.iter = c.iter AND s.cid = c.cid AND s.n = 1)
+        SELECT CAST(iter AS BIGINT) AS iter, cid, bool_or(invalid) AS invalid FROM climb c WHERE NOT EXISTS (SELECT 1 FROM step s WHERE s.iter = c.iter AND s.cid = c.cid AND s.n = 1) GROUP BY 1, 2""",
+    "valid_components": f"""WITH RECURSIVE {ORDERS}, {CALM}, {INNER}, {edges(CROSS)}, {both()}, {reached("inn", "adj", "c")},
+        hit AS (SELECT DISTINCT component FROM c JOIN cells USING (node_id) WHERE v > (SELECT max(v) * 0.995e0 FROM cells)), {numbered("hit", "n")} SELECT cid, node_id FROM c JOIN n USING (component)""",
     "mode_neighbour": f"WITH {GRID_GRAPH}, {HALVES.replace('halves', 'groups', 1)}, {MODE} SELECT * FROM best",
     "mode_supplier_nation": f"WITH {SUPPLY}, {both()}, groups AS (SELECT -s_suppkey - 1 AS node_id, CAST(s_nationkey AS BIGINT) AS group_id FROM supplier), {MODE} SELECT * FROM best",
     "grow_wave": f"""WITH {GRID_GRAPH}, {HALVES.replace("halves", "groups", 1)}, {MODE}
@@ -184,12 +232,12 @@ ORACLES = {
         d AS (SELECT CASE WHEN a.v >= b.v THEN src ELSE dst END AS node, CASE WHEN a.v >= b.v THEN dst ELSE src END AS nbr FROM e JOIN grid a ON a.node_id = src JOIN grid b ON b.node_id = dst),
         s AS (SELECT node, h.group_id, count(*) AS n FROM d JOIN halves h ON h.node_id = d.nbr WHERE node IN (SELECT node_id FROM cells WHERE NOT inn) GROUP BY 1, 2)
         SELECT node AS node_id, arg_max(group_id, row(n, -group_id)) AS group_id FROM s GROUP BY 1""",
-    "erosion": f"""WITH {GRID}, {cells(0.5)}, {INNER} SELECT node_id, iy, ix FROM inn WHERE NOT EXISTS (SELECT 1 FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx)
-        WHERE inn.iy + dy BETWEEN 0 AND 29 AND inn.ix + dx BETWEEN 0 AND 23 AND (inn.iy + dy) * 24 + inn.ix + dx NOT IN (SELECT node_id FROM inn))""",
+    "erosion": f"""WITH {ORDERS}, {CALM}, {INNER} SELECT node_id, iy, ix FROM inn WHERE NOT EXISTS (SELECT 1 FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx)
+        WHERE inn.iy + dy BETWEEN 0 AND (SELECT max(iy) FROM grid) AND inn.ix + dx BETWEEN 0 AND 127 AND (inn.iy + dy) * 128 + inn.ix + dx NOT IN (SELECT node_id FROM inn))""",
     "dilation": f"""WITH {GRID}, {cells(0.5)} SELECT DISTINCT c.iy + y.d AS iy, c.ix + x.d AS ix FROM cells c CROSS JOIN range(-2, 3) y(d) CROSS JOIN range(-2, 3) x(d)
-        WHERE inn AND c.iy % 5 = 0 AND abs(y.d) + abs(x.d) <= 2 AND c.iy + y.d BETWEEN 0 AND 29 AND c.ix + x.d BETWEEN 0 AND 23""",
+        WHERE inn AND abs(y.d) + abs(x.d) <= 2 AND c.iy + y.d BETWEEN 0 AND (SELECT max(iy) FROM grid) AND c.ix + x.d BETWEEN 0 AND 23""",
     "small_holes": f'{HOLES} SELECT cells.node_id, inn OR count(*) OVER (PARTITION BY component) < 4 AND component IS NOT NULL AS "inner" FROM cells LEFT JOIN c ON c.node_id = cells.node_id',
-    "fill_holes": f"""{HOLES}, open AS (SELECT DISTINCT component FROM c JOIN cells USING (node_id) WHERE iy IN (0, 29) OR ix IN (0, 23))
+    "fill_holes": f"""{HOLES}, open AS (SELECT DISTINCT component FROM c JOIN cells USING (node_id) WHERE iy IN (0, (SELECT max(iy) FROM raw)) OR ix IN (0, 23))
         SELECT cells.node_id, inn OR component NOT IN (SELECT component FROM open) AS "inner" FROM cells LEFT JOIN c ON c.node_id = cells.node_id""",
     "gaussian_norm": f"WITH {RAW}, {FULL}, {smooth(1, 's')} SELECT node_id, round(v, 6) AS v FROM s",
     "multiscale_mean": f"WITH {RAW}, {FULL}, {smooth(1, 's')}, {smooth(2, 't')} SELECT s.node_id, round((s.v + t.v) / 2, 6) AS v FROM s JOIN t ON t.node_id = s.node_id",
@@ -198,5 +246,17 @@ ORACLES = {
     "nonzero_bbox": f'WITH {PIXELS}, {cells(-2.0)} SELECT min(iy) AS top, max(iy) AS bottom, min(ix) AS "left", max(ix) AS "right" FROM cells WHERE NOT inn',
     "graphconv_mean": f"WITH {P}, {RADIUS_E}, {both()}, {MEANS} SELECT node_id, round(m1, 6) AS mean_density, round(m2, 6) AS mean_temperature FROM m",
     "gnn_softmax": SOFTMAX,
+    "classify_particles": on_features(SOFTMAX.replace(f"WITH {P}, ", f"WITH {P}, {SCALED}, ", 1)).replace(f"round({SCORE}, 6) AS score FROM o", f'round({SCORE}, 6) AS score, {SCORE} > 0.5 AS "inner" FROM o'),
+    "classify_event_raster": IMAGE,
+    "raster_from_arrays": """SELECT vec_id * (SELECT max(len(embedding)) FROM embeddings) + k - 1 AS node_id, vec_id AS iy, k - 1 AS ix, round(embedding[k]::DOUBLE, 6) AS v
+        FROM embeddings, unnest(range(1, len(embedding) + 1)) t(k)""",
+    "chunk_edges_merged": f"""WITH {P}, a AS (SELECT node_id, {PHI} AS f FROM p), h AS (SELECT *, least(floor(f / (2 * pi() / 8)), 7) AS home FROM a),
+        held AS (SELECT DISTINCT node_id, c AS chunk FROM (
+            SELECT node_id, CAST(unnest([home, CASE WHEN f - home * (2 * pi() / 8) < 0.05e0 THEN (home + 7) % 8 END, CASE WHEN (home + 1) * (2 * pi() / 8) - f <= 0.05e0 THEN (home + 1) % 8 END]) AS BIGINT) AS c FROM h) WHERE c IS NOT NULL),
+        zone AS (SELECT DISTINCT node_id FROM p CROSS JOIN range(9) t(k) WHERE ((atan2(y, x) + pi() - k * (2 * pi() / 8) + 0.05e0) % (2 * pi()) + 2 * pi()) % (2 * pi()) < 2 * 0.05e0),
+        short AS (SELECT s.node_id AS src, d.node_id AS dst FROM held s JOIN held d ON d.node_id = s.node_id + 1 AND d.chunk = s.chunk JOIN p a ON a.node_id = s.node_id JOIN p b ON b.node_id = d.node_id
+            WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.25e0 * 0.25e0)
+        SELECT src, dst FROM short WHERE src NOT IN (SELECT node_id FROM zone) AND dst NOT IN (SELECT node_id FROM zone)
+        UNION ALL (SELECT DISTINCT src, dst FROM short WHERE src IN (SELECT node_id FROM zone) OR dst IN (SELECT node_id FROM zone))""",
     "gnn_sigmoid": SIGMOID,
 }

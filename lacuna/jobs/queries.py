@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import masks as M
-from lacuna.jobs.config import InnerConfig, ShellConfig
-from lacuna.jobs.extract import extract_points, extract_raster
+from lacuna.jobs.config import ImageConfig, InnerConfig, ShellConfig, SnapshotConfig
+from lacuna.jobs.extract import classify_points, classify_raster, extract_points, extract_raster
 from lacuna.operators import gnn, graph, grow, lineage, merge, profile, raster, shell
 from lacuna.sources import views as V
-from lacuna.sources.staging import stage
+from lacuna.sources.staging import stage, stage_path
 
-DAYS = 30
 #: Radius of the point graph.
 RADIUS = 0.1
 
@@ -27,6 +26,16 @@ def _grid_adj(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(graph.pixel_edges(V.events_grid(spark, sf_dir)))
 
 
+def _days(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the event raster."""
+    return (V.events_grid(spark, sf_dir).agg(F.max("iy")).first()[0] or 0) + 1
+
+
+def _calm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order raster with its calm blocks as inner."""
+    return V.calm(V.orders_grid(spark, sf_dir))
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_id, group_id): the quiet cells by weekday, a fixed grouping for single steps."""
     return _inner(spark, sf_dir).where("inner").select("node_id", F.pmod("iy", F.lit(7)).alias("group_id"))
@@ -173,10 +182,20 @@ def robust_scale_by_group(spark, sf_dir):
 
 
 def scaler_reuse(spark, sf_dir):
-    """Fitted on the first half of the particles, applied to the second."""
-    points = V.particles(spark, sf_dir).withColumn("q", F.ln("density"))
-    fitted = profile.robust_fit(points.where(F.pmod("node_id", F.lit(2)) == 0), "q")
-    return profile.robust_apply(points.where(F.pmod("node_id", F.lit(2)) == 1), "q", fitted, "scaled").select("node_id", (F.round("scaled", 6) + 0.0).alias("scaled"))
+    """Fitted on the density of the particles, applied to the same particles once they are denser, as in a later snapshot."""
+    points = V.particles(spark, sf_dir)
+    fitted = profile.robust_fit(points.withColumn("q", F.ln("density")), "q")
+    later = points.withColumn("q", F.ln(F.col("density") * F.col("temperature")))
+    return profile.robust_apply(later, "q", fitted, "scaled").select("node_id", (F.round("scaled", 6) + 0.0).alias("scaled"))
+
+
+def saved_features(spark, sf_dir):
+    """Profile and scaler saved from the particles, applied to the same particles once they are denser."""
+    path = stage_path(spark, "features")
+    points = V.particles(spark, sf_dir)
+    profile.fit_features(points, ["density"], path, 0.05, 0.05)
+    later = points.withColumn("density", F.col("density") * F.col("temperature"))
+    return profile.saved_features(later, ["density"], path).select("node_id", (F.round("f0", 6) + 0.0).alias("f0"))
 
 
 def phase_space_hist(spark, sf_dir):
@@ -193,7 +212,9 @@ def component_ids(spark, sf_dir):
 def component_medians(spark, sf_dir):
     cells = stage(_inner(spark, sf_dir).where("inner"), "cells")
     found = graph.components(cells, graph.pixel_edges(cells))
-    return found.join(cells, "node_id").groupBy("component").agg(F.count("*").alias("n"), F.median("v").alias("median_v"))
+    both = stage(found.join(cells, "node_id"), "components")
+    medians = profile.group_medians(both, "v", ["component"]).withColumnRenamed("median", "median_v")
+    return both.groupBy("component").agg(F.count("*").alias("n")).join(medians, "component")
 
 
 def component_sizes(spark, sf_dir):
@@ -203,14 +224,23 @@ def component_sizes(spark, sf_dir):
 
 
 def peel_once(spark, sf_dir):
-    cells = stage(_inner(spark, sf_dir), "cells")
+    cells = stage(_calm(spark, sf_dir), "cells")
     return lineage.peel(cells.where("inner"), graph.adjacency(graph.pixel_edges(cells)))
 
 
 def _lineage(spark, sf_dir) -> lineage.Lineage:
-    cells = stage(_inner(spark, sf_dir), "cells")
+    cells = stage(_calm(spark, sf_dir), "cells")
+    edges = stage(graph.pixel_edges(cells, graph.AHEAD_4), "edges")
+    return lineage.component_lineage(cells.where("inner"), edges, graph.adjacency(edges), rounds=3, least=1)
+
+
+def valid_components(spark, sf_dir):
+    """The first round's components with a valid cell: one over four fifths of the largest price."""
+    cells = stage(_calm(spark, sf_dir), "cells")
     edges = stage(graph.pixel_edges(cells, graph.AHEAD_4), "edges")
-    return lineage.component_lineage(cells.where("inner"), edges, graph.adjacency(edges), rounds=2, least=1)
+    level = cells.agg((F.max("v") * 0.995).alias("level"))
+    valid = cells.crossJoin(F.broadcast(level)).where("v > level")
+    return lineage.component_lineage(cells.where("inner"), edges, graph.adjacency(edges), rounds=1, least=1, valid=valid).members.select("cid", "node_id")
 
 
 def peel_levels(spark, sf_dir):
@@ -256,7 +286,9 @@ def merge_decisions(spark, sf_dir):
 def group_stats(spark, sf_dir):
     cells = _inner(spark, sf_dir)
     edge = F.sum(F.when(F.col("ix").isin(0, 23), 1).otherwise(0))
-    return cells.join(_halves(spark, sf_dir), "node_id").groupBy("group_id").agg(F.count("*").alias("size"), F.median("v").alias("median_v"), edge.alias("boundary"))
+    both = stage(cells.join(_halves(spark, sf_dir), "node_id"), "groups")
+    medians = profile.group_medians(both, "v", ["group_id"]).withColumnRenamed("median", "median_v")
+    return both.groupBy("group_id").agg(F.count("*").alias("size"), edge.alias("boundary")).join(medians, "group_id")
 
 
 def directed_edges(spark, sf_dir):
@@ -281,15 +313,17 @@ def shell_round(spark, sf_dir):
 
 
 def erosion(spark, sf_dir):
-    return raster.erode(_inner(spark, sf_dir).where("inner").select("node_id", "iy", "ix"), DAYS, V.HOURS)
+    cells = stage(_calm(spark, sf_dir), "cells")
+    height = cells.agg(F.max("iy")).first()[0] or 0
+    return raster.erode(cells.where("inner").select("node_id", "iy", "ix"), height + 1, V.ORDER_COLUMNS)
 
 
 def dilation(spark, sf_dir):
-    return raster.dilate(_inner(spark, sf_dir).where("inner AND iy % 5 = 0"), DAYS, V.HOURS, 2)
+    return raster.dilate(_inner(spark, sf_dir).where("inner"), _days(spark, sf_dir), V.HOURS, 2)
 
 
 def _grid_flags(spark, sf_dir) -> DataFrame:
-    grid = raster.full_grid(V.events_grid(spark, sf_dir), DAYS, V.HOURS)
+    grid = raster.full_grid(V.events_grid(spark, sf_dir), _days(spark, sf_dir), V.HOURS)
     return stage(V.quiet(grid, 0.0), "flags")
 
 
@@ -298,16 +332,16 @@ def small_holes(spark, sf_dir):
 
 
 def fill_holes(spark, sf_dir):
-    return raster.fill_holes(_grid_flags(spark, sf_dir), DAYS, V.HOURS).select("node_id", "inner")
+    return raster.fill_holes(_grid_flags(spark, sf_dir), _days(spark, sf_dir), V.HOURS).select("node_id", "inner")
 
 
 def gaussian_norm(spark, sf_dir):
-    grid = raster.full_grid(V.events_grid(spark, sf_dir), DAYS, V.HOURS)
+    grid = raster.full_grid(V.events_grid(spark, sf_dir), _days(spark, sf_dir), V.HOURS)
     return raster.normalized(grid, [1]).select("node_id", F.round("v", 6).alias("v"))
 
 
 def multiscale_mean(spark, sf_dir):
-    grid = raster.full_grid(V.events_grid(spark, sf_dir), DAYS, V.HOURS)
+    grid = raster.full_grid(V.events_grid(spark, sf_dir), _days(spark, sf_dir), V.HOURS)
     return raster.composed(grid, [1, 2]).select("node_id", F.round("v", 6).alias("v"))
 
 
@@ -326,8 +360,9 @@ def nonzero_bbox(spark, sf_dir):
 
 
 def aligned_raster(spark, sf_dir):
-    lit = V.events_grid(spark, sf_dir).where("iy > ix AND iy < ix + 6")
-    out, _, _ = raster.align(lit, DAYS, V.HOURS)
+    """The busy cells of the event grid, turned to an axis."""
+    lit = V.quiet(V.events_grid(spark, sf_dir), 0.0).where("NOT inner").drop("inner")
+    out, _, _ = raster.align(lit, _days(spark, sf_dir), V.HOURS)
     return out.select("iy", "ix", F.round("v", 4).alias("v"))
 
 
@@ -387,6 +422,36 @@ def gnn_sigmoid(spark, sf_dir):
     return got.select("node_id", F.round("score", 6).alias("score"))
 
 
+def classify_particles(spark, sf_dir):
+    """The whole scoring of points: profiles, scaling, network, threshold."""
+    points = stage(V.particles(spark, sf_dir), "points")
+    config = SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05)
+    got = classify_points(points, graph.radius_edges(points, RADIUS), ["density", "temperature"], TOY, config)
+    return got.select("node_id", F.round("score", 6).alias("score"), "inner")
+
+
+def classify_event_raster(spark, sf_dir):
+    """The whole scoring of a raster: scales, scaling, network, threshold, small holes."""
+    config = ImageConfig(filter_sizes=[1, 2], small_hole_size=4)
+    got, _, _ = classify_raster(V.events_grid(spark, sf_dir), _days(spark, sf_dir), V.HOURS, TOY_IMAGE, config)
+    return got.select("node_id", F.round("v", 6).alias("v"), F.round("score", 6).alias("score"), "inner")
+
+
+def raster_from_arrays(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("iy"), F.col("embedding").alias("values"))
+    width = rows.agg(F.max(F.size("values"))).first()[0] or 0
+    return raster.from_arrays(rows, width).select("node_id", "iy", "ix", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+def chunk_edges_merged(spark, sf_dir):
+    """Pairs of consecutive particles as every azimuthal chunk with its halo would give them, put together."""
+    points = V.particles(spark, sf_dir)
+    held = stage(M.with_chunks(points, 8, 0.05).select("chunk", "id"), "chunks")
+    pairs = held.select("chunk", F.col("id").alias("a")).join(held.select("chunk", (F.col("id") - 1).alias("a"), F.col("id").alias("b")), ["chunk", "a"])
+    zone = points.where(M.near_chunk_edge(M.azimuth(F.col("x"), F.col("y")), 8, 0.05))
+    return graph.merged_chunk_edges(pairs, points, 0.25, zone)
+
+
 def extract_grid_points(spark, sf_dir):
     cells = _inner(spark, sf_dir).select("node_id", "iy", "ix", "inner", F.col("v").alias("density"))
     cells = stage(cells, "cells")
@@ -394,8 +459,9 @@ def extract_grid_points(spark, sf_dir):
 
 
 def extract_grid_raster(spark, sf_dir):
-    grid = raster.full_grid(V.events_grid(spark, sf_dir), DAYS, V.HOURS)
-    return extract_raster(stage(V.quiet(grid, 0.3), "cells"), DAYS, V.HOURS, InnerConfig(min_component_size=2), ShellConfig(max_layer=2))
+    days = _days(spark, sf_dir)
+    grid = raster.full_grid(V.events_grid(spark, sf_dir), days, V.HOURS)
+    return extract_raster(stage(V.quiet(grid, 0.3), "cells"), days, V.HOURS, InnerConfig(min_component_size=2), ShellConfig(max_layer=2))
 
 
 def extract_shipping_raster(spark, sf_dir):
@@ -470,6 +536,12 @@ QUERIES = {
         graphconv_mean,
         gnn_softmax,
         gnn_sigmoid,
+        saved_features,
+        valid_components,
+        classify_particles,
+        classify_event_raster,
+        raster_from_arrays,
+        chunk_edges_merged,
         extract_grid_points,
         extract_grid_raster,
         extract_shipping_raster,

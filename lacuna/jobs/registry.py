@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import prod
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.jobs.config import load_config
+from lacuna.operators.gnn import Weights
 
 
 def registry(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -27,6 +30,28 @@ def list_models(models: DataFrame, tags: list[str] | None = None, part: str | No
     return models.where(F.contains(F.lower("name"), F.lit(part.lower()))) if part else models
 
 
+def load_weights(parameters: DataFrame, model: dict) -> Weights:
+    """Weights of a model (a row of get_model) from a table (name, parameter, i, j, value) of all models' parameters.
+
+    Vectors have j 0. Shapes are those of the architecture; a missing, repeated or surplus value raises.
+    """
+    hidden, out, heads, channels = model["hidden"], model["out_channels"], model["heads"], model["in_channels"]
+    shapes = {n: (hidden,) for n in ("bias", "gamma", "beta", "mean", "var")} | {"root": (hidden, channels), "rel": (hidden, channels), "attention": (heads, out)}
+    shapes |= {"left": (heads * out, hidden), "right": (heads * out, hidden), "left_bias": (heads * out,), "right_bias": (heads * out,), "last": (out,)}
+    rows = parameters.where(F.lower("name") == model["name"].lower()).select("parameter", "i", "j", "value").limit(sum(map(prod, shapes.values())) + 1).collect()
+    got: dict = {n: np.full(s, np.nan) for n, s in shapes.items()}
+    for r in rows:
+        if r["parameter"] not in got:
+            raise ValueError(f"unknown parameter {r['parameter']!r}")
+        at = (r["i"], r["j"])[: len(shapes[r["parameter"]])]
+        if not all(0 <= k < n for k, n in zip(at, shapes[r["parameter"]], strict=True)) or not np.isnan(got[r["parameter"]][at]):
+            raise ValueError(f"{r['parameter']}{list(at)} is repeated or outside {shapes[r['parameter']]}")
+        got[r["parameter"]][at] = r["value"]
+    if gaps := [n for n, x in got.items() if np.isnan(x).any()]:
+        raise ValueError(f"values are missing of {', '.join(gaps)}")
+    return Weights(**got)
+
+
 def get_model(models: DataFrame, name: str) -> dict:
     """One model's row, by name in any case; an unknown name raises with those that there are."""
     found = models.where(F.lower("name") == name.lower()).take(1)

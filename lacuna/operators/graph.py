@@ -71,6 +71,19 @@ def by_ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("src", "dst")
 
 
+def merged_chunk_edges(pairs: DataFrame, nodes: DataFrame, threshold: float, overlap: DataFrame) -> DataFrame:
+    """(src, dst) of all chunks' pairs of external ids (a, b): looked up, shorter than the threshold, and once where chunks overlap.
+
+    nodes: (id, node_id, x, y, z). overlap: (node_id) of the zone that several chunks hold. An edge of which
+    an end is there may come from several chunks and is made distinct; the others are in one chunk and are passed on unshuffled.
+    """
+    short = short_edges(by_ids(pairs, nodes), nodes, threshold)
+    zone = overlap.select(F.col("node_id").alias("_node")).distinct().withColumn("_in", F.lit(True))
+    marked = short.join(zone.withColumnsRenamed({"_node": "src", "_in": "_a"}), "src", "left").join(zone.withColumnsRenamed({"_node": "dst", "_in": "_b"}), "dst", "left")
+    shared = F.coalesce("_a", "_b", F.lit(False))
+    return marked.where(~shared).select("src", "dst").unionByName(canonical_edges(marked.where(shared).select("src", "dst")))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in nodes (node_id)."""
     keep = nodes.select("node_id")

@@ -37,21 +37,36 @@ def numbered_components(nodes: DataFrame, edges: DataFrame, least: int) -> DataF
     return found.join(dense_index(sizes, ["component"], "cid"), "component").select("cid", "node_id")
 
 
-def component_lineage(inner: DataFrame, edges: DataFrame, adj: DataFrame, rounds: int = 5, least: int = 5, factor: float = 0, raster: bool = False, strict: bool = True) -> Lineage:
+def valid_components(comps: DataFrame, valid: DataFrame) -> DataFrame:
+    """Those of comps (cid, node_id) that hold a node of valid (node_id), numbered anew in their order."""
+    hit = comps.join(valid.select("node_id"), "node_id", "left_semi").select("cid").distinct()
+    return comps.join(dense_index(hit, ["cid"], "new"), "cid").select(F.col("new").alias("cid"), "node_id")
+
+
+def component_lineage(inner: DataFrame, edges: DataFrame, adj: DataFrame, rounds: int = 5, least: int = 5, factor: float = 0, raster: bool = False, strict: bool = True, valid: DataFrame | None = None) -> Lineage:
     """Up to so many rounds of components and peeling, until fewer than two components are left.
 
     inner: (node_id). edges: canonical, used for components. adj: its neighbours decide the peeling. A
     node's iter_label is the last round that it was in, plus one. For rasters under strict, survivors of
     the last round have 0 and survivors of an early stop max(0, round - 1), as in the established results.
+    With valid (node_id), components of the first round without a valid node are no components, and their
+    nodes go no further than that round.
     """
     working = stage(inner.select("node_id").distinct(), "working")
     labels, members, parents, last = [], [], [], None
     for k in range(rounds):
         comps = stage(numbered_components(working, induced(edges, working), int(least + factor * k)), "components")
+        out = None
+        if k == 0 and valid is not None:
+            every, comps = comps, stage(valid_components(comps, valid), "components")
+            out = every.join(comps, "node_id", "left_anti").select("node_id")
         few = comps.select("cid").distinct().limit(2).count() < 2
         if few:
             labels.append(working.withColumn("iter_label", F.lit(max(0, k - 1) if raster and strict else k + 1)))
             break
+        if out is not None:
+            labels.append(out.withColumn("iter_label", F.lit(k + 1)))
+            working = stage(working.join(out, "node_id", "left_anti"), "working")
         members.append(comps.withColumn("iter", F.lit(k)))
         if last is not None:
             pairs = comps.join(last.withColumnRenamed("cid", "parent_cid"), "node_id").select("parent_cid", "cid").distinct()

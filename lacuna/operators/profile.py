@@ -88,6 +88,11 @@ def _percentiles(df: DataFrame, column: str, by: list[str], shares: tuple[float,
     return out.select(*by, *(f"_q{k}" for k in range(len(shares))))
 
 
+def group_medians(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by..., median): exact and interpolated, nulls left out (null for a group of nothing else); no task holds a group's values."""
+    return _percentiles(df, column, by, (0.5,)).withColumnRenamed("_q0", "median")
+
+
 def robust_apply(df: DataFrame, column: str, scaler: DataFrame, out: str, by: list[str] | None = None) -> DataFrame:
     """df with out, by a fitted scaler: of this table, or of an earlier one that is to be reused."""
     joined = df.join(F.broadcast(scaler), by) if by else df.crossJoin(F.broadcast(scaler))
@@ -108,6 +113,26 @@ def features(points: DataFrame, names: list[str], normalize: bool = True, z_size
     return points
 
 
+def fit_features(points: DataFrame, names: list[str], path: str, z_size: float = 0.05, r_size: float = 2.0) -> None:
+    """Save the bins, the profile and the scaler of each quantity under path, for features of later snapshots."""
+    edges = bin_edges(points, z_size, r_size)
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    for name in names:
+        means = profile(points, name, edges)
+        means.write.mode("overwrite").parquet(f"{path}/profile_{name}")
+        robust_fit(corrected(points, name, edges, means), "log_ratio").write.mode("overwrite").parquet(f"{path}/scaler_{name}")
+
+
+def saved_features(points: DataFrame, names: list[str], path: str) -> DataFrame:
+    """points with f0, f1, ... by the bins, profiles and scalers that fit_features saved; bins without a profile give null."""
+    read = points.sparkSession.read.parquet
+    edges = read(f"{path}/edges")
+    for k, name in enumerate(names):
+        points = corrected(points, name, edges, read(f"{path}/profile_{name}"))
+        points = robust_apply(points, "log_ratio", read(f"{path}/scaler_{name}"), f"f{k}").drop("log_ratio")
+    return points
+
+
 def histogram_2d(df: DataFrame, x: Column, y: Column, x_range: tuple[float, float], y_range: tuple[float, float], bins: int = 500) -> DataFrame:
     """(bx, by, n) of the rows inside both ranges; the last bins are closed."""
     place = lambda v, r: F.least(F.floor((v - r[0]) / ((r[1] - r[0]) / bins)), F.lit(bins - 1)).cast("long")

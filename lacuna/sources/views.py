@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Width of the rasters that events and line items make.
-HOURS, PART_COLUMNS = 24, 64
+HOURS, PART_COLUMNS, ORDER_COLUMNS = 24, 64, 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,21 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raster(table(spark, sf_dir, "lineitem"), week, F.pmod("l_partkey", F.lit(PART_COLUMNS)), PART_COLUMNS)
 
 
+def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node_id, iy, ix, v): total price of each order, row by row of ORDER_COLUMNS orders; it grows with the table."""
+    n = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(n.alias("node_id"), F.floor(n / ORDER_COLUMNS).alias("iy"), F.pmod(n, F.lit(ORDER_COLUMNS)).cast("long").alias("ix"), F.col("o_totalprice").alias("v"))
+
+
+def calm(grid: DataFrame, size: int = 8, deviations: float = 0.3) -> DataFrame:
+    """grid with inner: all cells of the square blocks whose mean is under that of all blocks by so many deviations."""
+    by, bx = F.floor(F.col("iy") / size).alias("by"), F.floor(F.col("ix") / size).alias("bx")
+    blocks = grid.groupBy(by, bx).agg(F.avg("v").alias("m"))
+    level = blocks.agg((F.avg("m") - deviations * F.stddev_pop("m")).alias("level"))
+    marked = blocks.crossJoin(F.broadcast(level)).select("by", "bx", (F.col("m") <= F.col("level")).alias("inner"))
+    return grid.select("*", by, bx).join(marked, ["by", "bx"]).drop("by", "bx")
+
+
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): pairs of parts and suppliers that meet in a line item; suppliers are the negative nodes."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"))
