@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.rows import drop_ids, keep_one_of_repeats, small
+from lacuna.llm.rows import small
 from lacuna.sources.staging import stage
 
 #: Runs of these six characters count as one space.
@@ -55,8 +55,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
-    """docs without exact copies: of equal texts the row with the smallest doc_id stays, once."""
-    seen = stage(exact_groups(docs), "exact")
-    dropped = stage(seen.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
-    repeated = stage(seen.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"), "repeated")
-    return keep_one_of_repeats(drop_ids(docs, dropped), repeated)
+    """docs without exact copies: of equal texts the row with the smallest doc_id stays, once; rows without an id stay.
+
+    Refinement as in exact_groups: only rows whose length and prefix another row shares are hashed whole. A
+    decision holds for a doc_id with its text, so a doc_id with several texts loses only those that are copies.
+    """
+    norm = normal_text(F.col("text").cast("string"))
+    near = {"_length": F.length(norm), "_prefix": F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))}
+    seen = docs.select(*(c.alias(n) for n, c in near.items())).groupBy(*near).count()
+    seen = stage(seen, "lengths")
+    lengths = seen.groupBy("_length").agg(F.sum("count").alias("n")).where("n > 1").select("_length")
+    shared = stage(seen.where("count > 1").join(lengths, "_length", "left_semi").select(*near), "prefixes")
+    full = F.sha2(norm.cast("binary"), 256)
+    hashed = docs.select(F.col("doc_id").alias("_id"), F.col("text"), *(c.alias(n) for n, c in near.items())).join(small(shared), list(near), "left_semi")
+    same = [*near, "_full"]
+    copies = hashed.select("_id", *near, full.alias("_full")).groupBy(*same, "_id").agg(F.count("*").alias("_n"))
+    least = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_n"))).alias("_least")
+    groups = copies.groupBy(*same).agg(least, F.sum("_n").alias("_size")).where("_size > 1 AND _least IS NOT NULL")
+    groups = stage(groups.select(*same, F.col("_least._id").alias("_keep"), (F.col("_least._n") > 1).alias("_again")), "groups")
+    marked = docs.withColumns(near).join(small(shared.withColumn("_open", F.lit(True))), list(near), "left")
+    marked = marked.withColumn("_full", F.when(F.col("_open"), full)).join(small(groups), same, "left")
+    kept = marked.where(F.col("_keep").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("_keep")))
+    if not groups.where("_again").take(1):
+        return kept.select(docs.columns)
+    once = F.coalesce(F.col("_again") & F.col("doc_id").isNotNull(), F.lit(False))
+    return kept.where(~once).select(docs.columns).unionByName(kept.where(once).dropDuplicates(["doc_id", "_full"]).select(docs.columns))

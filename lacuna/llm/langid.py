@@ -7,19 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.rows import bound_batches, crc_mod, map_rows
 
 #: Buckets of the hashed n-grams (presence of 1- to 3-grams), and texts of one matrix product.
 DIM, BATCH = 1 << 14, 64
-#: The model is fitted on at most so many labelled rows of each language, and on so many landmarks in all.
-TRAIN_ROWS, LANDMARKS = 300, 96
+#: The model is fitted on at most so many labelled rows of each language, its floors on so many more, and it has so many landmarks in all.
+TRAIN_ROWS, FLOOR_ROWS, LANDMARKS = 300, 150, 96
 RIDGE, SHARPNESS = 1e-2, 4.0
 FOLDS = 5
-#: Texts of a lower score are rejected by filters.
-MIN_SCORE = 0.3
+#: Classes of texts by the number of their n-gram buckets, rows that a class needs for a floor of its own, and what a floor leaves free.
+SIZES, LEAST_ROWS, SLACK = (48, 96, 192, 384), 25, 0.15
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -55,13 +55,14 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # (m, DIM) presence
     weights: np.ndarray  # (m, languages)
+    floors: np.ndarray  # least regression value of a known language in each class of SIZES
 
 
 def fit(rows: np.ndarray, langs: list[str]) -> Model:
     """Kernel ridge regression in the Nystroem space of landmarks that are spread evenly over the languages."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((0, DIM), np.float32), np.zeros((0, 0)))
+        return Model([], np.zeros((0, DIM), np.float32), np.zeros((0, 0)), np.full(len(SIZES) + 1, -np.inf))
     y = np.array([[1.0 if a == b else -1.0 for b in names] for a in langs])
     each = max(1, LANDMARKS // len(names))
     at = [i for b in names for i in [k for k, a in enumerate(langs) if a == b][:each]]
@@ -73,51 +74,73 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     # Each language has the same weight as a whole.
     share = np.array([1.0 / langs.count(a) for a in names])[y.argmax(1)]
     left = phi.T @ (phi * share[:, None]) + RIDGE * np.eye(phi.shape[1])
-    return Model(names, marks, root @ np.linalg.solve(left, phi.T @ (y * share[:, None])))
+    return Model(names, marks, root @ np.linalg.solve(left, phi.T @ (y * share[:, None])), np.full(len(SIZES) + 1, -np.inf))
+
+
+def set_floors(m: Model, rows: np.ndarray) -> Model:
+    """m with floors from presence rows of known languages that it wasn't fitted on: the least value of a class less SLACK.
+
+    A class of few rows has the floor of the next shorter one, so that the floor never rests on guesses; none has none.
+    """
+    if len(rows) and m.langs:
+        best = np.concatenate([(kernel(rows[k : k + BATCH].astype(np.float32), m.landmarks) @ m.weights).max(1) for k in range(0, len(rows), BATCH)])
+        kind = np.searchsorted(SIZES, rows.sum(1, dtype=np.int64), side="right")
+        floor = -np.inf
+        for c in range(len(SIZES) + 1):
+            mine = best[kind == c]
+            floor = float(mine.min()) - SLACK if len(mine) >= LEAST_ROWS else floor
+            m.floors[c] = floor
+    return m
 
 
 def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     """Fit on rows with a language whose crc32 of the id is not 0 modulo folds: at most TRAIN_ROWS of each language.
 
-    The sample is that of smallest id hashes in each language. Tasks turn texts into presence bits, and
-    only these (DIM / 8 bytes a row) and the labels reach the driver.
+    The sample is that of smallest hashes of id and text in each language, so that many rows of one id don't make it
+    larger; the next FLOOR_ROWS set the floors. Tasks turn texts into presence bits, and only these (DIM / 8 bytes a
+    row) and the labels reach the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", folds) != 0))
     order = F.xxhash64(F.lit("langid"), F.col("doc_id"))
     sizes = known.groupBy("lang").count().collect()
+    many = TRAIN_ROWS + FLOOR_ROWS
     unit = (order / F.lit(2.0**64)) + F.lit(0.5)
     if not sizes:
         return fit(np.zeros((0, DIM), np.uint8), [])
     # A fraction that gives TRAIN_ROWS with a margin, so that few texts are read; the rest is cut by rank.
-    part = F.coalesce(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * TRAIN_ROWS / r["count"] + 20 / r["count"])))])[F.col("lang")], F.lit(0.0))
+    part = F.coalesce(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * many / r["count"] + 20 / r["count"])))])[F.col("lang")], F.lit(0.0))
 
     def make():
         def each(rows):
             bits = np.zeros((len(rows["text"]), DIM), np.uint8)
             for i, t in enumerate(rows["text"]):
                 presence(t or "", bits[i])
-            return {"lang": rows["lang"], "rank": rows["rank"], "bits": [r.tobytes() for r in np.packbits(bits, axis=1)]}
+            return {"lang": rows["lang"], "place": rows["place"], "bits": [r.tobytes() for r in np.packbits(bits, axis=1)]}
 
         return each
 
+    first = Window.partitionBy("lang").orderBy("rank", "more")
     picked = known.where(unit <= part).select("lang", order.alias("rank"), F.col("text").cast("string").alias("text"))
-    got = map_rows(picked, make, "lang string, rank long, bits binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["rank"]))
-    taken: dict[str, list] = {}
-    for r in got:
-        if len(taken.setdefault(r["lang"], [])) < TRAIN_ROWS:
-            taken[r["lang"]].append(r["bits"])
-    langs = [a for a, rows in taken.items() for _ in rows]
-    bits = [b for rows in taken.values() for b in rows]
-    return fit(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1), langs)
+    picked = picked.withColumn("more", F.xxhash64("text")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= many)
+    got = map_rows(picked.select("lang", "place", "text"), make, "lang string, place int, bits binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["place"]))
+    bits = lambda rows: np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    fitted, more = [r for r in got if r["place"] <= TRAIN_ROWS], [r for r in got if r["place"] > TRAIN_ROWS]
+    model = fit(bits(fitted), [r["lang"] for r in fitted])
+    return set_floors(model, bits(more)) if more else model
 
 
-def scores(texts: list[str], m: Model) -> np.ndarray:
-    """(text, language) scores in 0 to 1, by one matrix product for the kernel and one for the regression."""
+def values(texts: list[str], m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """((text, language) regression values, classes of SIZES), by one matrix product for the kernel and one for the regression."""
     x = np.zeros((len(texts), DIM), np.float32)
     for row, text in zip(x, texts, strict=True):
         presence(text, row)
-    s = SHARPNESS * (kernel(x, m.landmarks) @ m.weights)
+    return kernel(x, m.landmarks) @ m.weights, np.searchsorted(SIZES, x.sum(1), side="right")
+
+
+def scores(texts: list[str], m: Model) -> np.ndarray:
+    """(text, language) scores in 0 to 1."""
+    s = SHARPNESS * values(texts, m)[0]
     e = np.exp(s - s.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
@@ -158,13 +181,27 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those of no known language: und, or a score below min_score. All columns stay as they are."""
+def known_texts(texts: list[str | None], m: Model) -> np.ndarray:
+    """Whether each text has a letter and its best language's regression value is at least the floor of its class."""
+    out = np.zeros(len(texts), bool)
+    todo = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
+    for a in range(0, len(todo), BATCH):
+        part = todo[a : a + BATCH]
+        value, kind = values([texts[i] for i in part], m)
+        out[part] = value.max(1) >= m.floors[kind]
+    return out
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """docs without those of no known language: texts without a letter, or that no language's regression claims.
+
+    What counts as claimed is set on labelled rows that the model wasn't fitted on, by length, and so doesn't
+    depend on the number of languages. All columns stay as they are; without a labelled row nothing is known.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        lang, score = label(texts.tolist(), model.value)
-        return pd.Series([a != UNKNOWN and s >= min_score for a, s in zip(lang, score, strict=True)], dtype=bool)
+        return pd.Series(known_texts(texts.tolist(), model.value), dtype=bool)
 
     return bound_batches(docs).where(known(F.col("text").cast("string")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,8 +174,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dedup_near(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate component: that with the smallest doc_id. Rows without an id stay."""
-    seen = stage(near_groups(docs), "near")
+    """docs with one document of each near-duplicate component: that with the smallest doc_id, once. Rows without an id stay.
+
+    A doc_id with several fingerprints (colliding ids) is decided for each of its texts; only such rows are fingerprinted again.
+    """
+    seen = stage(near_groups(docs).where("doc_id IS NOT NULL"), "near")
+    by_id = seen.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.count("*").alias("n"))
+    by_id = stage(by_id.where("n > 1"), "repeated")
     dropped = stage(seen.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    repeated = stage(seen.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1"), "repeated")
-    return keep_one_of_repeats(drop_ids(docs, dropped), repeated)
+    if not by_id.where("a <> b").take(1):
+        return keep_one_of_repeats(drop_ids(docs, dropped), by_id)
+    several = stage(by_id.where("a <> b").select("doc_id"), "several")
+    rest = docs.join(small(several), "doc_id", "left_anti").select(docs.columns)
+    plain = keep_one_of_repeats(drop_ids(rest, dropped), by_id.where("a = b"))
+    kept = seen.join(small(several), "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("fingerprint").alias("_fp")).distinct()
+
+    @F.pandas_udf("string")
+    def hex_fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t):016x}" for t in texts], dtype=str)
+
+    mine = docs.join(small(several), "doc_id", "left_semi").withColumn("_fp", hex_fingerprint(F.col("text").cast("string")))
+    return plain.unionByName(mine.join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(docs.columns))
