@@ -18,8 +18,9 @@ DIM, BATCH = 1 << 14, 64
 TRAIN_ROWS, FLOOR_ROWS, LANDMARKS = 300, 150, 96
 RIDGE, SHARPNESS = 1e-2, 4.0
 FOLDS = 5
-#: Classes of texts by the number of their n-gram buckets, rows that a class needs for a floor of its own, and what a floor leaves free.
-SIZES, LEAST_ROWS, SLACK = (48, 96, 192, 384), 25, 0.15
+#: A text is known if it shares with some landmark at least so much of the least share that labelled rows have which the model wasn't
+#: fitted on; of so many rows at least, else nothing is rejected for it.
+FAMILIAR, LEAST_ROWS = 0.85, 25
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -55,14 +56,14 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # (m, DIM) presence
     weights: np.ndarray  # (m, languages)
-    floors: np.ndarray  # least regression value of a known language in each class of SIZES
+    floor: float = 0.0  # least share of a known text's n-grams that one landmark has
 
 
 def fit(rows: np.ndarray, langs: list[str]) -> Model:
     """Kernel ridge regression in the Nystroem space of landmarks that are spread evenly over the languages."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((0, DIM), np.float32), np.zeros((0, 0)), np.full(len(SIZES) + 1, -np.inf))
+        return Model([], np.zeros((0, DIM), np.float32), np.zeros((0, 0)))
     y = np.array([[1.0 if a == b else -1.0 for b in names] for a in langs])
     each = max(1, LANDMARKS // len(names))
     at = [i for b in names for i in [k for k, a in enumerate(langs) if a == b][:each]]
@@ -74,22 +75,19 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     # Each language has the same weight as a whole.
     share = np.array([1.0 / langs.count(a) for a in names])[y.argmax(1)]
     left = phi.T @ (phi * share[:, None]) + RIDGE * np.eye(phi.shape[1])
-    return Model(names, marks, root @ np.linalg.solve(left, phi.T @ (y * share[:, None])), np.full(len(SIZES) + 1, -np.inf))
+    return Model(names, marks, root @ np.linalg.solve(left, phi.T @ (y * share[:, None])))
 
 
-def set_floors(m: Model, rows: np.ndarray) -> Model:
-    """m with floors from presence rows of known languages that it wasn't fitted on: the least value of a class less SLACK.
+def shares(x: np.ndarray, m: Model) -> np.ndarray:
+    """Largest share of each presence row that a landmark has in common with it, of the smaller of both."""
+    y = m.landmarks
+    return ((x @ y.T) / np.minimum(np.maximum(x.sum(1), 1)[:, None], np.maximum(y.sum(1), 1)[None, :])).max(1)
 
-    A class of few rows has the floor of the next shorter one, so that the floor never rests on guesses; none has none.
-    """
-    if len(rows) and m.langs:
-        best = np.concatenate([(kernel(rows[k : k + BATCH].astype(np.float32), m.landmarks) @ m.weights).max(1) for k in range(0, len(rows), BATCH)])
-        kind = np.searchsorted(SIZES, rows.sum(1, dtype=np.int64), side="right")
-        floor = -np.inf
-        for c in range(len(SIZES) + 1):
-            mine = best[kind == c]
-            floor = float(mine.min()) - SLACK if len(mine) >= LEAST_ROWS else floor
-            m.floors[c] = floor
+
+def set_floor(m: Model, rows: np.ndarray) -> Model:
+    """m with the floor that follows from presence rows of known languages that it wasn't fitted on."""
+    if len(rows) >= LEAST_ROWS and m.langs:
+        m.floor = FAMILIAR * float(np.concatenate([shares(rows[k : k + BATCH].astype(np.float32), m) for k in range(0, len(rows), BATCH)]).min())
     return m
 
 
@@ -97,7 +95,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     """Fit on rows with a language whose crc32 of the id is not 0 modulo folds: at most TRAIN_ROWS of each language.
 
     The sample is that of smallest hashes of id and text in each language, so that many rows of one id don't make it
-    larger; the next FLOOR_ROWS set the floors. Tasks turn texts into presence bits, and only these (DIM / 8 bytes a
+    larger; the next FLOOR_ROWS set the floor. Tasks turn texts into presence bits, and only these (DIM / 8 bytes a
     row) and the labels reach the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", folds) != 0))
@@ -127,20 +125,24 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     bits = lambda rows: np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
     fitted, more = [r for r in got if r["place"] <= TRAIN_ROWS], [r for r in got if r["place"] > TRAIN_ROWS]
     model = fit(bits(fitted), [r["lang"] for r in fitted])
-    return set_floors(model, bits(more)) if more else model
+    return set_floor(model, bits(more)) if more else model
 
 
-def values(texts: list[str], m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """((text, language) regression values, classes of SIZES), by one matrix product for the kernel and one for the regression."""
+def _rows(texts: list[str]) -> np.ndarray:
     x = np.zeros((len(texts), DIM), np.float32)
     for row, text in zip(x, texts, strict=True):
         presence(text, row)
-    return kernel(x, m.landmarks) @ m.weights, np.searchsorted(SIZES, x.sum(1), side="right")
+    return x
+
+
+def values(texts: list[str], m: Model) -> np.ndarray:
+    """(text, language) regression values, by one matrix product for the kernel and one for the regression."""
+    return kernel(_rows(texts), m.landmarks) @ m.weights
 
 
 def scores(texts: list[str], m: Model) -> np.ndarray:
     """(text, language) scores in 0 to 1."""
-    s = SHARPNESS * values(texts, m)[0]
+    s = SHARPNESS * values(texts, m)
     e = np.exp(s - s.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
@@ -182,21 +184,20 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_texts(texts: list[str | None], m: Model) -> np.ndarray:
-    """Whether each text has a letter and its best language's regression value is at least the floor of its class."""
+    """Whether each text has a letter and shares enough with a landmark."""
     out = np.zeros(len(texts), bool)
     todo = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
     for a in range(0, len(todo), BATCH):
         part = todo[a : a + BATCH]
-        value, kind = values([texts[i] for i in part], m)
-        out[part] = value.max(1) >= m.floors[kind]
+        out[part] = shares(_rows([texts[i] for i in part]), m) >= m.floor
     return out
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those of no known language: texts without a letter, or that no language's regression claims.
+    """docs without those of no known language: texts without a letter, or that no landmark of a language resembles.
 
-    What counts as claimed is set on labelled rows that the model wasn't fitted on, by length, and so doesn't
-    depend on the number of languages. All columns stay as they are; without a labelled row nothing is known.
+    What counts as resembling is set on labelled rows that the model wasn't fitted on, so it doesn't depend on the
+    number of languages. All columns stay as they are; without a labelled row nothing is known.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
