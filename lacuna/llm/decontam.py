@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -243,7 +244,7 @@ def _spans(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
-    """Rows (window start, item number) whose sampled words agree in some repetition; ids may hold many texts apart.
+    """Rows (window start, item number) whose sampled words agree in some repetition, as often as they do; ids may hold many texts apart.
 
     All windows walk together. Those whose first sampled words are no item's fall away; the rest walk
     on alone, so what is found is what complete sampling of every window finds.
@@ -283,7 +284,7 @@ def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
                 full = _mix(full, words[s])
             a, b = _spans(r.keys, full)
             out.append(np.stack([origin[a], r.items[b]], 1))
-    return np.unique(np.concatenate(out), axis=0)
+    return np.concatenate(out)
 
 
 def _edit(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -333,7 +334,7 @@ def leaks_of(texts: list[str | None], index: Index) -> list[tuple[int, int, int,
     first, size = 0, 0
     for k, text in enumerate(texts):
         words = words_of(text)
-        held.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
+        held.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
         size += len(words)
         if size >= STEP or k == len(texts) - 1:
             out += [(first + t, *rest) for t, *rest in _verified(held, pad, index)]
@@ -348,16 +349,23 @@ def _verified(texts: list[np.ndarray], pad: int, index: Index) -> list[tuple[int
     for b, t in zip(begins, texts, strict=False):
         joined[b : b + len(t)] = t
     hashed = candidates(joined, index)
-    rows = np.concatenate([np.insert(hashed, 2, 0, axis=1), seeded(joined, index)])
-    owner = np.searchsorted(begins, rows[:, 0], side="right") - 1
-    rows = np.unique(np.stack([owner, rows[:, 1], rows[:, 0] - rows[:, 2]], 1), axis=0)
-    size = index.sizes[rows[:, 1]]
+    piece = seeded(joined, index)
+    # (text's word, item, place of the item's start) once each, as one number.
+    many, widest = len(index.items) + 1, int(index.sizes.max(initial=0)) + 1
+    at = np.concatenate([hashed[:, 0], piece[:, 0]])
+    start = at - np.concatenate([np.zeros(len(hashed), np.int64), piece[:, 2]])
+    begin = np.searchsorted(begins, at, side="right") - 1
+    key = np.unique((begin * many + np.concatenate([hashed[:, 1], piece[:, 1]])) * (len(joined) + widest) + start + widest)
+    rest, start = np.divmod(key, len(joined) + widest)
+    owner, number = np.divmod(rest, many)
+    start -= widest
+    size = index.sizes[number]
     slack = (size * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-    lo, hi = np.maximum(begins[rows[:, 0]], rows[:, 2] - slack), np.minimum(begins[rows[:, 0] + 1] - 1, rows[:, 2] + size + slack)
+    lo, hi = np.maximum(begins[owner], start - slack), np.minimum(begins[owner + 1] - 1, start + size + slack)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     windows: list[list[int]] = []  # (text, item, from, to)
-    for k in np.flatnonzero(_common(joined, rows[:, 1], lo, hi, index) >= size - slack).tolist():
-        t, item = rows[k, :2].tolist()
+    for k in np.flatnonzero(_common(joined, number, lo, hi, index) >= size - slack).tolist():
+        t, item = int(owner[k]), int(number[k])
         a, z = int(lo[k] - begins[t]), int(hi[k] - begins[t])
         if windows and windows[-1][:2] == [t, item] and a <= windows[-1][3]:
             windows[-1][3] = z
