@@ -211,7 +211,7 @@ ORACLES = {
             UNION ALL SELECT s.piter, s.pcid, c.invalid FROM climb c JOIN step s ON s.iter = c.iter AND s.cid = c.cid AND s.n = 1)
         SELECT CAST(iter AS BIGINT) AS iter, cid, bool_or(invalid) AS invalid FROM climb c WHERE NOT EXISTS (SELECT 1 FROM step s WHERE s.iter = c.iter AND s.cid = c.cid AND s.n = 1) GROUP BY 1, 2""",
     "valid_components": f"""WITH RECURSIVE {ORDERS}, {CALM}, {INNER}, {edges(CROSS)}, {both()}, {reached("inn", "adj", "c")},
-        hit AS (SELECT DISTINCT component FROM c JOIN cells USING (node_id) WHERE v > (SELECT max(v) * 0.995e0 FROM cells)), {numbered("hit", "n")} SELECT cid, node_id FROM c JOIN n USING (component)""",
+        hit AS (SELECT DISTINCT component FROM c JOIN cells USING (node_id) WHERE v > (SELECT max(v) * 0.97e0 FROM cells)), {numbered("hit", "n")} SELECT cid, node_id FROM c JOIN n USING (component) WHERE (SELECT count(*) FROM n) > 1""",
     "mode_neighbour": f"WITH {GRID_GRAPH}, {HALVES.replace('halves', 'groups', 1)}, {MODE} SELECT * FROM best",
     "mode_supplier_nation": f"WITH {SUPPLY}, {both()}, groups AS (SELECT -s_suppkey - 1 AS node_id, CAST(s_nationkey AS BIGINT) AS group_id FROM supplier), {MODE} SELECT * FROM best",
     "grow_wave": f"""WITH {GRID_GRAPH}, {HALVES.replace("halves", "groups", 1)}, {MODE}

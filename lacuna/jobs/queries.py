@@ -235,10 +235,10 @@ def _lineage(spark, sf_dir) -> lineage.Lineage:
 
 
 def valid_components(spark, sf_dir):
-    """The first round's components with a valid cell: one over four fifths of the largest price."""
+    """The first round's components with a valid cell: one within three percent of the largest price."""
     cells = stage(_calm(spark, sf_dir), "cells")
     edges = stage(graph.pixel_edges(cells, graph.AHEAD_4), "edges")
-    level = cells.agg((F.max("v") * 0.995).alias("level"))
+    level = cells.agg((F.max("v") * 0.97).alias("level"))
     valid = cells.crossJoin(F.broadcast(level)).where("v > level")
     return lineage.component_lineage(cells.where("inner"), edges, graph.adjacency(edges), rounds=1, least=1, valid=valid).members.select("cid", "node_id")
 

@@ -46,14 +46,18 @@ def grid_edges(spark: SparkSession, height: int, width: int, ahead=AHEAD_8) -> D
 
 
 def radius_edges(points: DataFrame, r: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Pairs closer than r: equi-join on grid cells of size r, one side dealt to its neighbour cells, then the exact distance."""
+    """Pairs closer than r: equi-join on grid cells of size r, one side dealt to its own cell and the cells ahead, then the exact distance.
+
+    Half of the neighbour cells suffice, as a pair of two cells meets in the one that is ahead of the other.
+    """
     cells = [F.floor(F.col(a) / r).alias(f"c{a}") for a in axes]
     home = points.select(F.col("node_id").alias("dst"), *[F.col(a).alias(f"b{a}") for a in axes], *cells)
-    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(axes, ds, strict=True)]) for ds in product((-1, 0, 1), repeat=len(axes))])
+    ahead = [ds for ds in product((-1, 0, 1), repeat=len(axes)) if ds >= (0,) * len(axes)]
+    around = F.array(*[F.struct(F.lit(not any(ds)).alias("own"), *[F.lit(d).alias(f"d{a}") for a, d in zip(axes, ds, strict=True)]) for ds in ahead])
     dealt = points.select(F.col("node_id").alias("src"), *axes, F.explode(around).alias("d"), *cells)
-    dealt = dealt.select("src", *axes, *[(F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in axes])
+    dealt = dealt.select("src", *axes, F.col("d.own").alias("own"), *[(F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in axes])
     d2 = sum(((F.col(a) - F.col(f"b{a}")) * (F.col(a) - F.col(f"b{a}")) for a in axes), F.lit(0.0))
-    return dealt.join(home, [f"c{a}" for a in axes]).where((F.col("src") < F.col("dst")) & (d2 < r * r)).select("src", "dst")
+    return dealt.join(home, [f"c{a}" for a in axes]).where((~F.col("own") | (F.col("src") < F.col("dst"))) & (d2 < r * r)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def short_edges(edges: DataFrame, points: DataFrame, threshold: float) -> DataFrame:

@@ -15,6 +15,7 @@ from lacuna.jobs import registry
 from lacuna.jobs.extract import extract_points, extract_raster, load_or_make
 from lacuna.jobs.oracles import ORACLES
 from lacuna.jobs.queries import QUERIES, TOY
+from lacuna.jobs.registry import load_weights
 from lacuna.operators import gnn, graph, grow, indexing, lineage, merge, profile, raster, shell
 from lacuna.operators.components import connected_components
 from lacuna.sources.staging import discard, stage
@@ -393,6 +394,58 @@ def test_registry(spark, tmp_path):
         registry.get_model(models, "none")
 
 
+def test_weights_come_from_a_table_with_the_shapes_of_the_model(spark):
+    model = {"name": "Small", "in_channels": 2, "hidden": 2, "out_channels": 2, "heads": 2}
+    rows = []
+    for name in ("root", "rel", "bias", "gamma", "beta", "mean", "var", "left", "left_bias", "right", "right_bias", "attention", "last"):
+        x = np.asarray(getattr(TOY, name))
+        rows += [("small", name, int(at[0]), int(at[1]) if x.ndim > 1 else 0, float(v)) for at, v in np.ndenumerate(x)]
+    table = lambda rows: spark.createDataFrame(rows + [("other", "bias", 0, 0, 9.0)], "name string, parameter string, i int, j int, value double")
+    got = load_weights(table(rows), model)
+    assert all((np.asarray(getattr(got, n)) == np.asarray(getattr(TOY, n))).all() for n in ("root", "left", "attention", "last", "bias"))
+    for bad in (rows[1:], rows + rows[:1], rows + [("small", "bias", 2, 0, 1.0)], rows + [("small", "more", 0, 0, 1.0)]):
+        with pytest.raises(ValueError):
+            load_weights(table(bad), model)
+
+
+def test_valid_nodes_decide_about_first_components(spark, h7):
+    edges, adj, inner = h7
+    every = lineage.component_lineage(inner, edges, adj, 3, 1)
+    first = every.members.where("iter = 0")
+    only = {r["cid"] for r in first.collect()}
+    assert len(only) == 2
+    none = lineage.component_lineage(inner, edges, adj, 3, 1, valid=inner.where("false"))
+    assert none.members.count() == 0 and none.levels.count() == inner.count()
+    same = lineage.component_lineage(inner, edges, adj, 3, 1, valid=inner)
+    assert sorted(map(tuple, same.members.collect())) == sorted(map(tuple, every.members.collect()))
+
+
+def test_group_medians_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), None if v < 0.05 else round(float(v), 2)) for g, v in zip(rng.integers(0, 4, 500), rng.random(500), strict=True)] + [(9, None)]
+    got = {r["g"]: r["median"] for r in profile.group_medians(spark.createDataFrame(rows, "g long, v double").repartition(5), "v", ["g"]).collect()}
+    for g in range(4):
+        assert got[g] == pytest.approx(np.median([v for k, v in rows if k == g and v is not None]))
+    assert got.get(9) is None
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from lacuna.sources import staging
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(Session)
+    Context.master = "local[2]"
+    assert staging.shared_dir(Session)
+
+
 def test_cache_is_reused_only_for_equal_parameters(spark, tmp_path):
     calls = []
 
