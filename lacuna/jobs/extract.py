@@ -21,6 +21,30 @@ def classify_points(points: DataFrame, edges: DataFrame, names: list[str], weigh
     return points.join(scored, "node_id").withColumn("inner", F.col("score") > config.detection_threshold)
 
 
+def classify_chunks(
+    points: DataFrame, held: DataFrame, edges: DataFrame, names: list[str], weights: gnn.Weights, config: SnapshotConfig | None = None, cache: str | None = None, attributes: dict | None = None, force: bool = False
+) -> DataFrame:
+    """points with score and inner, scored chunk by chunk: features of the whole snapshot, the network on each chunk's own edges.
+
+    held: (chunk, node_id) with halos; edges: (chunk, src, dst), raw. Of a node in several chunks the highest chunk counts, a node of
+    none scores 0. With cache, a path (config.score_path), scores are read from there if they were made with the
+    same attributes (model, snapshot) and feature settings, unless forced; the threshold is applied to them afterwards.
+    """
+    config = config or SnapshotConfig()
+
+    def make() -> DataFrame:
+        feats = stage(profile.features(points, names, config.normalize, config.z_bin_size, config.r_bin_size), "features")
+        return gnn.score_chunks(feats, held, edges, [f"f{k}" for k in range(len(names))], weights)
+
+    if cache:
+        said = {**(attributes or {}), "features": names, "normalize": config.normalize, "z_bin_size": config.z_bin_size, "r_bin_size": config.r_bin_size}
+        scores = load_or_make(points.sparkSession, cache, make, said, force)
+    else:
+        scores = make()
+    both = points.join(scores.select("node_id", "score"), "node_id", "left").na.fill(0.0, ["score"])
+    return both.withColumn("inner", F.col("score") > config.detection_threshold)
+
+
 def classify_raster(pixels: DataFrame, height: int, width: int, weights: gnn.Weights, config: ImageConfig | None = None) -> tuple[DataFrame, int, int]:
     """(all pixels with v, score and inner, height, width): aligned if asked for, normalised, scored at each scale, small holes filled."""
     config = config or ImageConfig()

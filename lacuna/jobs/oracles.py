@@ -128,7 +128,23 @@ def on_features(sql: str) -> str:
 SCALED = f"""f AS (WITH {binned("density")} SELECT node_id, (log_ratio - center) / scale AS f0 FROM ratio, {scaled("ratio", "log_ratio")}),
     g AS (WITH {binned("temperature")} SELECT node_id, (log_ratio - center) / scale AS f1 FROM ratio, {scaled("ratio", "log_ratio")}),
     q AS (SELECT node_id, f0 AS density, f1 AS temperature FROM f JOIN g USING (node_id))"""
+PHI = "CASE WHEN x IS NULL THEN NULL ELSE (atan2(y, x) + pi()) % (2 * pi()) END"
+HELD = f"""azimuths AS (SELECT node_id, {PHI} AS f FROM p), homes AS (SELECT *, least(floor(f / (2 * pi() / 8)), 7) AS home FROM azimuths),
+    held AS (SELECT DISTINCT node_id, c AS chunk FROM (
+        SELECT node_id, CAST(unnest([home, CASE WHEN f - home * (2 * pi() / 8) < 0.05e0 THEN (home + 7) % 8 END, CASE WHEN (home + 1) * (2 * pi() / 8) - f <= 0.05e0 THEN (home + 1) % 8 END]) AS BIGINT) AS c FROM homes) WHERE c IS NOT NULL)"""
 SCORE = "exp(o0 - greatest(o0, o1)) / (exp(o0 - greatest(o0, o1)) + exp(o1 - greatest(o0, o1)))"
+#: The network on all chunks at once: a node of a chunk has the number chunk * 2^32 + node_id.
+CHUNKED = (
+    on_features(SOFTMAX)
+    .replace(
+        f"WITH {P}, {RADIUS_E}, {both()}, ",
+        f"WITH {P}, {SCALED.replace('q AS (', 'feats AS (')}, {HELD}, {RADIUS_E.replace('e AS', 'whole AS', 1)}, "
+        f"e AS (SELECT s.chunk * 4294967296 + src AS src, s.chunk * 4294967296 + dst AS dst FROM whole JOIN held s ON s.node_id = src JOIN held d ON d.node_id = dst AND d.chunk = s.chunk), {both()}, "
+        "q AS (SELECT chunk * 4294967296 + node_id AS node_id, density, temperature FROM held JOIN feats USING (node_id)), ",
+    )
+    .replace("SELECT node_id, node_id FROM p)", "SELECT node_id, node_id FROM q)")
+    .replace(f"SELECT node_id, round({SCORE}, 6) AS score FROM o", f", won AS (SELECT node_id % 4294967296 AS node_id, arg_max({SCORE}, node_id) AS s FROM o GROUP BY 1)")
+)
 IMAGE = (
     "WITH RECURSIVE "
     + ", ".join([RAW, FULL, smooth(1, "fine"), smooth(2, "wide"), "mix AS (SELECT g.node_id, g.iy, g.ix, (fine.v + wide.v) / 2 AS v FROM grid g JOIN fine ON fine.node_id = g.node_id JOIN wide ON wide.node_id = g.node_id)"])
@@ -149,7 +165,6 @@ MODE = """met AS (SELECT node, group_id, count(*) AS n FROM adj JOIN groups ON g
 CONTACTS = """touch AS (SELECT DISTINCT h.group_id, adj.nbr FROM adj JOIN halves h ON h.node_id = adj.node),
     near AS (SELECT t.group_id, h.group_id AS other, count(*) AS n FROM touch t LEFT JOIN halves h ON h.node_id = t.nbr WHERE h.group_id IS NULL OR h.group_id <> t.group_id GROUP BY 1, 2)"""
 HOLES = "WITH RECURSIVE " + ", ".join([RAW, FULL, cells(0.0), "outs AS (SELECT * FROM cells WHERE NOT inn)", edges(CROSS), both(), reached("outs", "adj", "c")])
-PHI = "CASE WHEN x IS NULL THEN NULL ELSE (atan2(y, x) + pi()) % (2 * pi()) END"
 SUPPLY = "e AS (SELECT DISTINCT -l_suppkey - 1 AS src, l_partkey AS dst FROM lineitem)"
 
 ORACLES = {
@@ -247,6 +262,9 @@ ORACLES = {
     "graphconv_mean": f"WITH {P}, {RADIUS_E}, {both()}, {MEANS} SELECT node_id, round(m1, 6) AS mean_density, round(m2, 6) AS mean_temperature FROM m",
     "gnn_softmax": SOFTMAX,
     "classify_particles": on_features(SOFTMAX.replace(f"WITH {P}, ", f"WITH {P}, {SCALED}, ", 1)).replace(f"round({SCORE}, 6) AS score FROM o", f'round({SCORE}, 6) AS score, {SCORE} > 0.5 AS "inner" FROM o'),
+    "chunk_members": f"WITH {P}, {HELD} SELECT chunk, node_id FROM held",
+    "classify_chunk_tables": CHUNKED + ' SELECT node_id, round(coalesce(s, 0e0), 6) AS score, coalesce(s, 0e0) > 0.5 AS "inner" FROM p LEFT JOIN won USING (node_id)',
+    "chunk_scores_cached": CHUNKED + ' SELECT node_id, round(coalesce(s, 0e0), 6) AS score, coalesce(s, 0e0) > 0.9 AS "inner" FROM p LEFT JOIN won USING (node_id)',
     "classify_event_raster": IMAGE,
     "raster_from_arrays": """SELECT vec_id * (SELECT max(len(embedding)) FROM embeddings) + k - 1 AS node_id, vec_id AS iy, k - 1 AS ix, round(embedding[k]::DOUBLE, 6) AS v
         FROM embeddings, unnest(range(1, len(embedding) + 1)) t(k)""",
@@ -258,5 +276,8 @@ ORACLES = {
             WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.25e0 * 0.25e0)
         SELECT src, dst FROM short WHERE src NOT IN (SELECT node_id FROM zone) AND dst NOT IN (SELECT node_id FROM zone)
         UNION ALL (SELECT DISTINCT src, dst FROM short WHERE src IN (SELECT node_id FROM zone) OR dst IN (SELECT node_id FROM zone))""",
+    "fits_region": f"""WITH {GRID}, t AS (SELECT iy - 3 AS iy, ix - 5 AS ix, v FROM range((SELECT max(iy) + 1 FROM grid)) a(iy) CROSS JOIN range(24) b(ix) LEFT JOIN grid USING (iy, ix)
+        WHERE iy BETWEEN 3 AND (SELECT max(iy) - 2 FROM grid) AND ix BETWEEN 5 AND 19) SELECT iy * 15 + ix AS node_id, iy, ix, coalesce(v, 'nan'::DOUBLE) AS v FROM t""",
+    "fits_whole": f"WITH {PIXELS} SELECT t.n AS node_id, t.n // 64 AS iy, t.n % 64 AS ix, coalesce(v, 0.0)::DOUBLE AS v FROM range((SELECT (max(iy) + 1) * 64 FROM grid)) t(n) LEFT JOIN grid ON grid.node_id = t.n",
     "gnn_sigmoid": SIGMOID,
 }

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import masks as M
 from lacuna.jobs.config import ImageConfig, InnerConfig, ShellConfig, SnapshotConfig
-from lacuna.jobs.extract import classify_points, classify_raster, extract_points, extract_raster
+from lacuna.jobs.extract import classify_chunks, classify_points, classify_raster, extract_points, extract_raster
 from lacuna.operators import gnn, graph, grow, lineage, merge, profile, raster, shell
 from lacuna.sources import views as V
+from lacuna.sources.fits import read_fits, write_fits
 from lacuna.sources.staging import stage, stage_path
 
 #: Radius of the point graph.
@@ -430,6 +431,36 @@ def classify_particles(spark, sf_dir):
     return got.select("node_id", F.round("score", 6).alias("score"), "inner")
 
 
+def _chunked(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Particles, eight azimuthal chunks with their halos, and each chunk's own radius graph."""
+    points = stage(V.particles(spark, sf_dir), "points")
+    held = stage(graph.in_chunks(M.with_chunks(points, 8, 0.05).select("chunk", "id"), points), "held")
+    return points, held, graph.chunk_edges(graph.radius_edges(points, RADIUS), held)
+
+
+def chunk_members(spark, sf_dir):
+    """Which particles each chunk holds, looked up by their ids."""
+    points = V.particles(spark, sf_dir)
+    return graph.in_chunks(M.with_chunks(points, 8, 0.05).select("chunk", "id"), points).select(F.col("chunk").cast("long").alias("chunk"), "node_id")
+
+
+def classify_chunk_tables(spark, sf_dir):
+    """The scoring of points chunk by chunk on halo edges: features of all, a graph for each chunk, the last chunk wins."""
+    points, held, edges = _chunked(spark, sf_dir)
+    config = SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05)
+    got = classify_chunks(points, held, edges, ["density", "temperature"], TOY, config)
+    return got.select("node_id", F.round("score", 6).alias("score"), "inner")
+
+
+def chunk_scores_cached(spark, sf_dir):
+    """The same by way of a saved score table, read a second time under another threshold."""
+    path = stage_path(spark, "scores")
+    points, held, edges = _chunked(spark, sf_dir)
+    make = lambda level: classify_chunks(points, held, edges, ["density", "temperature"], TOY, SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05, detection_threshold=level), path, {"model": "toy"})
+    make(0.5)
+    return make(0.9).select("node_id", F.round("score", 6).alias("score"), "inner")
+
+
 def classify_event_raster(spark, sf_dir):
     """The whole scoring of a raster: scales, scaling, network, threshold, small holes."""
     config = ImageConfig(filter_sizes=[1, 2], small_hole_size=4)
@@ -443,6 +474,22 @@ def raster_from_arrays(spark, sf_dir):
     return raster.from_arrays(rows, width).select("node_id", "iy", "ix", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
+def fits_region(spark, sf_dir):
+    """The event grid written as a FITS image in bands; a region of it read back."""
+    path = stage_path(spark, "image")
+    write_fits(V.events_grid(spark, sf_dir), path, _days(spark, sf_dir), V.HOURS, 8)
+    return read_fits(spark, path, (slice(3, -2), slice(5, 20)))[0]
+
+
+def fits_whole(spark, sf_dir):
+    """The raster of shipping weeks and part columns, written as a FITS image and read back whole; absent pixels are NaN there."""
+    path = stage_path(spark, "image")
+    height = (V.pixels(spark, sf_dir).agg(F.max("iy")).first()[0] or 0) + 1
+    write_fits(V.pixels(spark, sf_dir), path, height, V.PART_COLUMNS, 64)
+    pixels, height, width = read_fits(spark, path)
+    return raster.full_grid(pixels, height, width)
+
+
 def chunk_edges_merged(spark, sf_dir):
     """Pairs of consecutive particles as every azimuthal chunk with its halo would give them, put together."""
     points = V.particles(spark, sf_dir)
@@ -539,9 +586,14 @@ QUERIES = {
         saved_features,
         valid_components,
         classify_particles,
+        chunk_members,
+        classify_chunk_tables,
+        chunk_scores_cached,
         classify_event_raster,
         raster_from_arrays,
         chunk_edges_merged,
+        fits_region,
+        fits_whole,
         extract_grid_points,
         extract_grid_raster,
         extract_shipping_raster,

@@ -88,6 +88,18 @@ def merged_chunk_edges(pairs: DataFrame, nodes: DataFrame, threshold: float, ove
     return marked.where(~shared).select("src", "dst").unionByName(canonical_edges(marked.where(shared).select("src", "dst")))
 
 
+def in_chunks(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(chunk, node_id) of the nodes (id, node_id) that chunks hold by external id (chunk, id); a chunk that repeats an id holds it once."""
+    return held.select("chunk", "id").distinct().join(nodes.select("id", "node_id"), "id").select("chunk", "node_id")
+
+
+def chunk_edges(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """(chunk, src, dst): the edges with both ends in a chunk (chunk, node_id), for each such chunk."""
+    a = held.select("chunk", F.col("node_id").alias("src"))
+    b = held.select("chunk", F.col("node_id").alias("dst"))
+    return edges.join(a, "src").join(b, ["chunk", "dst"], "left_semi").select("chunk", "src", "dst")
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in nodes (node_id)."""
     keep = nodes.select("node_id")
