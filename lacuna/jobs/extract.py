@@ -52,10 +52,10 @@ def classify_raster(pixels: DataFrame, height: int, width: int, weights: gnn.Wei
         pixels, height, width = raster.align(pixels, height, width)
     grid = stage(raster.full_grid(pixels, height, width), "grid")
     if config.detection_mode == "composed":
-        grid = stage(raster.composed(grid, config.filter_sizes), "grid")
+        grid = stage(raster.composed(grid, config.filter_sizes, (height, width)), "grid")
         scales = grid.withColumn("sigma", F.lit(0))
     else:
-        scales = stage(raster.normalized(grid, config.filter_sizes), "scales")
+        scales = stage(raster.normalized(grid, config.filter_sizes, (height, width)), "scales")
     live = raster.valid(grid).select("node_id")
     adj = stage(graph.adjacency(graph.pixel_edges(raster.valid(grid))), "adjacency")
     logs = scales.join(live, "node_id", "left_semi").select("node_id", "sigma", F.ln("v").alias("ln_v"))

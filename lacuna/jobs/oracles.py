@@ -10,6 +10,7 @@ PIXELS = """grid AS (SELECT iy * 64 + ix AS node_id, iy, ix, v FROM (SELECT CAST
     CAST(l_partkey % 64 AS BIGINT) AS ix, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2))"""
 FULL = """grid AS (SELECT t.n AS node_id, t.n // 24 AS iy, t.n % 24 AS ix, coalesce(v, 0.0) AS v FROM range((SELECT (max(iy) + 1) * 24 FROM raw)) t(n) LEFT JOIN raw ON raw.node_id = t.n)"""
 RAW = GRID.replace("grid AS", "raw AS", 1)
+WEEKS = PIXELS.replace("grid AS", "raw AS", 1) + ", " + FULL.replace("24", "64").replace("grid AS (", "grid AS MATERIALIZED (")
 CROSS = "(VALUES (0, 1), (1, 0))"
 AHEAD = "(VALUES (0, 1), (1, -1), (1, 0), (1, 1))"
 
@@ -76,13 +77,13 @@ def scaled(of: str, column: str) -> str:
     return f"(SELECT {q(0.5)} AS center, CASE WHEN {q(0.75)} = {q(0.25)} THEN 1.0 ELSE {q(0.75)} - {q(0.25)} END AS scale FROM {of})"
 
 
-def smooth(sigma: int, name: str) -> str:
-    """Separable Gaussian with half-sample reflection on the grid of days and 24 hours."""
+def smooth(sigma: int, name: str, width: int = 24) -> str:
+    """Separable Gaussian with half-sample reflection on the grid of days and 24 hours, or of another width; one reflection at each end."""
     reach, days = 4 * sigma, "(SELECT max(iy) + 1 FROM raw)"
     flip = lambda i, n: f"CASE WHEN {i} < 0 THEN -({i}) - 1 WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
     return f"""{name}_k AS (SELECT d, w / (SELECT sum(exp(-0.5e0 * (d / {sigma}e0) * (d / {sigma}e0))) FROM range(-{reach}, {reach + 1}) t(d)) AS w
         FROM (SELECT d, exp(-0.5e0 * (d / {sigma}e0) * (d / {sigma}e0)) AS w FROM range(-{reach}, {reach + 1}) t(d))),
-    {name}_x AS (SELECT f.node_id, f.iy, f.ix, sum(w * g.v) AS v FROM grid f CROSS JOIN {name}_k k JOIN grid g ON g.iy = f.iy AND g.ix = {flip("f.ix + k.d", 24)} GROUP BY 1, 2, 3),
+    {name}_x AS MATERIALIZED (SELECT f.node_id, f.iy, f.ix, sum(w * g.v) AS v FROM grid f CROSS JOIN {name}_k k JOIN grid g ON g.iy = f.iy AND g.ix = {flip("f.ix + k.d", width)} GROUP BY 1, 2, 3),
     {name} AS (SELECT f.node_id, any_value(o.v) / (sum(w * g.v) + 1e-10) AS v FROM {name}_x f CROSS JOIN {name}_k k JOIN {name}_x g ON g.ix = f.ix AND g.iy = {flip("f.iy + k.d", days)}
         JOIN grid o ON o.node_id = f.node_id GROUP BY 1)"""
 
@@ -164,6 +165,24 @@ MODE = """met AS (SELECT node, group_id, count(*) AS n FROM adj JOIN groups ON g
     best AS (SELECT node, arg_max(group_id, row(n, -group_id)) AS mode_group, max(n) AS n, count(*) AS groups, CAST(sum(n) AS BIGINT) AS total FROM met GROUP BY 1)"""
 CONTACTS = """touch AS (SELECT DISTINCT h.group_id, adj.nbr FROM adj JOIN halves h ON h.node_id = adj.node),
     near AS (SELECT t.group_id, h.group_id AS other, count(*) AS n FROM touch t LEFT JOIN halves h ON h.node_id = t.nbr WHERE h.group_id IS NULL OR h.group_id <> t.group_id GROUP BY 1, 2)"""
+BLOCKS = "blocks AS (SELECT node_id, (iy // 4) * 4 + ix // 6 AS group_id FROM cells WHERE inn)"
+
+
+def merge_round(k: int) -> str:
+    """Round k of merging: decisions on the groups h{k}, chains of moves by ascending (size, group), and the groups h{k + 1}."""
+    return f"""touch{k} AS (SELECT DISTINCT h.group_id, adj.nbr FROM adj JOIN h{k} h ON h.node_id = adj.node),
+    near{k} AS (SELECT t.group_id, h.group_id AS other, count(*) AS n FROM touch{k} t LEFT JOIN h{k} h ON h.node_id = t.nbr WHERE h.group_id IS NULL OR h.group_id <> t.group_id GROUP BY 1, 2),
+    size{k} AS (SELECT group_id, count(*) AS size, count(*) FILTER (WHERE ix IN (0, 23)) AS edge FROM h{k} JOIN cells USING (node_id) GROUP BY 1),
+    dec{k} AS MATERIALIZED (SELECT group_id, size, CASE WHEN touching = 0 THEN NULL WHEN (touching + edge) / neighbours::DOUBLE >= 0.2e0 THEN top ELSE group_id END AS target FROM (
+        SELECT s.group_id, any_value(size) AS size, any_value(edge) AS edge, coalesce(sum(n), 0) AS neighbours, coalesce(sum(n) FILTER (WHERE other IS NOT NULL), 0) AS touching,
+            arg_max(other, row(n, -other)) FILTER (WHERE other IS NOT NULL) AS top FROM size{k} s LEFT JOIN near{k} USING (group_id) WHERE s.group_id NOT IN (SELECT group_id FROM skip{k}) GROUP BY 1)),
+    hop{k} AS (SELECT group_id, target AS reach, size, group_id AS turn FROM dec{k} WHERE target <> group_id
+        UNION SELECT hop{k}.group_id, d.target, d.size, d.group_id FROM hop{k} JOIN dec{k} d ON d.group_id = hop{k}.reach AND d.target <> d.group_id AND (d.size, d.group_id) > (hop{k}.size, hop{k}.turn)),
+    final{k} AS (SELECT group_id, arg_max(reach, row(size, turn)) AS final FROM hop{k} GROUP BY 1),
+    skip{k + 1} AS (SELECT group_id FROM skip{k} UNION SELECT group_id FROM dec{k} WHERE target IS NULL),
+    h{k + 1} AS MATERIALIZED (SELECT node_id, coalesce(final, group_id) AS group_id FROM h{k} LEFT JOIN final{k} USING (group_id))"""
+
+
 HOLES = "WITH RECURSIVE " + ", ".join([RAW, FULL, cells(0.0), "outs AS (SELECT * FROM cells WHERE NOT inn)", edges(CROSS), both(), reached("outs", "adj", "c")])
 SUPPLY = "e AS (SELECT DISTINCT -l_suppkey - 1 AS src, l_partkey AS dst FROM lineitem)"
 
@@ -237,6 +256,7 @@ ORACLES = {
         s AS (SELECT size.group_id, any_value(size) AS size, any_value(edge) AS edge, CAST(coalesce(sum(n), 0) AS BIGINT) AS neighbours, CAST(coalesce(sum(n) FILTER (WHERE other IS NOT NULL), 0) AS BIGINT) AS touching,
             arg_max(other, row(n, -other)) FILTER (WHERE other IS NOT NULL) AS top FROM size LEFT JOIN near ON near.group_id = size.group_id GROUP BY 1)
         SELECT group_id, size, neighbours, touching, CASE WHEN touching = 0 THEN NULL WHEN (touching + edge) / neighbours::DOUBLE >= 0.3e0 THEN top ELSE group_id END AS target FROM s""",
+    "merge_all": f"WITH RECURSIVE {GRID_GRAPH}, {BLOCKS}, h0 AS (SELECT * FROM blocks), skip0 AS (SELECT 0 AS group_id), {', '.join(merge_round(k) for k in range(7))} SELECT node_id, group_id FROM h7",
     "group_stats": f"WITH {GRID}, {cells(0.5)} SELECT iy % 7 AS group_id, count(*) AS size, median(v) AS median_v, count(*) FILTER (WHERE ix IN (0, 23)) AS boundary FROM cells WHERE inn GROUP BY 1",
     "directed_edges": f"WITH {GRID}, {edges()} SELECT CASE WHEN a.v >= b.v THEN src ELSE dst END AS node, CASE WHEN a.v >= b.v THEN dst ELSE src END AS nbr FROM e JOIN grid a ON a.node_id = src JOIN grid b ON b.node_id = dst",
     "directed_edges_density_temperature": f"""WITH {P}, {RADIUS_E}, d AS (SELECT src, dst, a.density >= b.density AND a.temperature <= b.temperature AS f, b.density >= a.density AND b.temperature <= a.temperature AS g
@@ -256,6 +276,8 @@ ORACLES = {
         SELECT cells.node_id, inn OR component NOT IN (SELECT component FROM open) AS "inner" FROM cells LEFT JOIN c ON c.node_id = cells.node_id""",
     "gaussian_norm": f"WITH {RAW}, {FULL}, {smooth(1, 's')} SELECT node_id, round(v, 6) AS v FROM s",
     "multiscale_mean": f"WITH {RAW}, {FULL}, {smooth(1, 's')}, {smooth(2, 't')} SELECT s.node_id, round((s.v + t.v) / 2, 6) AS v FROM s JOIN t ON t.node_id = s.node_id",
+    "gaussian_norm_shipping": f"WITH {WEEKS}, {smooth(1, 's', 64)}, {smooth(2, 't', 64)} SELECT node_id, 1::BIGINT AS sigma, round(v, 6) AS v FROM s UNION ALL SELECT node_id, 2, round(v, 6) FROM t",
+    "multiscale_mean_shipping": f"WITH {WEEKS}, {smooth(1, 's', 64)}, {smooth(2, 't', 64)} SELECT s.node_id, round((s.v + t.v) / 2, 6) AS v FROM s JOIN t ON t.node_id = s.node_id",
     "max_over_scales": "SELECT l_partkey AS node_id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1",
     "align_moments": f"WITH {GRID}, {cells(0.5)} SELECT round(var_samp(iy), 6) AS syy, round(var_samp(ix), 6) AS sxx, round(covar_samp(iy, ix), 6) AS sxy FROM cells WHERE inn",
     "nonzero_bbox": f'WITH {PIXELS}, {cells(-2.0)} SELECT min(iy) AS top, max(iy) AS bottom, min(ix) AS "left", max(ix) AS "right" FROM cells WHERE NOT inn',
@@ -277,7 +299,7 @@ ORACLES = {
         SELECT src, dst FROM short WHERE src NOT IN (SELECT node_id FROM zone) AND dst NOT IN (SELECT node_id FROM zone)
         UNION ALL (SELECT DISTINCT src, dst FROM short WHERE src IN (SELECT node_id FROM zone) OR dst IN (SELECT node_id FROM zone))""",
     "fits_region": f"""WITH {GRID}, t AS (SELECT iy - 3 AS iy, ix - 5 AS ix, v FROM range((SELECT max(iy) + 1 FROM grid)) a(iy) CROSS JOIN range(24) b(ix) LEFT JOIN grid USING (iy, ix)
-        WHERE iy BETWEEN 3 AND (SELECT max(iy) - 2 FROM grid) AND ix BETWEEN 5 AND 19) SELECT iy * 15 + ix AS node_id, iy, ix, coalesce(v, 'nan'::DOUBLE) AS v FROM t""",
+        WHERE iy BETWEEN 3 AND (SELECT max(iy) - 2 FROM grid) AND ix BETWEEN 5 AND 19) SELECT iy * 15 + ix AS node_id, iy, ix, v FROM t""",
     "fits_whole": f"WITH {PIXELS} SELECT t.n AS node_id, t.n // 64 AS iy, t.n % 64 AS ix, coalesce(v, 0.0)::DOUBLE AS v FROM range((SELECT (max(iy) + 1) * 64 FROM grid)) t(n) LEFT JOIN grid ON grid.node_id = t.n",
     "gnn_sigmoid": SIGMOID,
 }

@@ -284,6 +284,14 @@ def merge_decisions(spark, sf_dir):
     return merge.decisions(_halves(spark, sf_dir), _grid_adj(spark, sf_dir), edge, 0.3)
 
 
+def merge_all(spark, sf_dir):
+    """Blocks of quiet cells merged until nothing falls any more; the first block never merges away."""
+    blocks = _inner(spark, sf_dir).where("inner").select("node_id", (F.floor(F.col("iy") / 4) * 4 + F.floor(F.col("ix") / 6)).alias("group_id"))
+    edge = V.events_grid(spark, sf_dir).where("ix IN (0, 23)")
+    first = spark.range(1).select(F.col("id").alias("group_id"))
+    return merge.merge_groups(stage(blocks, "blocks"), stage(_grid_adj(spark, sf_dir), "adjacency"), first, edge, 0.2)
+
+
 def group_stats(spark, sf_dir):
     cells = _inner(spark, sf_dir)
     edge = F.sum(F.when(F.col("ix").isin(0, 23), 1).otherwise(0))
@@ -337,13 +345,32 @@ def fill_holes(spark, sf_dir):
 
 
 def gaussian_norm(spark, sf_dir):
-    grid = raster.full_grid(V.events_grid(spark, sf_dir), _days(spark, sf_dir), V.HOURS)
-    return raster.normalized(grid, [1]).select("node_id", F.round("v", 6).alias("v"))
+    days = _days(spark, sf_dir)
+    grid = raster.full_grid(V.events_grid(spark, sf_dir), days, V.HOURS)
+    return raster.normalized(grid, [1], (days, V.HOURS)).select("node_id", F.round("v", 6).alias("v"))
+
+
+def _weeks(spark, sf_dir) -> tuple[DataFrame, tuple[int, int]]:
+    """The full raster of shipping weeks and part columns, and its size."""
+    size = (V.pixels(spark, sf_dir).agg(F.max("iy")).first()[0] or 0) + 1, V.PART_COLUMNS
+    return raster.full_grid(V.pixels(spark, sf_dir), *size), size
+
+
+def gaussian_norm_shipping(spark, sf_dir):
+    """The shipping raster over itself smoothed at two scales, a row for each."""
+    grid, size = _weeks(spark, sf_dir)
+    return raster.normalized(grid, [1, 2], size).select("node_id", F.col("sigma").cast("long").alias("sigma"), F.round("v", 6).alias("v"))
+
+
+def multiscale_mean_shipping(spark, sf_dir):
+    grid, size = _weeks(spark, sf_dir)
+    return raster.composed(grid, [1, 2], size).select("node_id", F.round("v", 6).alias("v"))
 
 
 def multiscale_mean(spark, sf_dir):
-    grid = raster.full_grid(V.events_grid(spark, sf_dir), _days(spark, sf_dir), V.HOURS)
-    return raster.composed(grid, [1, 2]).select("node_id", F.round("v", 6).alias("v"))
+    days = _days(spark, sf_dir)
+    grid = raster.full_grid(V.events_grid(spark, sf_dir), days, V.HOURS)
+    return raster.composed(grid, [1, 2], (days, V.HOURS)).select("node_id", F.round("v", 6).alias("v"))
 
 
 def max_over_scales(spark, sf_dir):
@@ -478,7 +505,8 @@ def fits_region(spark, sf_dir):
     """The event grid written as a FITS image in bands; a region of it read back."""
     path = stage_path(spark, "image")
     write_fits(V.events_grid(spark, sf_dir), path, _days(spark, sf_dir), V.HOURS, 8)
-    return read_fits(spark, path, (slice(3, -2), slice(5, 20)))[0]
+    got = read_fits(spark, path, (slice(3, -2), slice(5, 20)))[0]
+    return got.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
 def fits_whole(spark, sf_dir):
@@ -565,6 +593,7 @@ QUERIES = {
         grow_wave,
         merge_contacts,
         merge_decisions,
+        merge_all,
         group_stats,
         directed_edges,
         directed_edges_density_temperature,
@@ -576,6 +605,8 @@ QUERIES = {
         fill_holes,
         gaussian_norm,
         multiscale_mean,
+        gaussian_norm_shipping,
+        multiscale_mean_shipping,
         max_over_scales,
         align_moments,
         nonzero_bbox,

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators.components import connected_components
+from lacuna.operators.components import FINISH, connected_components
 
 #: Neighbours ahead of a pixel in row order: together with their mirror images the 8- and the 4-neighbourhood.
 AHEAD_8, AHEAD_4 = ((0, 1), (1, -1), (1, 0), (1, 1)), ((0, 1), (1, 0))
@@ -108,7 +108,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component) for all of nodes: the least node id of the component, their own where they have no edge."""
-    found = connected_components(induced(edges, nodes)).select(F.col("node").alias("node_id"), "component")
+    found = connected_components(induced(edges, nodes), finish=FINISH).select(F.col("node").alias("node_id"), "component")
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.masks import clean, is_valid
-from lacuna.operators.graph import AHEAD_4, components, pixel_edges
+from lacuna.operators import tiles
+from lacuna.operators.graph import AHEAD_4
+from lacuna.operators.tiles import smoothed
 from lacuna.sources.staging import stage
 
 CROSS = ((0, 1), (1, 0), (0, -1), (-1, 0))
@@ -35,52 +35,38 @@ def full_grid(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return grid.join(pixels.select("node_id", "v"), "node_id", "left").withColumn("v", clean(F.col("v")))
 
 
-def kernel(sigma: float) -> np.ndarray:
-    """Normalised Gaussian weights out to four sigma."""
-    reach = int(4.0 * sigma + 0.5)
-    x = np.arange(-reach, reach + 1)
-    w = np.exp(-0.5 * (x / sigma) ** 2)
-    return w / w.sum()
+def _size(grid: DataFrame, size: tuple[int, int] | None) -> tuple[int, int]:
+    """(height, width) as given, or as the largest places say."""
+    if size:
+        return size
+    last = grid.agg(F.max("iy"), F.max("ix")).first()
+    return (last[0] + 1, last[1] + 1) if last[0] is not None else (0, 0)
 
 
-def _smooth_line(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Convolution with half-sample reflection at both ends, as often as the kernel needs it."""
-    reach = len(w) // 2
-    at = np.arange(-reach, len(v) + reach) % (2 * len(v))
-    return np.convolve(np.concatenate([v, v[::-1]])[at], w, mode="valid")
+def gaussian(grid: DataFrame, sigma: float, size: tuple[int, int] | None = None) -> DataFrame:
+    """Full grid (of a known (height, width), or as large as its places) with v smoothed out to four sigma, reflected at the borders."""
+    return smoothed(grid, *_size(grid, size), [sigma]).select("node_id", "iy", "ix", F.col("s0").alias("v"))
 
 
-def gaussian(grid: DataFrame, sigma: float) -> DataFrame:
-    """Full grid with v smoothed: first along rows, then along columns; a task holds one line at a time."""
-    w = kernel(sigma)
-
-    def along(axis: str):
-        def line(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(axis)
-            return pdf.assign(v=_smooth_line(pdf["v"].to_numpy(), w))
-
-        return line
-
-    cols = grid.select("node_id", "iy", "ix", "v")
-    schema = "node_id long, iy long, ix long, v double"
-    return cols.groupBy("iy").applyInPandas(along("ix"), schema).groupBy("ix").applyInPandas(along("iy"), schema)
-
-
-def normalized(grid: DataFrame, sigmas: list[int]) -> DataFrame:
-    """(node_id, iy, ix, sigma, v): the raster over its smoothed self, for each sigma."""
+def _over_smoothed(grid: DataFrame, sigmas: list[int], size: tuple[int, int] | None) -> tuple[DataFrame, list]:
+    """The pixels with all smoothed values, and the column v over each of them."""
     if not isinstance(sigmas, list) or not all(isinstance(s, int) for s in sigmas):
         raise TypeError("sigmas must be a list of integers")
-    out = None
-    for s in sigmas:
-        smooth = gaussian(grid, s).select("node_id", F.col("v").alias("s"))
-        one = grid.join(smooth, "node_id").select("node_id", "iy", "ix", F.lit(s).alias("sigma"), (F.col("v") / (F.col("s") + 1e-10)).alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    wide = smoothed(grid, *_size(grid, size), sigmas)
+    return wide, [F.col("v") / (F.col(f"s{k}") + 1e-10) for k in range(len(sigmas))]
+
+
+def normalized(grid: DataFrame, sigmas: list[int], size: tuple[int, int] | None = None) -> DataFrame:
+    """(node_id, iy, ix, sigma, v): the full grid over its smoothed self, for each sigma, in one pass over its tiles."""
+    wide, ratios = _over_smoothed(grid, sigmas, size)
+    each = F.array(*[F.struct(F.lit(s).alias("sigma"), r.alias("v")) for s, r in zip(sigmas, ratios, strict=True)])
+    return wide.select("node_id", "iy", "ix", F.explode(each).alias("e")).select("node_id", "iy", "ix", "e.sigma", "e.v")
 
 
-def composed(grid: DataFrame, sigmas: list[int]) -> DataFrame:
-    """Mean over the scales."""
-    return normalized(grid, sigmas).groupBy("node_id", "iy", "ix").agg(F.avg("v").alias("v"))
+def composed(grid: DataFrame, sigmas: list[int], size: tuple[int, int] | None = None) -> DataFrame:
+    """Mean over the scales, which a tile takes itself."""
+    wide, ratios = _over_smoothed(grid, sigmas, size)
+    return wide.select("node_id", "iy", "ix", (sum(ratios[1:], ratios[0]) / len(ratios)).alias("v"))
 
 
 def shifted(cells: DataFrame, around=CROSS) -> DataFrame:
@@ -104,8 +90,8 @@ def dilate(cells: DataFrame, height: int, width: int, times: int = 1) -> DataFra
 
 
 def label(cells: DataFrame, ahead=AHEAD_4) -> DataFrame:
-    """(node_id, component) of a set of pixels; 4-connected unless told otherwise."""
-    return components(cells.select("node_id"), pixel_edges(cells, ahead))
+    """(node_id, component) of a set of pixels, labelled by tiles; 4-connected unless told otherwise."""
+    return tiles.label(cells, ahead)
 
 
 def fill_small_holes(grid: DataFrame, inner: str = "inner", area: int = 1800) -> DataFrame:

@@ -9,6 +9,11 @@ from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Decision tables of at most so many rows (a few numbers each, so some MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 
 @cache
@@ -37,6 +42,11 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within the limit; count a staged table, not a plan."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ from lacuna.jobs.extract import extract_points, extract_raster, load_or_make
 from lacuna.jobs.oracles import ORACLES
 from lacuna.jobs.queries import QUERIES, TOY
 from lacuna.jobs.registry import load_weights
-from lacuna.operators import gnn, graph, grow, indexing, lineage, merge, profile, raster, shell
+from lacuna.operators import gnn, graph, grow, indexing, lineage, merge, profile, raster, shell, tiles
 from lacuna.operators.components import connected_components
 from lacuna.sources.staging import discard, stage
 
@@ -295,7 +295,7 @@ def grid_of(spark, a):
 
 def test_gaussian_equals_direct_sum(spark):
     a = np.random.default_rng(3).uniform(0, 1, (6, 5))
-    w = raster.kernel(2)
+    w = tiles.kernel(2)
     at = lambda i, n: min(i % (2 * n), 2 * n - 1 - i % (2 * n))
     want = np.array([[sum(w[p] * w[q] * a[at(y + p - 8, 6), at(x + q - 8, 5)] for p in range(17) for q in range(17)) for x in range(5)] for y in range(6)])
     got = np.zeros_like(a)
