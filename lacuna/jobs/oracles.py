@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lacuna.functions.relabel import round_keys
+
 P = """p AS (SELECT vec_id AS node_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, 1 + embedding[4]::DOUBLE AS density,
     1 + embedding[5]::DOUBLE AS temperature, 1 + abs(embedding[6]::DOUBLE) AS mass FROM embeddings)"""
 GRID = """grid AS (SELECT iy * 24 + ix AS node_id, iy, ix, v FROM (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS iy, CAST(hour(ts) AS BIGINT) AS ix,
@@ -186,6 +188,25 @@ def merge_round(k: int) -> str:
 HOLES = "WITH RECURSIVE " + ", ".join([RAW, FULL, cells(0.0), "outs AS (SELECT * FROM cells WHERE NOT inn)", edges(CROSS), both(), reached("outs", "adj", "c")])
 SUPPLY = "e AS (SELECT DISTINCT -l_suppkey - 1 AS src, l_partkey AS dst FROM lineitem)"
 
+PIXEL = "CAST(least(floor((pos - lo) / ((hi - lo) / {n})), {n} - 1) AS BIGINT)"
+
+
+def reduced(rows: str, n: int, digits: int) -> str:
+    """First, last, least and largest value of each of n pixel columns of rows (node_id, pos, v, c)."""
+    r = lambda x, name: f'round({x}, {digits}) AS "{name}"'
+    cols = ", ".join([r("arg_min(v, row(pos, node_id))", "first"), r("arg_max(v, row(pos, node_id))", "last"), r("min(v)", "least"), r("max(v)", "largest"), r("avg(c)", "color")])
+    return f"t AS ({rows}), lim AS (SELECT min(pos) AS lo, max(pos) AS hi FROM t) SELECT {PIXEL.format(n=n)} AS pixel, count(*) AS n, {cols} FROM t, lim GROUP BY 1"
+
+
+def swapped(seed: int) -> str:
+    """s0, s1, ...: places x of the bijection of 0..n-1 after each round."""
+    steps = [
+        f"s{r + 1} AS (SELECT o_orderkey, zero, n, CASE WHEN ascii(md5('{seed}:{r}:' || CAST(greatest(x, y) AS VARCHAR))) % 2 = 1 THEN y ELSE x END AS x FROM (SELECT *, ({key} % n - x + n) % n AS y FROM s{r}))"
+        for r, key in enumerate(round_keys(seed))
+    ]
+    return ", ".join(steps) + f" SELECT o_orderkey, CAST(CASE WHEN zero THEN 0 ELSE x + 1 END AS BIGINT) AS label FROM s{len(steps)}"
+
+
 ORACLES = {
     "slice_mask": f"WITH {P} SELECT node_id, z FROM p WHERE abs(z - 0e0) < 0.05e0",
     "range_mask": f"WITH {P} SELECT node_id, x FROM p WHERE x > -0.1e0 AND x < 0.1e0",
@@ -301,5 +322,12 @@ ORACLES = {
     "fits_region": f"""WITH {GRID}, t AS (SELECT iy - 3 AS iy, ix - 5 AS ix, v FROM range((SELECT max(iy) + 1 FROM grid)) a(iy) CROSS JOIN range(24) b(ix) LEFT JOIN grid USING (iy, ix)
         WHERE iy BETWEEN 3 AND (SELECT max(iy) - 2 FROM grid) AND ix BETWEEN 5 AND 19) SELECT iy * 15 + ix AS node_id, iy, ix, v FROM t""",
     "fits_whole": f"WITH {PIXELS} SELECT t.n AS node_id, t.n // 64 AS iy, t.n % 64 AS ix, coalesce(v, 0.0)::DOUBLE AS v FROM range((SELECT (max(iy) + 1) * 64 FROM grid)) t(n) LEFT JOIN grid ON grid.node_id = t.n",
+    "display_relabel": f"WITH s0 AS (SELECT o_orderkey, o_custkey = 0 AS zero, (SELECT max(c_custkey) + 1 FROM customer) AS n, o_custkey AS x FROM orders), {swapped(7)}",
+    "line_profile": f"WITH {P}, {reduced('SELECT node_id, y AS pos, log10(density) AS v, temperature AS c FROM p WHERE abs(x) <= 0.15e0 AND abs(z) <= 0.15e0', 40, 6)}",
+    "line_profile_orders": f"WITH {reduced('SELECT o_orderkey AS node_id, o_orderkey::DOUBLE AS pos, o_totalprice AS v, o_custkey AS c FROM orders', 500, 4)}",
+    "chunk_store": f"""WITH {P}, {HELD}, n AS (SELECT home AS section, count(*) AS own, count(*) FILTER (WHERE density > 1) AS dense FROM homes JOIN p USING (node_id) GROUP BY 1), halo AS (SELECT chunk, count(*) AS n FROM held GROUP BY 1)
+        SELECT 151::BIGINT AS snapshot, CAST(section AS BIGINT) AS section, round(section * (2 * pi() / 8) - pi(), 6) AS low, round((section + 1) * (2 * pi() / 8) - pi(), 6) AS high,
+            CAST(CASE section WHEN 2 THEN dense WHEN 3 THEN halo.n ELSE own END AS BIGINT) AS n, true AS complete FROM n JOIN halo ON chunk = section""",
+    "chunk_store_first": f"WITH {P}, {HELD} SELECT chunk, held.node_id, chunk = home AS own FROM held JOIN homes USING (node_id) WHERE chunk < 2",
     "gnn_sigmoid": SIGMOID,
 }

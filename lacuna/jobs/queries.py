@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import masks as M
+from lacuna.functions.relabel import display_labels
 from lacuna.jobs.config import ImageConfig, InnerConfig, ShellConfig, SnapshotConfig
 from lacuna.jobs.extract import classify_chunks, classify_points, classify_raster, extract_points, extract_raster
 from lacuna.operators import gnn, graph, grow, lineage, merge, profile, raster, shell
+from lacuna.sources import snapshot as S
 from lacuna.sources import views as V
 from lacuna.sources.fits import read_fits, write_fits
 from lacuna.sources.staging import stage, stage_path
@@ -527,6 +529,48 @@ def chunk_edges_merged(spark, sf_dir):
     return graph.merged_chunk_edges(pairs, points, 0.25, zone)
 
 
+def display_relabel(spark, sf_dir):
+    """Customers of the orders as shuffled display labels, by a column expression over the dense customer numbers."""
+    n = (V.table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0) + 1
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", display_labels(F.col("o_custkey"), n, 7).alias("label"))
+
+
+def line_profile(spark, sf_dir):
+    """Density along y near the axis, coloured by temperature, in 40 pixel columns."""
+    points = V.particles(spark, sf_dir).where(M.on_line({"x": 0.0, "z": 0.0}, 0.15))
+    got = profile.line_profile(points, "y", F.log10("density"), 40, F.col("temperature"))
+    return got.select("pixel", "n", *[F.round(c, 6).alias(c) for c in ("first", "last", "least", "largest", "color")])
+
+
+def line_profile_orders(spark, sf_dir):
+    """The same reduction at a larger size: prices over order numbers, in 500 pixel columns."""
+    points = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), F.col("o_orderkey").cast("double").alias("x"), "o_totalprice", "o_custkey")
+    got = profile.line_profile(points, "x", F.col("o_totalprice"), 500, F.col("o_custkey"))
+    return got.select("pixel", "n", *[F.round(c, 4).alias(c) for c in ("first", "last", "least", "largest", "color")])
+
+
+def chunk_store(spark, sf_dir):
+    """Chunk tables of two snapshots: written, one chunk missing and added, one replaced by the denser half, listed by file names."""
+    path, points = stage_path(spark, "chunks"), V.particles(spark, sf_dir)
+    S.write_chunks(points, path, 150, 4, 0.05)
+    some = M.with_chunks(points, 8, 0.05).where("own AND chunk <> 3").drop("chunk", "own")
+    S.write_chunks(some, path, 151, 8, 0.0)
+    S.write_chunks(points, path, 151, 8, 0.05)  # what is there stays
+    second = M.with_chunks(points.where("density > 1"), 8, 0.0).where("chunk = 2").drop("chunk", "own")
+    S.write_chunks(second, path, 151, 8, 0.0, replace=True)
+    listed = S.list_chunks(spark, path, 151)
+    complete = S.chunks_complete(S.read_chunks(spark, path, 151))
+    return listed.select(*[F.col(c).cast("long").alias(c) for c in ("snapshot", "section")], F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n", F.lit(complete).alias("complete"))
+
+
+def chunk_store_first(spark, sf_dir):
+    """Rows of the first two sections of a stored snapshot."""
+    path = stage_path(spark, "chunks")
+    for snapshot, chunks in ((150, 4), (151, 8)):
+        S.write_chunks(V.particles(spark, sf_dir), path, snapshot, chunks, 0.05)
+    return S.read_chunks(spark, path, 151, 2).select(F.col("chunk").cast("long").alias("chunk"), "node_id", "own")
+
+
 def extract_grid_points(spark, sf_dir):
     cells = _inner(spark, sf_dir).select("node_id", "iy", "ix", "inner", F.col("v").alias("density"))
     cells = stage(cells, "cells")
@@ -625,6 +669,11 @@ QUERIES = {
         chunk_edges_merged,
         fits_region,
         fits_whole,
+        display_relabel,
+        line_profile,
+        line_profile_orders,
+        chunk_store,
+        chunk_store_first,
         extract_grid_points,
         extract_grid_raster,
         extract_shipping_raster,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,17 +74,51 @@ def check_particles(df: DataFrame) -> DataFrame:
 
 
 def write_chunks(points: DataFrame, path: str, snapshot: int, chunks: int, padding: float = 0.005, replace: bool = False) -> None:
-    """Azimuthal chunks with their halo under path, partitioned by snapshot and chunk; existing ones stay unless replaced."""
+    """Azimuthal chunks with their halo under path/snapshot=<n>/chunk=<k>. Chunks that are there stay unless replaced; missing ones are added.
+
+    A replaced chunk takes the place of that chunk alone (dynamic partition overwrite), so chunks can be made anew one by one.
+    """
     spread = masks.with_chunks(points, chunks, padding)
     width = 2 * math.pi / chunks
-    marked = spread.withColumn("low", F.col("chunk") * width - math.pi).withColumn("high", (F.col("chunk") + 1) * width - math.pi)
+    marked = spread.withColumn("low", F.col("chunk") * width - math.pi).withColumn("high", (F.col("chunk") + 1) * width - math.pi).withColumn("snapshot", F.lit(snapshot))
+    if not replace:
+        there = [r["section"] for r in list_chunks(points.sparkSession, path, snapshot).select("section").distinct().collect()]  # at most chunks numbers
+        marked = marked.where(~F.col("chunk").isin(there)) if there else marked
     # A chunk may be large, so its rows are dealt over tasks by id as well.
-    marked.repartition("chunk", F.pmod(F.xxhash64("node_id"), F.lit(8))).write.mode("overwrite" if replace else "ignore").partitionBy("chunk").parquet(f"{path}/snapshot={snapshot}")
+    dealt = marked.repartition("chunk", F.pmod(F.xxhash64("node_id"), F.lit(8)))
+    dealt.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot", "chunk").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def list_chunks(spark: SparkSession, path: str, snapshot: int | None = None, first: int | None = None) -> DataFrame:
+    """(snapshot, section, low, high, files, n) of the stored chunks, by the names of their files; of one snapshot, or its first sections, if asked for.
+
+    Other snapshots and sections aren't opened (partition pruning). A folder that isn't there has no chunks.
+    """
+    df = _stored(spark, path)
+    if df is None:
+        return spark.createDataFrame([], "snapshot int, section int, low double, high double, files long, n long")
+    if snapshot is not None:
+        df = df.where(F.col("snapshot") == snapshot)
+    if first is not None:
+        df = df.where(F.col("chunk") < first)
+    name = F.col("file")
+    files = df.select(F.col("_metadata.file_path").alias("file"), "low", "high").groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
+    named = files.select(F.regexp_extract(name, r"/snapshot=(\d+)/", 1).cast("int").alias("snapshot"), F.regexp_extract(name, r"/chunk=(\d+)/", 1).cast("int").alias("section"), "low", "high", "n")
+    return named.groupBy("snapshot", "section").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("files"), F.sum("n").alias("n"))
 
 
 def read_chunks(spark: SparkSession, path: str, snapshot: int, first: int | None = None) -> DataFrame:
     """Rows of a snapshot's chunks; only the first ones if asked for, by partition pruning."""
-    df = spark.read.parquet(f"{path}/snapshot={snapshot}")
+    df = spark.read.parquet(path).where(F.col("snapshot") == snapshot)
     return df if first is None else df.where(F.col("chunk") < first)
 
 
