@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from lacuna.llm.rows import map_rows
 
 # Elements whose content is never text, those without content, blocks, and sections.
-SILENT = frozenset("script style noscript template textarea select option iframe object svg math canvas audio video head title button form fieldset datalist".split())
+SILENT = frozenset("script style noscript template textarea select option iframe object svg math canvas audio video head title button datalist".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SECTIONS = frozenset("html body main article section div td center blockquote".split())
-BOILERPLATE = frozenset("nav footer aside menu header dialog".split())
-# Words of class, id or role that often name what is not the article: a prior of NAMED on the ratio, as for the tags above.
+BOILERPLATE = frozenset("nav footer aside menu header dialog form fieldset".split())
+# Words of class, id or role that often name what is not the article: a weight of NAMED on the ratio, as for the tags above.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "header masthead footer sidebar side aside widget complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -50,20 +50,22 @@ _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[,.;:!?…。，、！？；：]")
 
-#: Weight of a path's neighbours in page order; threshold of a content path, in mean scores of the page's paths, and that of a
-#: path which may stand between content paths; how much a character of another path counts against a section.
-NEIGHBOUR, THRESHOLD, INSIDE, AGAINST = 0.25, 0.7, 0.05, 0.5
-#: Priors: weight of paths in elements named like boilerplate, and of text that stands in no paragraph, heading, item or cell.
-NAMED, BARE = 0.003, 0.05
+#: Weight of a path's neighbours in page order; threshold of a content path, in mean scores of the page's paths; how much a
+#: character of another path counts against a section; share of a path's text from which links make it a list of links.
+NEIGHBOUR, THRESHOLD, AGAINST, LINKED = 0.25, 1.0, 0.5, 0.5
+#: Weights that break near-ties of the ratios: of paths in elements named like boilerplate, of text that stands in no
+#: paragraph, heading, item or cell, and of text outside article and main elements where a page has such. Ratios of
+#: prose and of menus or notices lie much further apart.
+NAMED, BARE, OUTSIDE = 0.1, 0.1, 0.3
 
 
 @dataclass
 class Node:
-    """An open element: its path, what it inherits, its section, and the depth of the nearest scope and family members."""
+    """An open element: its path, what it inherits (named: elements named like boilerplate, itself included), its section, and the depth of the nearest scope and family members."""
 
     tag: str
     path: int
-    named: bool
+    named: int
     silent: bool
     link: bool
     article: bool
@@ -75,7 +77,8 @@ class Node:
 @dataclass
 class Block:
     path: int
-    named: bool
+    named: int
+    article: bool
     section: int
     pieces: list[str] = field(default_factory=list)
     links: int = 0
@@ -83,10 +86,12 @@ class Block:
 
 @dataclass
 class Page:
-    """Text blocks that are shown, in page order; parent of each section (a section comes after its parent); leaf tag of each path."""
+    """Text blocks that are shown, in page order; parent, tag and named of each section (a section comes after its parent); leaf tag of each path."""
 
     blocks: list[Block]
     sections: list[int]
+    tags: list[str]
+    named: list[int]
     leaves: list[str]
 
 
@@ -115,12 +120,12 @@ def _hidden(attributes: str) -> bool:
 
 def blocks_of(page: str) -> Page:
     """The page's text by blocks. Each tag costs the same however deep it stands, and each element is closed once."""
-    sections, leaves = [-1], [""]
+    sections, tags, names, leaves = [-1], [""], [0], [""]
     paths: dict[tuple[int, str, bool], int] = {}
-    stack = [Node("", 0, False, False, False, False, 0, 0, (0,) * len(FAMILIES))]
+    stack = [Node("", 0, 0, False, False, False, 0, 0, (0,) * len(FAMILIES))]
     depths: dict[str, list[int]] = {}  # of the open elements by tag
     blocks: list[Block] = []
-    now: dict[bool, Block] = {}  # the open block of text in named elements, and that of other text
+    now: dict[int, Block] = {}  # the open block of text, by how many named elements it is in
 
     def text(raw: str) -> None:
         top = stack[-1]
@@ -128,7 +133,7 @@ def blocks_of(page: str) -> Page:
             return
         block = now.get(top.named)
         if block is None or block.section != top.section:
-            block = now[top.named] = Block(top.path, top.named, top.section)
+            block = now[top.named] = Block(top.path, top.named, top.article, top.section)
             blocks.append(block)
         piece = html.unescape(raw)
         block.pieces.append(piece)
@@ -172,6 +177,8 @@ def blocks_of(page: str) -> Page:
         section, path = top.section, top.path
         if tag in SECTIONS:
             sections.append(section)
+            tags.append(tag)
+            names.append(top.named + own)
             section = len(sections) - 1
         if own or tag not in INLINE:
             path = paths.setdefault((top.path, tag, own), len(leaves))
@@ -179,55 +186,90 @@ def blocks_of(page: str) -> Page:
                 leaves.append(tag)
         near = tuple([depth if tag in _MEMBERS[k] else 0 if tag in _STOPS[k] else d for k, d in enumerate(top.near)])
         silent = top.silent or tag in SILENT or _hidden(m[5])
-        stack.append(Node(tag, path, top.named or own, silent, top.link or tag == "a", top.article or tag in ("article", "main"), section, depth if tag in SCOPE else top.scope, near))
+        stack.append(Node(tag, path, top.named + own, silent, top.link or tag == "a", top.article or tag in ("article", "main"), section, depth if tag in SCOPE else top.scope, near))
         depths.setdefault(tag, []).append(depth)
     text(page[at:])
-    return Page(blocks, sections, leaves)
+    return Page(blocks, sections, tags, names, leaves)
 
 
-def path_scores(kept: list[tuple[Block, str]], leaves: list[str]) -> dict[int, float]:
-    """Score of each path: text and punctuation over its blocks, without links, fused, smoothed over neighbours, with the priors."""
-    ratio: dict[int, list[int]] = {}
+@dataclass
+class Ratio:
+    """Sums of one path over its blocks: blocks, characters outside links and their squares, punctuation, all characters."""
+
+    blocks: int = 0
+    free: int = 0
+    squares: int = 0
+    marks: int = 0
+    chars: int = 0
+    named: bool = False
+    article: bool = False
+
+    def add(self, block: Block, text: str) -> None:
+        free = max(0, len(text) - block.links)
+        self.blocks += 1
+        self.free += free
+        self.squares += free * free
+        self.marks += len(_PUNCTUATION.findall(text)) if block.links < len(text) / 2 else 0
+        self.chars += len(text)
+        self.named |= block.named > 0
+        self.article |= block.article
+
+    def fused(self) -> float:
+        """Text ratio (mean and spread of the text a block has) times punctuation ratio; prose has long blocks of differing lengths."""
+        mean = self.free / self.blocks
+        return (mean + math.sqrt(max(0.0, self.squares / self.blocks - mean * mean))) * (0.2 + math.sqrt(self.marks / self.blocks))
+
+
+def path_scores(kept: list[tuple[Block, str]], leaves: list[str]) -> tuple[dict[int, float], dict[int, Ratio]]:
+    """Score of each path, and its sums: text and punctuation over its blocks, links left out, fused, weighed by the link share and the priors, smoothed over neighbours."""
+    ratios: dict[int, Ratio] = {}
     for b, t in kept:
-        r = ratio.setdefault(b.path, [0, 0, 0, 0])
-        r[0] += max(0, len(t) - b.links)
-        r[1] += len(_PUNCTUATION.findall(t)) if b.links < len(t) / 2 else 0
-        r[2] += 1
-        r[3] += len(t)
-    paths, named = list(ratio), {b.path for b, _ in kept if b.named}
-    prior = [r[0] / r[3] * (NAMED if p in named else 1) * (BARE if leaves[p] in SECTIONS or not leaves[p] else 1) for p, r in ratio.items()]
-    fused = [w * r[3] / r[2] * (0.2 + math.sqrt(r[1] / r[2])) for w, r in zip(prior, ratio.values(), strict=True)]
+        ratios.setdefault(b.path, Ratio()).add(b, t)
+    article = any(r.article for r in ratios.values())
+    weight = [r.free / r.chars * (NAMED if r.named else 1) * (BARE if leaves[p] in SECTIONS or not leaves[p] else 1) * (OUTSIDE if article and not r.article else 1) for p, r in ratios.items()]
+    fused = [w * r.fused() for w, r in zip(weight, ratios.values(), strict=True)]
     smooth = {}
-    for k, path in enumerate(paths):
+    for k, path in enumerate(ratios):
         near = [fused[i] for i in (k - 1, k + 1) if 0 <= i < len(fused)]
-        smooth[path] = (fused[k] + NEIGHBOUR * prior[k] * sum(near)) / (1 + NEIGHBOUR * len(near))
-    return smooth
+        smooth[path] = (fused[k] + NEIGHBOUR * weight[k] * sum(near)) / (1 + NEIGHBOUR * len(near))
+    return smooth, ratios
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by one line feed; empty if there is none.
 
-    Paths over the threshold are content, those of hardly any score are left out. The article is the section with
-    the most text of content paths less AGAINST times that of the paths between, the innermost of equal ones.
+    Paths over the threshold are content. The article is the section with the most text of content paths less
+    AGAINST times that of other paths, the innermost of equal ones. Inside it all text stays but lists of
+    links, and what stands in elements named like boilerplate inside the section, unless its path has the page's
+    best score. Where the section is the whole page, text that stands bare in it needs a content path too.
     """
     got = blocks_of(page or "")
     lines = [" ".join("".join(b.pieces).split()) for b in got.blocks]
     kept = [(b, t) for b, t in zip(got.blocks, lines, strict=True) if t]
     if not kept:
         return ""
-    score = path_scores(kept, got.leaves)
-    mean = sum(score.values()) / len(score)
+    score, ratios = path_scores(kept, got.leaves)
+    level, top = THRESHOLD * sum(score.values()) / len(score), max(score.values())
     gain = [0.0] * len(got.sections)
     for b, t in kept:
-        if score[b.path] >= INSIDE * mean:
-            gain[b.section] += len(t) * (1 if score[b.path] >= THRESHOLD * mean else -AGAINST)
+        gain[b.section] += len(t) * (1 if score[b.path] >= level else -AGAINST)
     for s in range(len(gain) - 1, 0, -1):
         gain[got.sections[s]] += gain[s]
     best = max(range(len(gain)), key=lambda s: (gain[s], s)) if max(gain) > 0 else 0
     inside = [False] * len(gain)
     for s in range(len(gain)):
         inside[s] = s == best or s > 0 and inside[got.sections[s]]
-    return "\n".join([t for b, t in kept if inside[b.section] and score[b.path] >= INSIDE * mean])
+    whole = got.tags[best] in ("", "html", "body")
+
+    def stays(b: Block) -> bool:
+        if not inside[b.section]:
+            return False
+        r = ratios[b.path]
+        if b.named > got.named[best] or r.free < (1 - LINKED) * r.chars:
+            return score[b.path] == top
+        return not whole or score[b.path] >= level or not (got.leaves[b.path] in SECTIONS or not got.leaves[b.path])
+
+    return "\n".join([t for b, t in kept if stays(b)])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -691,8 +691,56 @@ def test_html_is_found_by_scores_and_not_by_names(spark, sf_dir, monkeypatch):
     pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     want = [htmltext.main_text(p) for p in pages]
     assert sum(htmltext.main_text(stripped(p)) == w for p, w in zip(pages, want, strict=True)) >= 0.99 * len(pages)
-    monkeypatch.setattr(htmltext, "path_scores", lambda kept, leaves: {b.path: 1.0 for b, _ in kept})
-    assert sum(htmltext.main_text(p) == w for p, w in zip(pages, want, strict=True)) <= 0.1 * len(pages)
+    for name in ("NAMED", "BARE", "OUTSIDE"):  # the ratios without any prior
+        monkeypatch.setattr(htmltext, name, 1)
+    assert sum(htmltext.main_text(p) == w for p, w in zip(pages, want, strict=True)) >= 0.9 * len(pages)
+
+
+def mixed_pages():
+    """(page, text): articles in div, table, form and named wrappers, with bylines, code and small tables; noise with and without names."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(2, 9)))
+    prose = lambda n: " ".join(word() + ("," if rng.random() < 0.15 else "") for _ in range(n)).capitalize() + "."
+    out = []
+    for k in range(120):
+        body = [prose(int(rng.integers(15, 70))) for _ in range(int(rng.integers(3, 8)))]
+        rows = [word() for _ in range(4)]
+        inner, want = f"<h1>{body[0][:20]}</h1>", [body[0][:20].strip()]
+        if k % 3 == 0:
+            inner, want = inner + "<div>By Jo Doe</div>", [*want, "By Jo Doe"]
+        for t in body:
+            inner, want = inner + f"<p>{t}</p>", [*want, t]
+        if k % 4 == 1:
+            inner, want = inner + f"<table><tr><td>{rows[0]}<td>{rows[1]}<tr><td>{rows[2]}<td>{rows[3]}</table>", want + rows
+        if k % 5 == 2:
+            inner, want = inner + "<pre>x = 1</pre>", [*want, "x = 1"]
+        wrap = ["<div id=a>%s</div>", "<div class='post comment-open share-enabled'>%s</div>", "<section><div>%s</div></section>", "<table><tr><td>%s</td></tr></table>"][k % 4]
+        links = "<ul>" + "".join(f"<li><a href=x>{word()}</a></li>" for _ in range(6)) + "</ul>"
+        head, tail = [("<div>" + links + "</div>", "<div><p>(c) " + word() + "</p></div>"), ("<nav>" + links + "</nav><div class=ad>Buy now</div>", "<footer>(c) " + word() + "</footer>")][k % 2]
+        teasers = "<section>" + "".join(f"<p>{word()} {word()}</p>" for _ in range(8)) + "</section>"
+        page = f"<body>{head}{teasers}{wrap % inner}{tail}</body>"
+        out.append((f"<body><form action=x>{page[6:-7]}<select><option>a</select></form></body>" if k % 6 == 5 else page, "\n".join(want)))
+    return out
+
+
+def test_html_ratios_choose_and_priors_alone_do_not(monkeypatch):
+    pages = mixed_pages()
+    assert [htmltext.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(htmltext.Ratio, "fused", lambda self: 1.0)  # only the priors are left
+    assert sum(htmltext.main_text(p) == t for p, t in pages) <= 0.3 * len(pages)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article class='post comment-open share-enabled'><h1>T</h1><p>" + "Some long text, here. " * 9 + "</p><div class=comments><p>Nice, I like it.</p></div></article>", "T\n" + ("Some long text, here. " * 9).strip()),
+        ("<form><div id=c><h1>T</h1><p>" + "Some long text, here. " * 9 + "</p></div><label>Your name</label></form>", None),
+        ("<article><p>" + "Some long text, here. " * 9 + "</p><form><label>Your mail</label><button>Go</button></form></article>", ("Some long text, here. " * 9).strip()),
+    ],
+)
+def test_html_short_blocks_and_forms(page, want):
+    got = htmltext.main_text(page)
+    assert got == want if want is not None else got.startswith("T\nSome long text")
 
 
 @pytest.mark.parametrize(
