@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.names import fresh
 from lacuna.llm.rows import small
 from lacuna.sources.staging import stage
 
@@ -61,22 +62,27 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     decision holds for a doc_id with its text, so a doc_id with several texts loses only those that are copies.
     """
     norm = normal_text(F.col("text").cast("string"))
-    near = {"_length": F.length(norm), "_prefix": F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))}
-    seen = docs.select(*(c.alias(n) for n, c in near.items())).groupBy(*near).count()
-    seen = stage(seen, "lengths")
-    lengths = seen.groupBy("_length").agg(F.sum("count").alias("n")).where("n > 1").select("_length")
-    shared = stage(seen.where("count > 1").join(lengths, "_length", "left_semi").select(*near), "prefixes")
+    length, prefix, hashed, open_, keep, again, size = fresh(docs.columns, "length", "prefix", "hashed", "open", "keep", "again", "size")
+    near = {length: F.length(norm), prefix: F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))}
+    seen = stage(docs.select(*(c.alias(n) for n, c in near.items())).groupBy(*near).agg(F.count("*").alias(size)), "lengths")
+    lengths = seen.groupBy(length).agg(F.sum(size).alias(size)).where(F.col(size) > 1).select(length)
+    shared = stage(seen.where(F.col(size) > 1).join(lengths, length, "left_semi").select(*near), "prefixes")
     full = F.sha2(norm.cast("binary"), 256)
-    hashed = docs.select(F.col("doc_id").alias("_id"), F.col("text"), *(c.alias(n) for n, c in near.items())).join(small(shared), list(near), "left_semi")
-    same = [*near, "_full"]
-    copies = hashed.select("_id", *near, full.alias("_full")).groupBy(*same, "_id").agg(F.count("*").alias("_n"))
-    least = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_n"))).alias("_least")
-    groups = copies.groupBy(*same).agg(least, F.sum("_n").alias("_size")).where("_size > 1 AND _least IS NOT NULL")
-    groups = stage(groups.select(*same, F.col("_least._id").alias("_keep"), (F.col("_least._n") > 1).alias("_again")), "groups")
-    marked = docs.withColumns(near).join(small(shared.withColumn("_open", F.lit(True))), list(near), "left")
-    marked = marked.withColumn("_full", F.when(F.col("_open"), full)).join(small(groups), same, "left")
-    kept = marked.where(F.col("_keep").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("_keep")))
-    if not groups.where("_again").take(1):
-        return kept.select(docs.columns)
-    once = F.coalesce(F.col("_again") & F.col("doc_id").isNotNull(), F.lit(False))
-    return kept.where(~once).select(docs.columns).unionByName(kept.where(once).dropDuplicates(["doc_id", "_full"]).select(docs.columns))
+    met = docs.select("doc_id", "text", *(c.alias(n) for n, c in near.items())).join(small(shared), list(near), "left_semi")
+    same = [*near, hashed]
+    copies = met.select("doc_id", *near, full.alias(hashed)).groupBy(*same, "doc_id").agg(F.count("*").alias(size))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.col(size).alias("n")))).alias(keep)
+    groups = copies.groupBy(*same).agg(least, F.sum(size).alias(size)).where((F.col(size) > 1) & F.col(keep).isNotNull())
+    groups = stage(groups.select(*same, F.col(keep).getField("doc_id").alias(keep), (F.col(keep).getField("n") > 1).alias(again)), "groups")
+    marked = docs.withColumns(near).join(small(shared.withColumn(open_, F.lit(True))), list(near), "left")
+    marked = marked.withColumn(hashed, F.when(F.col(open_), full)).join(small(groups), same, "left")
+    kept = marked.where(F.col(keep).isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col(keep)))
+    if not groups.where(again).take(1):
+        return kept.select(_quoted(docs))
+    once = F.coalesce(F.col(again) & F.col("doc_id").isNotNull(), F.lit(False))
+    return kept.where(~once).select(_quoted(docs)).unionByName(kept.where(once).dropDuplicates(["doc_id", hashed]).select(_quoted(docs)))
+
+
+def _quoted(docs: DataFrame) -> list[str]:
+    """The columns of docs, whatever characters their names have."""
+    return [f"`{c}`" for c in docs.columns]

@@ -89,7 +89,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in dropped (one column, doc_id); rows without an id stay."""
-    return docs.join(small(dropped), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(dropped), "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def keep_one_of_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -101,4 +101,4 @@ def keep_one_of_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         return docs
     ids = small(repeated.select("doc_id"))
     again = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(ids, "doc_id", "left_anti").unionByName(again).select(docs.columns)
+    return docs.join(ids, "doc_id", "left_anti").unionByName(again).select([f"`{c}`" for c in docs.columns])

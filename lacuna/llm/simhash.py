@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.names import fresh
 from lacuna.llm.rows import drop_ids, keep_one_of_repeats, map_rows, small
 from lacuna.operators.components import connected_components
 from lacuna.sources.staging import stage
@@ -184,14 +185,15 @@ def dedup_near(docs: DataFrame) -> DataFrame:
     dropped = stage(seen.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     if not by_id.where("a <> b").take(1):
         return keep_one_of_repeats(drop_ids(docs, dropped), by_id)
+    (own,) = fresh(docs.columns, "fingerprint")
     several = stage(by_id.where("a <> b").select("doc_id"), "several")
-    rest = docs.join(small(several), "doc_id", "left_anti").select(docs.columns)
+    rest = docs.join(small(several), "doc_id", "left_anti")
     plain = keep_one_of_repeats(drop_ids(rest, dropped), by_id.where("a = b"))
-    kept = seen.join(small(several), "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("fingerprint").alias("_fp")).distinct()
+    kept = seen.join(small(several), "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("fingerprint").alias(own)).distinct()
 
     @F.pandas_udf("string")
     def hex_fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([f"{fingerprint(t):016x}" for t in texts], dtype=str)
 
-    mine = docs.join(small(several), "doc_id", "left_semi").withColumn("_fp", hex_fingerprint(F.col("text").cast("string")))
-    return plain.unionByName(mine.join(kept, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(docs.columns))
+    mine = docs.join(small(several), "doc_id", "left_semi").withColumn(own, hex_fingerprint(F.col("text").cast("string")))
+    return plain.unionByName(mine.join(kept, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own]).select([f"`{c}`" for c in docs.columns]))

@@ -216,3 +216,29 @@ def test_shards_of_odd_rows(spark, tmp_path):
     sizes = Counter(r["shard"] for r in back.select("shard").collect())
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert all(sorted(r["slot_1"] for r in back.where(f"shard = {k}").collect()) == list(range(n)) for k, n in sizes.items())
+
+
+CLASHES = "length prefix hashed open keep again size fingerprint fp component_id kept keep_id group_size held_out score item_id count a b n u v key rows id row _prefix _length _full _open _keep _again _fp text_sha256 n_tokens ids place".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """All stages on odd and empty rows with extra columns: the same documents as without them, every column as it was."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "Null id, some words.", "en", "s", 5), (-1, "", "en", "s", 0), (-2, None, "de", None, None), (-3, "same id, one text", "en", "s", 3), (-3, "same id, other text", "en", "s", 3), (-4, "twin of words", "en", "s", 3), (-4, "twin of words", "en", "s", 3)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    names = [*CLASHES, "a.b", "Text2"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for k, n in enumerate(names)])
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got, want = step(spark, wide, sf_dir), step(spark, docs, sf_dir)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        ids = lambda rows: Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+        assert ids(rows) == ids(want.collect()), name
+        assert all(r[n] == f"{k}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for k, n in enumerate(names)), name
+        assert step(spark, wide.limit(0), sf_dir).count() == 0, name
+    name, pack = corpus_pipeline.STAGES[-1]
+    few = wide.where("doc_id IS NULL OR doc_id < 20")
+    pieces = pack(spark, few, sf_dir).select("doc_id", "length").collect()
+    assert Counter(r["doc_id"] for r in pieces) == Counter(r["doc_id"] for r in pack(spark, few.select(docs.columns), sf_dir).collect())
+    assert pack(spark, wide.limit(0), sf_dir).count() == 0
