@@ -24,6 +24,8 @@ VOCABULARY, CLASSES, EMBED, HIDDEN = 4096, 32, 16, 24
 LANES, SCORE_LANES, WINDOW, SEGMENT = 512, 512, 16, 1024
 #: Epochs over all training documents (each ends in an average over all tasks) and step size.
 EPOCHS, RATE = 1, 0.06
+#: Training tokens of one task, about.
+TASK_TOKENS = 4_000_000
 FOLDS, HELD_OUT, SEED = 5, 1, 8
 #: Words whose counts are broadcast to the encoding tasks at most; the others are looked up by a join.
 HEAD_WORDS, LONGEST_HEAD = 200_000, 64
@@ -380,11 +382,16 @@ def train(coded: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> Gru:
 
     All training documents give gradients, and a task carries its weights on from slice to slice. A task
     hands over one row with all its weights; rows are averaged tree-wise, and one reaches the driver.
+
+    Rows are dealt by a hash of id and ids to as many tasks as the corpus has TASK_TOKENS, each in the order of that hash. So
+    the model depends on the documents alone, not on how the table is split, and averaging always joins tasks of like size.
     """
     spark = coded.sparkSession
     model = Gru(lex)
     shared_lex = spark.sparkContext.broadcast(lex)
-    picked = coded.where("NOT held_out").select("ids")
+    tasks = max(1, -(-lex.tokens // TASK_TOKENS))
+    turned = coded.where("NOT held_out").select("ids", F.xxhash64("doc_id", "ids").alias("turn"))
+    picked = turned.repartition(tasks, "turn").sortWithinPartitions("turn").select("ids")
     for epoch in range(epochs):
         now = spark.sparkContext.broadcast(model.flat())
 

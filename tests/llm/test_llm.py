@@ -13,6 +13,7 @@ from fnmatch import fnmatchcase
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from lacuna.llm import decontam, exact_dedup, htmltext, huffman, langid, lm, packing, secrets, simhash, urlfilter
@@ -559,6 +560,10 @@ def test_every_training_document_gives_gradients_one_slice_after_the_other(spark
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     lex = lexicon_of([b"ab", b"cd", b"ef", b"gh"])
     mine = [np.append([lex.words.index(w) for w in lm.words_of(t)], lex.end) for i, t in docs if crc(i) % 5 != 1]
+    turns = lm.encode(df, lex).where("NOT held_out").select("ids", F.xxhash64("doc_id", "ids").alias("turn")).orderBy("turn").collect()
+    ordered = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in turns]
+    assert sorted(map(tuple, ordered)) == sorted(map(tuple, mine))
+    mine = ordered  # in the order of the hash, whatever the table's
     want = lm.Gru(lex)
     seen = want.squares()
     for at in range(0, len(mine), 5):
@@ -574,6 +579,45 @@ def test_every_training_document_gives_gradients_one_slice_after_the_other(spark
     assert not np.allclose(got.flat(), lm.Gru(lex).flat(), atol=1e-3)
 
 
+def plain_log10(gru, lex, counts, words):
+    """log10 probability of a text by one plain step after the other: class, word in the class, and the share of a word outside the model."""
+    p = {k: x.astype(np.float64) for k, x in gru.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    rank = {w: k for k, w in enumerate(lex.words[: lex.own])}
+    k, h, before, total = lm.HIDDEN, np.zeros(lm.HIDDEN), lex.end, 0.0
+    for word in [*words, None]:
+        target = lex.end if word is None else rank.get(word, lex.unk)
+        gates, u = p["emb"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        z, r = sigmoid(gates[:k] + u[:k]), sigmoid(gates[k : 2 * k] + u[k : 2 * k])
+        n = np.tanh(gates[2 * k :] + r * u[2 * k :])
+        h = (1 - z) * n + z * h
+        c = int(np.searchsorted(gru.starts, target, side="right")) - 1
+        by_class = np.exp(h @ p["wc"] + p["bc"])
+        by_word = np.exp(p["wo"][gru.starts[c] : gru.starts[c + 1]] @ h + p["bo"][gru.starts[c] : gru.starts[c + 1]])
+        total += np.log10(by_class[c] / by_class.sum() * by_word[target - gru.starts[c]] / by_word.sum())
+        if target == lex.unk:
+            total += np.log10((counts[word] + 0.5) / lex.other_mass)
+        before = target
+    return total
+
+
+def test_lm_scores_equal_a_plain_loop_and_do_not_depend_on_the_split(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    trained, plain = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda coded, lex, epochs: trained.append((plain(coded, lex, epochs), lex)) or trained[-1][0])
+    found = [{r["doc_id"]: r for r in lm.score_documents(docs.repartition(n)).collect()} for n in (1, 16, 64)]
+    for other in found[1:]:
+        assert all(abs(r["score"] - other[i]["score"]) <= 1e-4 * abs(r["score"]) for i, r in found[0].items())
+    rows = [r for r in found[0].values() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    bits = [-sum(r[c] for r in rows) / tokens / np.log10(2) for c in ("score", "base_score")]
+    assert bits[0] < bits[1] - 0.25
+    (gru, lex), texts = trained[0], {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = Counter(w for i, t in texts.items() if crc(i) % 5 != 1 for w in lm.words_of(t))
+    for r in sorted(found[0].values(), key=lambda r: r["n_tokens"])[:: len(texts) // 12]:
+        assert r["score"] == pytest.approx(plain_log10(gru, lex, counts, lm.words_of(texts[r["doc_id"]])), rel=1e-4, abs=1e-3)
+
+
 def test_mean_weights_is_a_weighted_mean_over_rounds(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 3)
     rng = np.random.default_rng(2)
