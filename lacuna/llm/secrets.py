@@ -43,6 +43,8 @@ FDR, UNIFORM_ALPHA, PER_TEN, BINS = 0.001, 0.001, 10, 400
 _CLASS = np.zeros(128, np.int64)
 for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/=_-"), 1):
     _CLASS[[ord(c) for c in _chars]] = _k
+_FOLD = np.full(128, -1, np.int64)
+_FOLD[ord("a") : ord("z") + 1] = _FOLD[ord("A") : ord("Z") + 1] = np.arange(26)
 _KNOWN = [(a, set(a)) for _, a in ALPHABETS]
 
 
@@ -65,11 +67,46 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 @dataclass
 class Ordinary:
-    """Ordinary text: counts of ASCII characters, and how often neighbours change between letters and others, and in case."""
+    """Ordinary text: counts of ASCII characters, how often neighbours change between letters and others, and in case, and letter pairs.
+
+    pairs is (26, 26), case aside; without it tokens aren't tested against identifiers.
+    """
 
     counts: np.ndarray
     kind_change: float
     case_change: float
+    pairs: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.names = None if self.pairs is None else name_costs(self.pairs)
+
+
+#: An identifier, stamp or path: a new part begins after a character with this probability; of new parts, the shares of
+#: words, numbers and separators; a word begins or goes on in capitals with these probabilities.
+NEW_PART, PART_SHARES, CAPITAL, CAPITALS = 0.2, (0.5, 0.25, 0.25), 0.5, 0.5
+
+
+def name_costs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, next): -ln probability of a first character, and of each character after another, in names made of parts.
+
+    Parts are words, in lower case, with a capital or in capitals, whose letters follow the corpus' letter pairs, numbers of any
+    digits, and separators. Each row is a distribution over the characters of candidates.
+    """
+    alone = pairs.sum(0) + 1.0
+    alone = 0.65 * alone / alone.sum() + 0.35 / 26
+    after = 0.55 * (pairs + 0.1) / (pairs + 0.1).sum(1, keepdims=True) + 0.45 * alone
+    low, up, digits, signs = (np.array([ord(c) for c in x]) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/=_-"))
+    word, number, sign = PART_SHARES
+    first = np.zeros(128)
+    first[low], first[up], first[digits], first[signs] = word * (1 - CAPITAL) * alone, word * CAPITAL * alone, number / 10, sign / 5
+    table = np.tile(NEW_PART * first, (128, 1))
+    table[np.ix_(low, low)] += (1 - NEW_PART) * after
+    table[np.ix_(up, low)] += (1 - NEW_PART) * (1 - CAPITALS) * after
+    table[np.ix_(up, up)] += (1 - NEW_PART) * CAPITALS * after
+    table[np.ix_(digits, digits)] += (1 - NEW_PART) / 10
+    table[signs] = first  # a separator ends its part
+    table /= table.sum(1, keepdims=True)
+    return -np.log(np.maximum(first, 1e-300)), -np.log(np.maximum(table, 1e-300))
 
 
 def kind_changes(c: np.ndarray) -> tuple[int, int]:
@@ -88,9 +125,19 @@ def case_changes(c: np.ndarray) -> tuple[int, int]:
     return int(three.sum()), int((three & (k[2:] != k[1:-1])).sum())
 
 
+def letter_pairs(c: np.ndarray) -> np.ndarray:
+    """Counts of the 26 * 26 pairs of neighbouring letters, case aside."""
+    k = _FOLD[c]
+    first, second = k[:-1], k[1:]
+    both = (first >= 0) & (second >= 0)
+    return np.bincount(first[both] * 26 + second[both], minlength=26 * 26)
+
+
 def battery(tokens: list[str], text: Ordinary) -> np.ndarray:
     """p-value of each token against ordinary text, 1 where it isn't random in its inferred encoding.
 
+    Against identifiers, stamps and paths, whose parts a uniform source would hardly make, counts the likelihood ratio of both
+    sources: under the former its inverse exceeds 1 / p with a probability of at most p. The larger of both p-values is returned.
     Against ordinary text count chi-squared uniformity (drawn from the corpus' frequencies inside the
     alphabet it is larger) and two numbers of runs, of letters and of others, and of one case (they are
     smaller); three times the least of their p-values is returned. Against a uniform source none of chi-squared,
@@ -135,7 +182,11 @@ def _one(c: np.ndarray, alphabet: str, text: Ordinary) -> float:
     p_kinds = _binomial_tail(changed, pairs, text.kind_change)
     pairs, changed = case_changes(c)
     p_cases = _binomial_tail(changed, pairs, text.case_change)
-    return min(1.0, 3 * min(p_chi, p_kinds, p_cases))
+    p = min(1.0, 3 * min(p_chi, p_kinds, p_cases))
+    if text.names is None or p == 1.0:
+        return p
+    first, after = text.names
+    return max(p, math.exp(min(0.0, n * math.log(a) - float(first[c[0]] + after[c[:-1], c[1:]].sum()))))
 
 
 def _binomial_tail(k: int, n: int, p: float) -> float:
@@ -148,17 +199,18 @@ def _binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def corpus_characters(docs: DataFrame) -> Ordinary:
-    """Character counts, and the shares of neighbours that change, of all texts."""
+    """Character counts, the shares of neighbours that change, and letter pairs, of all texts."""
 
     def make():
         def each(rows):
-            out = np.zeros(132, np.int64)
+            out = np.zeros(132 + 26 * 26, np.int64)
             for text in rows["text"]:
                 b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 b = b[b < 128]
                 out[:128] += np.bincount(b, minlength=128)
                 out[128:130] += kind_changes(b)
-                out[130:] += case_changes(b)
+                out[130:132] += case_changes(b)
+                out[132:] += letter_pairs(b)
             hit = np.flatnonzero(out)
             return {"k": hit.tolist(), "n": out[hit].tolist()}
 
@@ -166,7 +218,8 @@ def corpus_characters(docs: DataFrame) -> Ordinary:
 
     sums = dict(map(tuple, map_rows(docs.select("text"), make, "k int, n long").groupBy("k").agg(F.sum("n")).collect()))
     share = lambda k: min(0.5, (sums.get(k + 1, 0) + 1) / (sums.get(k, 0) + 2))
-    return Ordinary(np.array([sums.get(k, 0) for k in range(128)], np.int64), share(128), share(130))
+    pairs = np.array([sums.get(132 + k, 0) for k in range(26 * 26)], np.int64).reshape(26, 26)
+    return Ordinary(np.array([sums.get(k, 0) for k in range(128)], np.int64), share(128), share(130), pairs)
 
 
 def _p_bin(p: np.ndarray) -> np.ndarray:
