@@ -32,8 +32,8 @@ OTHER, SEP, PAD = 128, 129, 130
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: URLs that advance together, characters from which one is walked by itself, and states that are remembered for that.
 GROUP, LONG, STATES = 512, 2048, 10_000
-#: Globs that a table of them may hold.
-MOST_GLOBS = 100_000
+#: Globs that a table of them may hold, and those of one automaton; more make several.
+MOST_GLOBS, GLOBS = 100_000, 4_096
 
 
 def canonical(url: str | None) -> tuple[str, str]:
@@ -51,12 +51,28 @@ def canonical(url: str | None) -> tuple[str, str]:
 
 @dataclass
 class Automaton:
-    """step[c]: states that character c enters; loop[c]: states that it may stay in; ends: (word, bit) of each glob."""
+    """step[c]: states that character c enters; loop[c]: states that it may stay in; ends: (word, bit) of each glob.
+
+    Characters beyond ASCII that the globs name are in others, in order, and have the codes after PAD; all further ones are OTHER.
+    """
 
     step: np.ndarray
     loop: np.ndarray
     start: np.ndarray
     ends: list[tuple[int, int]]
+    others: np.ndarray
+
+    def codes(self, text: str) -> np.ndarray:
+        """The code of each character of a host or path."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        out = np.minimum(c, OTHER).astype(np.uint16)
+        if len(self.others) and (far := c >= OTHER).any():
+            at = np.minimum(np.searchsorted(self.others, c), len(self.others) - 1)
+            out = np.where(far & (self.others[at] == c), PAD + 1 + at, out).astype(np.uint16)
+        return out
+
+    def code(self, host: str, path: str) -> np.ndarray:
+        return np.concatenate([self.codes(host), np.array([SEP], np.uint16), self.codes(path)])
 
 
 def compile_globs(globs: list[tuple[str, str]]) -> Automaton:
@@ -66,10 +82,13 @@ def compile_globs(globs: list[tuple[str, str]]) -> Automaton:
     """
     total = sum(1 + len([c for c in h + p if c != "*"]) + 1 for h, p in globs)
     words = -(-total // 64)
-    step, loop = np.zeros((PAD + 1, words), np.uint64), np.zeros((PAD + 1, words), np.uint64)
+    others = sorted({ord(c) for h, p in globs for c in h + p if ord(c) >= OTHER})
+    size = PAD + 1 + len(others)
+    step, loop = np.zeros((size, words), np.uint64), np.zeros((size, words), np.uint64)
     start, ends, at = np.zeros(words, np.uint64), [], 0
     loop[PAD] = ~np.uint64(0)
-    inside = [c for c in range(PAD) if c != SEP]
+    inside = [c for c in range(size) if c not in (SEP, PAD)]
+    named = {chr(c): PAD + 1 + k for k, c in enumerate(others)}
 
     def put(table: np.ndarray, codes, bit: int) -> None:
         table[codes, bit >> 6] |= np.uint64(1 << (bit & 63))
@@ -81,27 +100,24 @@ def compile_globs(globs: list[tuple[str, str]]) -> Automaton:
                 put(loop, inside, at)
                 continue
             at += 1
-            put(step, inside if c == "?" else c if c == SEP else ord(c), at)
+            put(step, inside if c == "?" else c if c == SEP else named.get(c) or ord(c), at)
         ends.append((at >> 6, at & 63))
         at += 1
-    return Automaton(step, loop, start, ends)
+    return Automaton(step, loop, start, ends, np.array(others, np.uint32))
 
 
-def simulate(auto: Automaton, texts: list[tuple[str, str]]) -> np.ndarray:
-    """Boolean matrix (URL, glob): which globs match the whole of (host, path).
+def last_states(auto: Automaton, texts: list[tuple[str, str]]) -> np.ndarray:
+    """(URL, word): the states after the whole of each (host, path).
 
     URLs under LONG characters advance together, so a step's memory is GROUP states and a grid's is GROUP
-    times LONG bytes; a longer one is walked by itself.
+    times LONG codes; a longer one is walked by itself.
     """
-    codes = []
-    for host, path in texts:
-        h, p = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (host, path))
-        codes.append(np.concatenate([np.minimum(h, OTHER).astype(np.uint8), np.array([SEP], np.uint8), np.minimum(p, OTHER).astype(np.uint8)]))
+    codes = [auto.code(host, path) for host, path in texts]
     last = np.zeros((len(texts), len(auto.start)), np.uint64)
     order = sorted((i for i in range(len(codes)) if len(codes[i]) < LONG), key=lambda i: len(codes[i]))
     for a in range(0, len(order), GROUP):
         rows = order[a : a + GROUP]
-        grid = np.full((len(codes[rows[-1]]), len(rows)), PAD, np.uint8)
+        grid = np.full((len(codes[rows[-1]]), len(rows)), PAD, np.uint16)
         for k, i in enumerate(rows):
             grid[: len(codes[i]), k] = codes[i]
         state = np.repeat(auto.start[None, :], len(rows), axis=0)
@@ -112,12 +128,30 @@ def simulate(auto: Automaton, texts: list[tuple[str, str]]) -> np.ndarray:
     for i, code in enumerate(codes):
         if len(code) >= LONG:
             last[i] = walker.walk(code)
+    return last
+
+
+def simulate(auto: Automaton, texts: list[tuple[str, str]]) -> np.ndarray:
+    """Boolean matrix (URL, glob): which globs match the whole of (host, path)."""
+    last = last_states(auto, texts)
     out = np.zeros((len(texts), len(auto.ends)), bool)
     for g, (word, bit) in enumerate(auto.ends):
         out[:, g] = (last[:, word] >> np.uint64(bit)) & np.uint64(1)
     return out
 
 
+def matches_any(autos: list[Automaton], texts: list[tuple[str, str]]) -> np.ndarray:
+    """Whether any glob of any of the automata matches each URL. URLs go by GROUP, so memory is that of one automaton's states."""
+    out = np.zeros(len(texts), bool)
+    for auto in autos:
+        ends = np.zeros(len(auto.start), np.uint64)
+        for word, bit in auto.ends:
+            ends[word] |= np.uint64(1 << bit)
+        for a in range(0, len(texts), GROUP):
+            out[a : a + GROUP] |= (last_states(auto, texts[a : a + GROUP]) & ends).any(1)
+    return out
+
+
 def advance(auto: Automaton, state: np.ndarray, c: np.ndarray) -> np.ndarray:
     """States of all rows after one character each."""
     moved = state << np.uint64(1)
@@ -135,12 +169,12 @@ class Walker:
         k = self.numbers.setdefault(state.tobytes(), len(self.states))
         if k == len(self.states):
             self.states.append(state)
-            self.after.append([-1] * (PAD + 1))
+            self.after.append([-1] * len(self.auto.step))
         return k
 
     def walk(self, code: np.ndarray) -> np.ndarray:
         now = self.number(self.auto.start)
-        for c in code.tobytes():
+        for c in code.tolist():
             then = self.after[now][c]
             if then < 0:
                 state = advance(self.auto, self.states[now][None, :], np.array([c]))[0]
@@ -174,15 +208,14 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED, id_col: str = "pa
     names = [h + p for _, h, p in rules]
 
     def make():
-        globs = [g for _, h, p in rules for g in ((h, p + "*"), ("*." + h, p + "*"))] + list(blocked)
-        auto = compile_globs(globs)
+        auto = compile_globs([g for _, h, p in rules for g in ((h, p + "*"), ("*." + h, p + "*"))])
+        block = [compile_globs(list(blocked[a : a + GLOBS])) for a in range(0, len(blocked), GLOBS)]
         best = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
 
         def each(rows):
             parts = [canonical(u) for u in rows["url"]]
-            hit = simulate(auto, parts)
-            named = hit[:, : 2 * len(rules)].reshape(len(parts), len(rules), 2).any(2)
-            bad = hit[:, 2 * len(rules) :].any(1)
+            named = simulate(auto, parts).reshape(len(parts), len(rules), 2).any(2)
+            bad = matches_any(block, parts)
             out = {"page_id": rows["page_id"], "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [], "verdict": []}
             for i, (host, _) in enumerate(parts):
                 k = next((r for r in best if named[i, r]), None)

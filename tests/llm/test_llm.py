@@ -509,6 +509,19 @@ def test_globs_equal_fnmatch():
     assert all(got[i, g] == fnmatchcase(h, p) for i, h in enumerate(hosts) for g, (p, _) in enumerate(globs))
 
 
+def test_globs_beyond_ascii_and_tables_of_many(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "GLOBS", 7)
+    globs = [("münchen.*", "*"), ("*", "/straße/?"), ("*", "*\u0081*"), ("日本.example", "/*"), *[(f"h{k}.example", f"/p{k}*") for k in range(40)]]
+    urls = ["http://MÜNCHEN.example/", "http://münchen.example/x", "http://a.example/straße/q", "http://a.example/straße/qq", "http://a.example/stra\u0082e/q", "http://a.example/\u0081", "http://a.example/\u0082", "http://日本.example/", "http://日木.example/", "http://h31.example/p31x", "http://h31.example/p3", "http://ü.example/" + "ü" * 3000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in urlfilter.judge_urls(df, (), globs).orderBy("page_id").collect()]
+    assert got == ["allow", "block", "block", "allow", "allow", "block", "allow", "block", "allow", "block", "allow", "allow"]
+    many = [(f"*{k:x}z{k % 97}.example", f"/{k}/*") for k in range(20_000)]
+    parts = [(f"a{k:x}z{k % 97}.example", f"/{k + k % 2}/x") for k in range(0, 20_000, 199)]
+    autos = [urlfilter.compile_globs(many[a : a + 4096]) for a in range(0, len(many), 4096)]
+    assert urlfilter.matches_any(autos, parts).tolist() == [k % 2 == 0 for k in range(0, 20_000, 199)]
+
+
 # 8: LM scoring
 
 
