@@ -45,8 +45,11 @@ def classify_chunks(
     return both.withColumn("inner", F.col("score") > config.detection_threshold)
 
 
-def classify_raster(pixels: DataFrame, height: int, width: int, weights: gnn.Weights, config: ImageConfig | None = None) -> tuple[DataFrame, int, int]:
-    """(all pixels with v, score and inner, height, width): aligned if asked for, normalised, scored at each scale, small holes filled."""
+def preprocess_raster(pixels: DataFrame, height: int, width: int, config: ImageConfig | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """(grid, scales, height, width): all pixels of the aligned raster, and what is scored of them at each scale (column sigma).
+
+    With composed scales the grid itself is their mean and has sigma 0; with max the grid is as it came and each scale is a row of its own.
+    """
     config = config or ImageConfig()
     if config.align:
         pixels, height, width = raster.align(pixels, height, width)
@@ -56,6 +59,18 @@ def classify_raster(pixels: DataFrame, height: int, width: int, weights: gnn.Wei
         scales = grid.withColumn("sigma", F.lit(0))
     else:
         scales = stage(raster.normalized(grid, config.filter_sizes, (height, width)), "scales")
+    return grid, scales, height, width
+
+
+def classify_raster(pixels: DataFrame, height: int, width: int, weights: gnn.Weights | None, config: ImageConfig | None = None, preprocess_only: bool = False) -> tuple[DataFrame, int, int]:
+    """(all pixels with v, score and inner, height, width): aligned if asked for, normalised, scored at each scale, small holes filled.
+
+    With preprocess_only, for which no weights are needed, the pixels at each scale (v, sigma) before any scoring.
+    """
+    config = config or ImageConfig()
+    grid, scales, height, width = preprocess_raster(pixels, height, width, config)
+    if preprocess_only:
+        return scales.select("node_id", "iy", "ix", "sigma", "v"), height, width
     live = raster.valid(grid).select("node_id")
     adj = stage(graph.adjacency(graph.pixel_edges(raster.valid(grid))), "adjacency")
     logs = scales.join(live, "node_id", "left_semi").select("node_id", "sigma", F.ln("v").alias("ln_v"))

@@ -309,6 +309,8 @@ ORACLES = {
     "classify_chunk_tables": CHUNKED + ' SELECT node_id, round(coalesce(s, 0e0), 6) AS score, coalesce(s, 0e0) > 0.5 AS "inner" FROM p LEFT JOIN won USING (node_id)',
     "chunk_scores_cached": CHUNKED + ' SELECT node_id, round(coalesce(s, 0e0), 6) AS score, coalesce(s, 0e0) > 0.9 AS "inner" FROM p LEFT JOIN won USING (node_id)',
     "classify_event_raster": IMAGE,
+    "preprocessed_event_raster": f"""WITH {RAW}, {FULL}, {smooth(1, 's')}, {smooth(2, 't')} SELECT 'composed' AS mode, s.node_id, 0::BIGINT AS sigma, round((s.v + t.v) / 2, 6) AS v FROM s JOIN t ON t.node_id = s.node_id
+        UNION ALL SELECT 'max', node_id, 1, round(v, 6) FROM s UNION ALL SELECT 'max', node_id, 2, round(v, 6) FROM t""",
     "raster_from_arrays": """SELECT vec_id * (SELECT max(len(embedding)) FROM embeddings) + k - 1 AS node_id, vec_id AS iy, k - 1 AS ix, round(embedding[k]::DOUBLE, 6) AS v
         FROM embeddings, unnest(range(1, len(embedding) + 1)) t(k)""",
     "chunk_edges_merged": f"""WITH {P}, a AS (SELECT node_id, {PHI} AS f FROM p), h AS (SELECT *, least(floor(f / (2 * pi() / 8)), 7) AS home FROM a),

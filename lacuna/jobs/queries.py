@@ -497,6 +497,17 @@ def classify_event_raster(spark, sf_dir):
     return got.select("node_id", F.round("v", 6).alias("v"), F.round("score", 6).alias("score"), "inner")
 
 
+def preprocessed_event_raster(spark, sf_dir):
+    """The event raster as both detection modes would score it, without scoring."""
+    days, out = _days(spark, sf_dir), None
+    for mode in ("composed", "max"):
+        config = ImageConfig(filter_sizes=[1, 2], detection_mode=mode)
+        got, _, _ = classify_raster(V.events_grid(spark, sf_dir), days, V.HOURS, None, config, preprocess_only=True)
+        one = got.select(F.lit(mode).alias("mode"), "node_id", F.col("sigma").cast("long").alias("sigma"), F.round("v", 6).alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def raster_from_arrays(spark, sf_dir):
     rows = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("iy"), F.col("embedding").alias("values"))
     width = rows.agg(F.max(F.size("values"))).first()[0] or 0
@@ -665,6 +676,7 @@ QUERIES = {
         classify_chunk_tables,
         chunk_scores_cached,
         classify_event_raster,
+        preprocessed_event_raster,
         raster_from_arrays,
         chunk_edges_merged,
         fits_region,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators.components import FINISH, connected_components
+from lacuna.sources.staging import small, stage
 
 #: Neighbours ahead of a pixel in row order: together with their mirror images the 8- and the 4-neighbourhood.
 AHEAD_8, AHEAD_4 = ((0, 1), (1, -1), (1, 0), (1, 1)), ((0, 1), (1, 0))
@@ -45,10 +46,15 @@ def grid_edges(spark: SparkSession, height: int, width: int, ahead=AHEAD_8) -> D
     return at.where((ny < height) & (nx >= 0) & (nx < width)).select("src", (ny * width + nx).alias("dst"))
 
 
-def radius_edges(points: DataFrame, r: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+#: Points of a grid cell that one task compares with a neighbour cell's; a fuller cell is split.
+CELL_POINTS = 20_000
+
+
+def radius_edges(points: DataFrame, r: float, axes: tuple[str, ...] = ("x", "y", "z"), cell_points: int = CELL_POINTS) -> DataFrame:
     """Pairs closer than r: equi-join on grid cells of size r, one side dealt to its own cell and the cells ahead, then the exact distance.
 
-    Half of the neighbour cells suffice, as a pair of two cells meets in the one that is ahead of the other.
+    Half of the neighbour cells suffice, as a pair of two cells meets in the one that is ahead of the other. A cell of over
+    cell_points points is dealt in parts by node, and what is compared with it goes to each part, so a dense cell is no single key.
     """
     cells = [F.floor(F.col(a) / r).alias(f"c{a}") for a in axes]
     home = points.select(F.col("node_id").alias("dst"), *[F.col(a).alias(f"b{a}") for a in axes], *cells)
@@ -56,8 +62,15 @@ def radius_edges(points: DataFrame, r: float, axes: tuple[str, ...] = ("x", "y",
     around = F.array(*[F.struct(F.lit(not any(ds)).alias("own"), *[F.lit(d).alias(f"d{a}") for a, d in zip(axes, ds, strict=True)]) for ds in ahead])
     dealt = points.select(F.col("node_id").alias("src"), *axes, F.explode(around).alias("d"), *cells)
     dealt = dealt.select("src", *axes, F.col("d.own").alias("own"), *[(F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in axes])
+    keys = [f"c{a}" for a in axes]
+    full = stage(home.groupBy(*keys).count().where(F.col("count") > cell_points).select(*keys, F.ceil(F.col("count") / cell_points).cast("int").alias("parts")), "full_cells")
+    if full.take(1):
+        held = small(full)
+        home = home.join(held, keys, "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        dealt = dealt.join(held, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        keys.append("part")
     d2 = sum(((F.col(a) - F.col(f"b{a}")) * (F.col(a) - F.col(f"b{a}")) for a in axes), F.lit(0.0))
-    return dealt.join(home, [f"c{a}" for a in axes]).where((~F.col("own") | (F.col("src") < F.col("dst"))) & (d2 < r * r)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return dealt.join(home, keys).where((~F.col("own") | (F.col("src") < F.col("dst"))) & (d2 < r * r)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def short_edges(edges: DataFrame, points: DataFrame, threshold: float) -> DataFrame:

@@ -257,3 +257,13 @@ def test_merging_on_contacts_equals_merging_nodes(spark, seed):
         table([(g,) for g in isolated], "group_id long"), table([(n,) for n in edge], "node_id long"), 0.3, 60,
     )
     assert {r["node_id"]: r["group_id"] for r in got.collect()} == want and len(set(want.values())) < len(set(assigned.values()))
+
+
+def test_full_cells_are_split(spark):
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.normal(0, 0.02, (60, 3)), rng.uniform(-1, 1, (80, 3))])
+    df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(p)], "node_id long, x double, y double, z double")
+    want = {(i, j) for i in range(len(p)) for j in range(i + 1, len(p)) if ((p[i] - p[j]) ** 2).sum() < 0.3**2}
+    for most in (graph.CELL_POINTS, 7):
+        got = [tuple(r) for r in graph.radius_edges(df, 0.3, cell_points=most).collect()]
+        assert len(got) == len(want) and set(got) == want
