@@ -86,7 +86,7 @@ def _percentiles(df: DataFrame, column: str, by: list[str], shares: tuple[float,
     cuts = stage(rows.groupBy(*g).agg(F.percentile_approx("v", asked, ACCURACY).alias("cut"), F.count("v").alias("total")), "cuts")
     for bracketed in (True, False):
         counted = stage(_counted(rows, cuts, g, len(shares), bracketed), "counted")
-        found = stage(_ranked(counted, cuts, g, shares), "percentiles")
+        found = stage(_ranked(counted, cuts, g, shares), "ranks")
         if not bracketed or not found.where("missed").take(1):
             break
     return found.drop("missed")
