@@ -27,12 +27,19 @@ SEED = 5
 #: Words of documents that are embedded at once.
 STEP = 1 << 17
 
+#: Letters and vowel signs of scripts that are written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+ALONE = (
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u0edc-\u0edf\u1000-\u103f\u1050-\u109d\u1780-\u17d3"
+    "\u3005-\u3007\u3041-\u3096\u30a1-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+)
 _WORDS = re.compile(r"[^\W_]+").findall
+_ALONE, _UNITS = re.compile(f"[{ALONE}]").search, re.compile(f"[{ALONE}]|[^\\W_{ALONE}]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits; null is empty."""
-    return _WORDS((text or "").lower())
+    """Lower-cased runs of letters and digits; each character of ALONE is a word of its own. Null is empty."""
+    text = (text or "").lower()
+    return _WORDS(text) if text.isascii() or not _ALONE(text) else _UNITS(text)
 
 
 @dataclass
@@ -70,6 +77,7 @@ class Index:
     pieces: list[Pieces]
     sizes: np.ndarray  # words of each item
     members: np.ndarray  # sieve of (item, word)
+    recall: dict[int, float]  # share of edited copies that sampling alone finds, by bits of the number of edits
 
     @property
     def pad(self) -> int:
@@ -141,7 +149,7 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     texts = [x for _, x in coded]
     owner = np.repeat(np.arange(len(coded)), [len(x) for x in texts])
     members = _sieve(_member(owner, np.concatenate([*texts, np.zeros(0, np.int64)])))
-    index = Index(vocabulary, mixed, turns, coded, [], _cut(texts), np.array([len(x) for x in texts], np.int64), members)
+    index = Index(vocabulary, mixed, turns, coded, [], _cut(texts), np.array([len(x) for x in texts], np.int64), members, {})
     if not coded:
         return index
     samples: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -152,7 +160,8 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
         samples.append((k % WALKS, head, tails))
     place = {n: k for k, n in enumerate(sizes)}
     at = np.array([place[len(x)] for x in texts])
-    samples = samples[: _repeats(texts, index, place, samples)]
+    many, index.recall = _repeats(texts, index, place, samples)
+    samples = samples[:many]
     words = _sampled(texts, index, at, samples)
     for k, (walk, head, tails) in enumerate(samples):
         mine = words[:, k]
@@ -177,10 +186,10 @@ def _sampled(texts: list[np.ndarray], index: Index, lengths: np.ndarray, samples
     return out
 
 
-def _repeats(texts: list[np.ndarray], index: Index, place: dict[int, int], samples: list) -> int:
-    """Repetitions after which copies with all edits that their items allow are found at TARGET_RECALL in each class of items.
+def _repeats(texts: list[np.ndarray], index: Index, place: dict[int, int], samples: list) -> tuple[int, dict[int, float]]:
+    """(repetitions, recall of each class then) after which copies with all edits that their items allow are found at TARGET_RECALL in each class of items.
 
-    Classes are powers of two of the number of edits. Where MOST_REPEATS aren't enough, pieces find the rest.
+    Classes are powers of two of the number of edits. Where MOST_REPEATS aren't enough, which the recall shows, pieces find the rest.
     """
     rng = np.random.default_rng(SEED + 1)
     classes: dict[int, list[np.ndarray]] = {}
@@ -194,11 +203,12 @@ def _repeats(texts: list[np.ndarray], index: Index, place: dict[int, int], sampl
     edited = [_edit(x, slack_of(len(x)), rng) for x in probes]
     found = (_sampled(probes, index, lengths, samples) == _sampled(edited, index, lengths, samples)).all(2)
     found = np.logical_or.accumulate(found, axis=1)
+    recall: dict[int, float] = {}
     for k in range(len(samples)):
-        shares = [(found[kind == c, k].mean(), (kind == c).sum()) for c in classes]
-        if all(p - math.sqrt(p * (1 - p) / n) >= TARGET_RECALL for p, n in shares):  # less what chance may have added
-            return k + 1
-    return len(samples)
+        recall = {c: float(found[kind == c, k].mean()) for c in sorted(classes)}
+        if all(p - math.sqrt(p * (1 - p) / (kind == c).sum()) >= TARGET_RECALL for c, p in recall.items()):  # less what chance may have added
+            return k + 1, recall
+    return len(samples), recall
 
 
 def slack_of(length: int) -> int:
@@ -400,7 +410,7 @@ def _common(ids: np.ndarray, items: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, edits, similarity): one row for each document and item found in it.
 
-    Texts are compared as lower-cased words of letters and digits; an item is found where a window's
+    Texts are compared as lower-cased words of letters and digits (in scripts without spaces, as characters); an item is found where a window's
     word edit distance to it is at most 20 % of the item's words (similarity of 0.8 or more). None is
     missed: k edits leave one of an item's k + 1 pieces as it is, and all places of all pieces are looked at. Items
     without a word match nothing, nor do null or empty texts. An item_id with several texts is found where

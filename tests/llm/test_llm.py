@@ -385,6 +385,38 @@ def test_sampling_alone_reaches_the_target_recall(share, length):
         slack = decontam.slack_of(length)
         found += bool(((rows[:, 1] == k) & (abs(rows[:, 0] - 40) <= slack)).any())
     assert found >= 0.87 * len(items)  # 0.9 less what chance allows in 150 items
+    assert list(index.recall) == [decontam.slack_of(length).bit_length()] and 0.9 <= index.recall[decontam.slack_of(length).bit_length()] <= 1
+
+
+def test_words_of_scripts_without_spaces():
+    assert decontam.words_of("Ab_c 東京tower2は, カタカナー") == ["ab", "c", "東", "京", "tower2", "は", "カ", "タ", "カ", "ナ", "ー"]
+    assert decontam.words_of("ภาษาไทย ๑๒") == [*"ภาษาไทย", "๑๒"]
+    for text in ("", None, "Größe déjà-vu 12", "кот и пёс", "한국어 문장"):
+        assert decontam.words_of(text) == decontam._WORDS((text or "").lower())
+
+
+@pytest.mark.parametrize("script", ["\u4e00", "\u3041", "\u0e01"])
+def test_leaks_in_scripts_without_spaces_equal_brute(script):
+    rng = np.random.default_rng(13)
+    letters = [chr(ord(script) + k) for k in range(1 if script == "\u4e00" else 0, 46)]
+    run = lambda n: "".join(rng.choice(letters, n))
+    items = [(k, run(n)) for k, n in enumerate((4, 12, 25, 25, 40, 60))]
+    docs = [run(300) for _ in range(8)]
+    for _, text in items:
+        for edits in range(decontam.slack_of(len(text)) + 2):
+            x = list(text)
+            for at in rng.choice(len(x), edits, replace=False):
+                x[at] = "q"
+            docs.append(run(50) + "".join(x) + run(50))
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in items:
+            edits = decontam.best_window(np.array(decontam.words_of(item)), np.array(decontam.words_of(text)))[0]
+            if edits <= decontam.slack_of(len(item)):
+                want[d, i] = edits
+    index = decontam.build_index(items)
+    got = {(d, index.items[k][0]): e for d, k, _, _, e in decontam.leaks_of(docs, index)}
+    assert len(want) >= 30 and got == want
 
 
 def test_leaks_of_repeated_and_missing_ids_and_long_items(spark):
