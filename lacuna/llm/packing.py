@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lacuna.llm.rows import bound_batches, map_rows, slices
 from lacuna.llm.tokens import encoder
-from lacuna.sources.staging import discard, stage
+from lacuna.sources.staging import stage
 
 CAPACITY = 2048
 #: A bin with so few free places is emitted; the others go on as items.
@@ -138,7 +138,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL)
 
     Every partition is packed best-fit by itself and emits its nearly full bins; the underfull ones are
     items of the next round, in which the tasks are FAN_IN times fewer, down to one, or to as many as
-    hold TASK_BINS bins each. A bin holds at most capacity members, so every row and task is bounded.
+    hold TASK_BINS bins each. Bins in which not even the smallest open one fits are final. Rounds end
+    when no two bins fit together; with over TASK_BINS bins that still fit somewhere, when a round of such
+    tasks has merged none of them. A bin holds at most capacity members, so every row and task is bounded.
     Rounds are written to the shared folder. An empty table gives no rows.
     """
     first = pieces.select(*[c for c in _MEMBERS if c != "offset"])
@@ -147,23 +149,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL)
 
 def _rounds(first: DataFrame, capacity: int, slack: int) -> DataFrame:
     """The rounds after the first, and the members of all bins."""
-    bins = stage(first, "bins")
-    packed, level = [bins], 0
-    tasks = max(1, len(bins.inputFiles()))
-    while True:
-        left = packed[-1].where("NOT done")
-        count = left.count()
-        if count <= 1 or (level and tasks == 1):
+    now = stage(first, "bins")
+    packed, level, before = [], 0, 0
+    tasks = max(1, len(now.inputFiles()))
+    while not level or (tasks > 1 and now.count() != before):
+        left = now.where("NOT done")
+        least = left.agg(F.min("size")).first()[0]
+        if least is None:
             break
-        tasks = max(1, -(-tasks // FAN_IN), -(-count // TASK_BINS))
-        level += 1
-        again = stage(left.repartition(tasks).mapInArrow(_pack(level, capacity, slack), _BINS), "bins")
-        packed[-1] = packed[-1].where("done")
-        packed.append(again)
-        if tasks > 1 and again.count() > 0.995 * count:  # nothing left to merge but in one task that need not hold it
+        fits = F.col("size") <= capacity - least
+        count = left.where(fits).count()
+        if count <= 1:  # the smallest by itself, if that
             break
-    out = packed[0]
-    for more in packed[1:]:
+        least_tasks = -(-count // TASK_BINS)
+        tasks, level = max(-(-tasks // FAN_IN), least_tasks), level + 1
+        before = count if tasks == least_tasks else 0
+        again = left.where(fits).repartition(tasks).mapInArrow(_pack(level, capacity, slack), _BINS)
+        packed.append(now.where(F.col("done") | ~fits))
+        now = stage(again, "bins")
+    out = now
+    for more in packed:
         out = out.unionByName(more)
     members = F.explode(F.arrays_zip(*_MEMBERS)).alias("m")
     return out.select("sequence_id", members).select(*[F.col(f"m.{n}").alias(n) for n in _MEMBERS if n != "offset"], "sequence_id", F.col("m.offset").alias("offset"))

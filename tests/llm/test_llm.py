@@ -122,6 +122,25 @@ def test_packing_tree_rounds(spark):
     assert len({r["sequence_id"] for r in rows}) <= 1.03 * best
 
 
+@pytest.mark.parametrize("task_bins", [100_000, 40])
+def test_packing_ends_when_no_two_sequences_fit(spark, monkeypatch, task_bins):
+    monkeypatch.setattr(packing, "TASK_BINS", task_bins)
+    rng = np.random.default_rng(2)
+    for sizes in (rng.integers(1, 2049, 600).tolist(), [1100] * 300 + [900] * 100 + [1] * 50, [1025] * 90, [5], [2048, 2046, 3]):
+        pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES).repartition(20)
+        rows = packing.pack(pieces).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(sizes))
+        used = Counter()
+        for r in rows:
+            used[r["sequence_id"]] += r["length"]
+        totals = sorted(used.values())
+        assert totals[-1] <= 2048
+        if task_bins > len(sizes):
+            opened = [n for n in totals if n < 2048 - packing.NEARLY_FULL]
+            assert len(opened) < 2 or opened[0] + opened[1] > 2048
+        assert len(used) <= 1.06 * len(packing.best_fit(sizes, 2048)) + 1
+
+
 def test_word_encoder_equals_whole_text():
     from tokenizers import Tokenizer
 
