@@ -73,6 +73,7 @@ class Index:
     mixed: np.ndarray  # random number of each word id; the last one, of the pad, is 0
     turns: np.ndarray  # (WALKS, steps) odd factors: a word's coin at a step is the top bit of factor * mixed
     items: list[tuple[int | None, np.ndarray]]
+    early: np.ndarray  # (WALKS, words): bit s says that some item has the word at step s of the walk, up to HEAD
     repeats: list[Repeat]
     pieces: list[Pieces]
     sizes: np.ndarray  # words of each item
@@ -105,11 +106,16 @@ def _member(item: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _walk(mixed_ids: np.ndarray, at: np.ndarray, turns: np.ndarray, upto: int):
-    """Places at each step of the CGK walk from at: a step copies the word and moves on if its coin says so, never past a pad."""
-    bound = np.array([len(mixed_ids) - 1])
+    """Places at each step of the CGK walk from at: a step copies the word and moves on if its coin says so.
+
+    A pad's coin is always 0, so no walk passes one; the last of mixed_ids is a pad's.
+    """
     for step in range(upto):
         yield step, at
-        at = np.minimum(at + ((mixed_ids.take(at) * turns[step]) >> np.uint64(63)).astype(np.int64), bound)
+        coins = mixed_ids.take(at)
+        coins *= turns[step]
+        coins >>= np.uint64(63)
+        at = at + coins.view(np.int64)
 
 
 def embed(texts: list[np.ndarray], index: Index, walk: int, asked: np.ndarray) -> np.ndarray:
@@ -149,9 +155,13 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     texts = [x for _, x in coded]
     owner = np.repeat(np.arange(len(coded)), [len(x) for x in texts])
     members = _sieve(_member(owner, np.concatenate([*texts, np.zeros(0, np.int64)])))
-    index = Index(vocabulary, mixed, turns, coded, [], _cut(texts), np.array([len(x) for x in texts], np.int64), members, {})
+    early = np.zeros((WALKS, len(mixed)), np.uint16)
+    index = Index(vocabulary, mixed, turns, coded, early, [], _cut(texts), np.array([len(x) for x in texts], np.int64), members, {})
     if not coded:
         return index
+    for walk in range(WALKS):
+        for step, words in enumerate(embed(texts, index, walk, np.tile(np.arange(HEAD), (len(texts), 1))).T):
+            early[walk, words] |= np.uint16(1 << step)
     samples: list[tuple[int, np.ndarray, np.ndarray]] = []
     for k in range(MOST_REPEATS):
         head = np.sort(rng.choice(HEAD, HEAD_SAMPLES, replace=False))
@@ -256,7 +266,8 @@ def _spans(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
     """Rows (window start, item number) whose sampled words agree in some repetition, as often as they do; ids may hold many texts apart.
 
-    All windows walk together. Those whose first sampled words are no item's fall away; the rest walk
+    All windows walk together. Those that have a word where no item has it at that step, or whose first sampled words
+    together are no item's, fall away; the rest walk
     on alone, so what is found is what complete sampling of every window finds.
     """
     out = [np.zeros((0, 2), np.int64)]
@@ -266,19 +277,22 @@ def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
     starts = np.flatnonzero((ids > 0) & (ids < pad))  # a first word that is in no item can match none
     for walk in sorted({r.walk for r in index.repeats}):
         mine = [r for r in index.repeats if r.walk == walk]
-        seen = {}
+        seen, may = {}, {}
         turns = index.turns[walk]
         wanted = {int(s) for r in mine for s in r.head}
         for step, at in _walk(mixed, starts, turns, max(wanted) + 1):
             if step in wanted:
                 seen[step] = ids.take(at)
+                may[step] = index.early[walk].take(seen[step]) & np.uint16(1 << step) > 0
         for r in mine:
-            key = _head_key([seen[int(s)] for s in r.head])
-            alive = np.flatnonzero(r.sieve.take(key & (len(r.sieve) - 1)))
-            w, k = _spans(r.heads, key[alive])
+            alive = np.flatnonzero(np.logical_and.reduce([may[int(s)] for s in r.head]))
+            key = _head_key([seen[int(s)].take(alive) for s in r.head])
+            hit = np.flatnonzero(r.sieve.take(key & (len(r.sieve) - 1)))
+            alive, key = alive[hit], key[hit]
+            w, k = _spans(r.heads, key)
             if not len(w):
                 continue
-            origin, size, head = starts[alive[w]], r.lengths[k], key[alive[w]]
+            origin, size, head = starts[alive[w]], r.lengths[k], key[w]
             full = _mix(head, size)
             steps = r.tails[size]
             walkers, back = np.unique(origin, return_inverse=True)
