@@ -119,13 +119,14 @@ def lexicon(docs: DataFrame, counts: DataFrame) -> Lexicon:
 
 
 def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probability of column at of each row, exponentials, their sums); scores over 60 count as 60 instead of a row's shift."""
-    e = h @ w
-    e += b
-    np.minimum(e, 60, out=e)
-    out = e[rows, at]
+    """(log probability of choice at of each row of h, exponentials by choice and row, their sums); scores over 60 count as 60 instead of a row's shift."""
+    e = w @ h.T
+    e += b[:, None]
+    if e.max() > 60:
+        np.minimum(e, 60, out=e)
+    out = e[at, rows]
     np.exp(e, out=e)
-    total = e.sum(1)
+    total = e.sum(0)
     return out - np.log(total), e, total
 
 
@@ -184,31 +185,40 @@ class Gru:
         return self
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state, and what the gradient needs; gates: the input's part of them."""
+        """Next state, and what the gradient needs; gates: the input's part of them. A column is a lane, so each gate is a whole block."""
         k = HIDDEN
-        u = h @ self.p["wh"]
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * k] + u[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gates[:, 2 * k :] + r * u[:, 2 * k :])
-        return n + z * (h - n), z, r, n, u[:, 2 * k :]
+        u = self.p["wh"].T @ h
+        zr = gates[: 2 * k] + u[: 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.divide(1, zr, out=zr)
+        z, r = zr[:k], zr[k:]
+        n = r * u[2 * k :]
+        n += gates[2 * k :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, z, r, n, u[2 * k :]
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """(natural log probability of each target, gradient of the loss by h if grads are to be filled)."""
+        """(natural log probability of each target, gradient of the loss by h if grads are to be filled); a row of h is a token's state."""
         p, starts = self.p, self.starts
         cls = self.cls[target]
         # Tokens in order of their class, so that each class is one run of rows.
         order = np.argsort(cls, kind="stable")
         cls, target, h = cls[order], target[order], h[order]
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        rows = np.arange(len(h))
-        out, e, total = _softmax(h, p["wc"], p["bc"], cls, rows)
+        rows, ones = np.arange(len(h)), np.ones(len(h), h.dtype)
+        out, e, total = _softmax(h, p["wc"].T, p["bc"], cls, rows)
         dh = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["wc"] = h.T @ e
-            grads["bc"] = e.sum(0)
-            dh = e @ p["wc"].T
+            e /= total
+            e[cls, rows] -= 1
+            grads["wc"] = (e @ h).T
+            grads["bc"] = e @ ones
+            dh = e.T @ p["wc"].T
         for c in range(CLASSES):
             a, z = cuts[c], cuts[c + 1]
             if a == z:
@@ -217,14 +227,14 @@ class Gru:
             if last - first == 1:
                 continue
             w, mine, inside = p["wo"][first:last], h[a:z], target[a:z] - first
-            got, e, total = _softmax(mine, w.T, p["bo"][first:last], inside, rows[: z - a])
+            got, e, total = _softmax(mine, w, p["bo"][first:last], inside, rows[: z - a])
             out[a:z] += got
             if grads is not None:
-                e /= total[:, None]
-                e[rows[: z - a], inside] -= 1
-                grads["wo"][first:last] = e.T @ mine
-                grads["bo"][first:last] = e.sum(0)
-                dh[a:z] += e @ w
+                e /= total
+                e[inside, rows[: z - a]] -= 1
+                grads["wo"][first:last] = e @ mine
+                grads["bo"][first:last] = e @ ones[: z - a]
+                dh[a:z] += e.T @ w
         back = np.empty_like(order)
         back[order] = rows
         return out[back], None if dh is None else dh[back]
@@ -232,13 +242,14 @@ class Gru:
     def score(self, texts: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log probability of each id sequence. The state runs through the whole text; each text begins after an end."""
         out = np.zeros(len(texts))
-        table = self.p["emb"] @ self.p["wx"] + self.p["b"]
+        emb, wx, b = self.p["emb"], np.ascontiguousarray(self.p["wx"].T), self.p["b"][:, None]
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         for a in range(0, len(order), SCORE_LANES):
             lanes = order[a : a + SCORE_LANES]
             sizes = np.array([len(texts[i]) for i in lanes])
-            h = np.zeros((len(lanes), HIDDEN), np.float32)
+            h = np.zeros((HIDDEN, len(lanes)), np.float32)
             before = np.full(len(lanes), end)
+            sums = np.zeros(len(lanes))
             held, states, targets, size = [], [], [], 0
             block: np.ndarray | None = None
             for t in range(int(sizes[0])):
@@ -249,19 +260,20 @@ class Gru:
                         block[: len(part), k] = part
                 live = int(np.searchsorted(-sizes, -t, side="left"))
                 now = block[t % 256, :live]
-                h = self.step(table[before[:live]], h[:live])[0]
+                h = self.step(wx @ emb[before[:live]].T + b, h[:, :live])[0]
                 held.append(live)
                 states.append(h)
                 targets.append(now)
                 before = now
                 size += live
                 if size >= 8192 or t == sizes[0] - 1:
-                    got = self.output(np.concatenate(states), np.concatenate(targets))[0].astype(np.float64)
+                    got = self.output(np.concatenate(states, axis=1).T, np.concatenate(targets))[0].astype(np.float64)
                     at = 0
                     for n in held:
-                        out[lanes[:n]] += got[at : at + n]
+                        sums[:n] += got[at : at + n]
                         at += n
                     held, states, targets, size = [], [], [], 0
+            out[lanes] = sums
         return out
 
     def squares(self) -> dict[str, np.ndarray]:
@@ -296,51 +308,48 @@ class Gru:
         steps, lanes = part.shape
         inputs = np.concatenate([before[None, :], np.where(part[:-1] >= 0, part[:-1], before[None, :])])
         x = p["emb"][inputs.reshape(-1)]
-        gates = (x @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * k)
-        came = np.empty((steps, lanes, k), h.dtype)
-        hs = np.empty_like(came)
-        kept = []
+        # From here on a column is a token: (number, step, lane).
+        gates = (p["wx"].T @ x.T + p["b"][:, None]).reshape(3 * k, steps, lanes)
+        came, hs, z, r, n, u = (np.empty((k, steps, lanes), h.dtype) for _ in range(6))
+        h = h.T
         for t in range(steps):
-            came[t] = h
-            h, z, r, n, u = self.step(gates[t], h)
-            kept.append((z, r, n, u))
-            hs[t] = h
+            came[:, t] = h
+            h, z[:, t], r[:, t], n[:, t], u[:, t] = self.step(gates[:, t], h)
+            hs[:, t] = h
         flat = part.reshape(-1)
         real = np.flatnonzero(flat >= 0)
         grads = {"wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        _, dh = self.output(hs.reshape(-1, k)[real], flat[real], grads)
+        _, dh = self.output(np.ascontiguousarray(hs.reshape(k, -1).T)[real], flat[real], grads)
         every = np.zeros((steps * lanes, k), h.dtype)
         every[real] = dh
-        every = every.reshape(steps, lanes, k)
+        every = np.ascontiguousarray(every.T).reshape(k, steps, lanes)
         # What the steps back need, for all of them at once.
-        z, r, n, u = (np.stack(x) for x in zip(*kept, strict=True))
         to_n = (1 - z) * (1 - n * n)
         to_z = (came - n) * z * (1 - z)
         to_r = u * r * (1 - r)
-        du = np.empty((steps, lanes, 3 * k), h.dtype)
-        dns = np.empty_like(came)
-        back, turned = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
+        du, dns = np.empty((3 * k, steps, lanes), h.dtype), np.empty_like(came)
+        back = np.zeros_like(came[:, 0])
         for t in range(steps - 1, -1, -1):
-            back += every[t]
-            dn, b = dns[t], du[t]
-            np.multiply(back, to_n[t], out=dn)
-            np.multiply(back, to_z[t], out=b[:, :k])
-            np.multiply(dn, to_r[t], out=b[:, k : 2 * k])
-            np.multiply(dn, r[t], out=b[:, 2 * k :])
-            back *= z[t]
-            back += b @ turned
-        da = du.copy()
-        da[:, :, 2 * k :] = dns
-        da, du = da.reshape(-1, 3 * k), du.reshape(-1, 3 * k)
-        grads |= {"wh": came.reshape(-1, k).T @ du, "b": da.sum(0), "wx": x.T @ da, "emb": np.zeros_like(p["emb"])}
+            back += every[:, t]
+            dn, b = dns[:, t], du[:, t]
+            np.multiply(back, to_n[:, t], out=dn)
+            np.multiply(back, to_z[:, t], out=b[:k])
+            np.multiply(dn, to_r[:, t], out=b[k : 2 * k])
+            np.multiply(dn, r[:, t], out=b[2 * k :])
+            back *= z[:, t]
+            back += p["wh"] @ b
+        du, dns = du.reshape(3 * k, -1), dns.reshape(k, -1)
+        zr, ones = du[: 2 * k], np.ones(steps * lanes, h.dtype)
+        by_input = zr.T @ p["wx"][:, : 2 * k].T + dns.T @ p["wx"][:, 2 * k :].T
+        grads |= {"wh": came.reshape(k, -1) @ du.T, "b": np.append(zr @ ones, dns @ ones), "wx": np.vstack([zr @ x, dns @ x]).T, "emb": np.zeros_like(p["emb"])}
         order = np.argsort(inputs.reshape(-1).astype(np.uint16), kind="stable")
         words = inputs.reshape(-1)[order]
         first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        grads["emb"][words[first]] = np.add.reduceat((da @ p["wx"].T)[order], first, axis=0)
+        grads["emb"][words[first]] = np.add.reduceat(by_input[order], first, axis=0)
         many = len(real)
         for g in grads.values():
             g /= max(1, many)
-        return grads, h, np.where(part[-1] >= 0, part[-1], before), many
+        return grads, h.T, np.where(part[-1] >= 0, part[-1], before), many
 
     def descend(self, grads: dict[str, np.ndarray], seen: dict[str, np.ndarray], rate: float) -> None:
         """One Adagrad step; gradients of a norm over 5 are shrunk to it."""

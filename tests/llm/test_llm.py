@@ -703,6 +703,21 @@ def test_gru_probabilities_sum_to_one_and_state_is_carried():
     assert gru.score([long, long[:5]], lex.end)[0] == pytest.approx(gru.score([long], lex.end)[0], rel=1e-5)
 
 
+def test_gru_step_takes_lanes_as_columns_and_whole_blocks_of_gates():
+    gru, k, lanes = lm.Gru(lexicon_of([b"a", b"b"])), lm.HIDDEN, 7
+    rng = np.random.default_rng(5)
+    h, gates = rng.standard_normal((k, lanes)).astype(np.float32), rng.standard_normal((3 * k, lanes)).astype(np.float32)
+    got = gru.step(gates, h)
+    assert all(x.shape == (k, lanes) and x.flags.c_contiguous for x in got)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for lane in range(lanes):
+        g, u = gates[:, lane], h[:, lane] @ gru.p["wh"]
+        z, r = sigmoid(g[:k] + u[:k]), sigmoid(g[k : 2 * k] + u[k : 2 * k])
+        n = np.tanh(g[2 * k :] + r * u[2 * k :])
+        for x, want in zip(got, ((1 - z) * n + z * h[:, lane], z, r, n, u[2 * k :]), strict=True):
+            assert x[:, lane] == pytest.approx(want, abs=1e-5)
+
+
 def test_gru_gradients_and_learning():
     lex = lexicon_of([b"a", b"b", b"c"])
     gru = lm.Gru(lex)
