@@ -17,7 +17,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no known language (no letter, or claimed by no language; langid.keep_known)."""
+    """Sets lang to each text's language and drops documents of no known one (no letter, or like no language; langid.keep_known)."""
     return langid.keep_known(docs)
 
 
@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the remaining documents into sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    """Packs the remaining documents into sequences of at most 2048 tokens, each of one language as the first stage found it."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), apart="lang")
 
 
 STAGES = [

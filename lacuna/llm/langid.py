@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ DIM, BATCH = 1 << 14, 64
 TRAIN_ROWS, FLOOR_ROWS, LANDMARKS = 300, 150, 96
 RIDGE, SHARPNESS = 1e-2, 4.0
 FOLDS = 5
-#: A text is known if it shares with some landmark at least so much of the least share that labelled rows have which the model wasn't
-#: fitted on; of so many rows at least, else nothing is rejected for it.
+#: A text is known if it shares with some landmark at least so much of the least share that other labelled rows have;
+#: of so many rows at least, else nothing is rejected for it.
 FAMILIAR, LEAST_ROWS = 0.85, 25
 UNKNOWN = "und"
 
@@ -85,7 +86,7 @@ def shares(x: np.ndarray, m: Model) -> np.ndarray:
 
 
 def set_floor(m: Model, rows: np.ndarray) -> Model:
-    """m with the floor that follows from presence rows of known languages that it wasn't fitted on."""
+    """m with the floor that follows from presence rows of known languages that aren't its landmarks."""
     if len(rows) >= LEAST_ROWS and m.langs:
         m.floor = FAMILIAR * float(np.concatenate([shares(rows[k : k + BATCH].astype(np.float32), m) for k in range(0, len(rows), BATCH)]).min())
     return m
@@ -123,9 +124,12 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     got = map_rows(picked.select("lang", "place", "text"), make, "lang string, place int, bits binary").collect()
     got.sort(key=lambda r: (r["lang"], r["place"]))
     bits = lambda rows: np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    fitted, more = [r for r in got if r["place"] <= TRAIN_ROWS], [r for r in got if r["place"] > TRAIN_ROWS]
+    fitted, more = [r for r in got if r["place"] <= TRAIN_ROWS], Counter(r["lang"] for r in got if r["place"] > TRAIN_ROWS)
     model = fit(bits(fitted), [r["lang"] for r in fitted])
-    return set_floor(model, bits(more)) if more else model
+    # Shares are those of landmarks alone, so in languages of few rows the others of the fitted ones are as good.
+    marks = max(1, LANDMARKS // len(model.langs))
+    other = [r for r in got if r["place"] > (TRAIN_ROWS if more[r["lang"]] >= LEAST_ROWS else marks)]
+    return set_floor(model, bits(other)) if other else model
 
 
 def _rows(texts: list[str]) -> np.ndarray:
@@ -183,26 +187,35 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def known_texts(texts: list[str | None], m: Model) -> np.ndarray:
-    """Whether each text has a letter and shares enough with a landmark."""
-    out = np.zeros(len(texts), bool)
+def languages(texts: list[str | None], m: Model) -> list[str | None]:
+    """Language of each text; None without a letter, or where no landmark has enough in common with it."""
+    out: list[str | None] = [None] * len(texts)
+    ny = np.maximum(m.landmarks.sum(1), 1)
     todo = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
     for a in range(0, len(todo), BATCH):
         part = todo[a : a + BATCH]
-        out[part] = shares(_rows([texts[i] for i in part]), m) >= m.floor
+        x = _rows([texts[i] for i in part])
+        both, nx = x @ m.landmarks.T, np.maximum(x.sum(1), 1)[:, None]
+        known = (both / np.minimum(nx, ny)).max(1) >= m.floor
+        best = ((both / np.sqrt(nx) / np.sqrt(ny)) @ m.weights).argmax(1)
+        for i, ok, b in zip(part, known, best, strict=True):
+            if ok:
+                out[i] = m.langs[b]
     return out
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those of no known language: texts without a letter, or that no landmark of a language resembles.
+    """docs with the language of each text as lang, without those of no known language: texts without a letter, or that no landmark of a language resembles.
 
-    What counts as resembling is set on labelled rows that the model wasn't fitted on, so it doesn't depend on the
-    number of languages. All columns stay as they are; without a labelled row nothing is known.
+    What counts as resembling is set on labelled rows that are no landmarks, so it doesn't depend on the number of
+    languages. A given lang is only learned from: it is a claim, which may be wrong or missing. All other columns stay
+    as they are; without a labelled row nothing is known.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series(known_texts(texts.tolist(), model.value), dtype=bool)
+    @F.pandas_udf("string")
+    def language(texts: pd.Series) -> pd.Series:
+        return pd.Series(languages(texts.tolist(), model.value), dtype=object)
 
-    return bound_batches(docs).where(known(F.col("text").cast("string")))
+    # Not deterministic for the optimizer, which would else read each text once for the column and once for the filter.
+    return bound_batches(docs).withColumn("lang", language.asNondeterministic()(F.col("text").cast("string"))).where(F.col("lang").isNotNull())

@@ -26,7 +26,7 @@ END_ID = 0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMBERS = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "offset": "long"}
-_BINS = "sequence_id long, size int, done boolean, " + ", ".join(f"{n} array<{t}>" for n, t in _MEMBERS.items())
+_BINS = "sequence_id long, size int, done boolean, apart string, " + ", ".join(f"{n} array<{t}>" for n, t in _MEMBERS.items())
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -38,24 +38,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return map_rows(_texts(docs), _cut(tokenizer, capacity, end_id), PIECES)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _texts(docs: DataFrame, apart: str | None = None) -> DataFrame:
+    more = [] if apart is None else [F.coalesce(F.col(f"`{apart}`").cast("string"), F.lit("")).alias("apart")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
 
 
 def _cut(tokenizer: str, capacity: int, end_id: int):
     """make() of map_rows: texts to pieces."""
     end = np.array([end_id], "<u4").tobytes()
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
 
     def make():
         encode = encoder(tokenizer)
 
         def each(rows):
-            out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, ids in zip(rows["doc_id"], encode(rows["text"]), strict=True):
+            out = {n: [] for n in names}
+            if "apart" in rows:
+                out["apart"] = []
+            for row, (doc_id, ids) in enumerate(zip(rows["doc_id"], encode(rows["text"]), strict=True)):
                 ids += end
+                if "apart" in rows:
+                    out["apart"] += [rows["apart"][row]] * -(-len(ids) // (4 * capacity))
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for n, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for n, v in zip(names, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[n].append(v)
             return out
 
@@ -94,10 +100,13 @@ def _pack(level: int, capacity: int, slack: int, make=None):
     schema = to_arrow_schema(T._parse_datatype_string(_BINS))
 
     def flush(rows: dict[str, list], base: int) -> Iterator[pa.RecordBatch]:
-        sizes = rows["size"]
-        bins = best_fit(sizes, capacity)
+        sizes, apart = rows["size"], rows["apart"]
+        alike: dict[str, list[int]] = {}
+        for i, v in enumerate(apart):
+            alike.setdefault(v, []).append(i)
+        bins = [[those[i] for i in members] for those in alike.values() for members in best_fit([sizes[i] for i in those], capacity)]
         for at in range(0, len(bins), 1000):
-            out: dict[str, list] = {n: [] for n in ("sequence_id", "size", "done", *names)}
+            out: dict[str, list] = {n: [] for n in ("sequence_id", "size", "done", "apart", *names)}
             for k, members in enumerate(bins[at : at + 1000], at):
                 total, joined = 0, {n: [] for n in names}
                 for i in members:
@@ -107,6 +116,7 @@ def _pack(level: int, capacity: int, slack: int, make=None):
                     total += sizes[i]
                 out["sequence_id"].append(base + k)
                 out["size"].append(total)
+                out["apart"].append(apart[members[0]])
                 out["done"].append(capacity - total <= slack)
                 for n in names:
                     out[n].append(joined[n])
@@ -120,7 +130,7 @@ def _pack(level: int, capacity: int, slack: int, make=None):
             for rows in slices(batch):
                 got = each(rows)
                 if "size" not in got:  # first round: each piece is an item of one member
-                    got = {"size": got["length"], **{n: [[v] for v in got[n]] for n in names[:-1]}, "offset": [[0] for _ in got["length"]]}
+                    got = {"size": got["length"], "apart": got.get("apart") or [""] * len(got["length"]), **{n: [[v] for v in got[n]] for n in names[:-1]}, "offset": [[0] for _ in got["length"]]}
                 for n, v in got.items():
                     held.setdefault(n, []).extend(v)
                 if len(held["size"]) >= TASK_BINS:
@@ -147,20 +157,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = NEARLY_FULL)
     return _rounds(first.mapInArrow(_pack(0, capacity, slack), _BINS), capacity, slack)
 
 
-def _rounds(first: DataFrame, capacity: int, slack: int) -> DataFrame:
+def _rounds(first: DataFrame, capacity: int, slack: int, apart: str | None = None) -> DataFrame:
     """The rounds after the first, and the members of all bins."""
     now = stage(first, "bins")
     packed, level, before = [], 0, 0
     tasks = max(1, len(now.inputFiles()))
     while not level or (tasks > 1 and now.count() != before):
         left = now.where("NOT done")
-        least = left.agg(F.min("size")).first()[0]
-        if least is None:
-            break
-        fits = F.col("size") <= capacity - least
-        count = left.where(fits).count()
-        if count <= 1:  # the smallest by itself, if that
+        least = left.groupBy("apart").agg(F.min("size").alias("least"))
+        # Bins that fit at least into the smallest open one of their kind; where that is it itself, none.
+        some = left.join(F.broadcast(least), "apart").where(F.col("size") + F.col("least") <= capacity)
+        kinds = some.groupBy("apart").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n > 1").collect()
+        if not kinds:
             break
+        room = F.create_map(*[F.lit(v) for r in kinds for v in (r["apart"], capacity - r["least"])])
+        fits = F.col("size") <= F.coalesce(room[F.col("apart")], F.lit(-1))
+        count = sum(r["n"] for r in kinds)
         least_tasks = -(-count // TASK_BINS)
         tasks, level = max(-(-tasks // FAN_IN), least_tasks), level + 1
         before = count if tasks == least_tasks else 0
@@ -171,10 +183,15 @@ def _rounds(first: DataFrame, capacity: int, slack: int) -> DataFrame:
     for more in packed:
         out = out.unionByName(more)
     members = F.explode(F.arrays_zip(*_MEMBERS)).alias("m")
-    return out.select("sequence_id", members).select(*[F.col(f"m.{n}").alias(n) for n in _MEMBERS if n != "offset"], "sequence_id", F.col("m.offset").alias("offset"))
+    kind = [] if apart is None else [F.col("apart").alias(apart)]
+    return out.select("sequence_id", "apart", members).select(*[F.col(f"m.{n}").alias(n) for n in _MEMBERS if n != "offset"], "sequence_id", F.col("m.offset").alias("offset"), *kind)
+
 
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = NEARLY_FULL, apart: str | None = None) -> DataFrame:
+    """pack(token_pieces(docs)), with both steps in one Python worker.
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = NEARLY_FULL) -> DataFrame:
-    """pack(token_pieces(docs)), with both steps in one Python worker."""
-    first = bound_batches(_texts(docs)).mapInArrow(_pack(0, capacity, slack, _cut(tokenizer, capacity, END_ID)), _BINS)
-    return _rounds(first, capacity, slack)
+    With the name of a column of few values as apart, such as a language, no sequence holds two of its values (null
+    counts as the empty string), and it is the last column of the result.
+    """
+    first = bound_batches(_texts(docs, apart)).mapInArrow(_pack(0, capacity, slack, _cut(tokenizer, capacity, END_ID)), _BINS)
+    return _rounds(first, capacity, slack, apart)

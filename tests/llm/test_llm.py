@@ -980,3 +980,36 @@ def test_pipeline(spark, sf_dir, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash", "decontamination", "packing"]
     for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_pipeline_goes_by_the_language_that_its_first_stage_finds(spark, sf_dir, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given = {r["doc_id"]: r for r in docs.collect()}
+    # Some claims are missing and some are wrong.
+    claim = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, F.lit("en")).otherwise(F.col("lang"))
+    docs.withColumn("lang", claim).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.language_id(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), sf_dir)
+    assert found.columns == docs.columns
+    found = {r["doc_id"]: r for r in found.collect()}
+    lettered = [k for k, r in given.items() if langid.has_letter(r["text"])]
+    assert set(found) <= set(lettered) and len(found) >= 0.99 * len(lettered)
+    changed = [k for k in found if k % 7 == 0 or k % 11 == 0]
+    assert sum(found[k]["lang"] == given[k]["lang"] for k in changed) >= 0.97 * len(changed)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r["lang"] == found[r["doc_id"]]["lang"] for r in rows)
+    by_sequence = defaultdict(set)
+    for r in rows:
+        by_sequence[r["sequence_id"]].add(r["lang"])
+    assert {len(x) for x in by_sequence.values()} == {1} and len({r["lang"] for r in rows}) > 1
+    least = sum(-(-sum(r["length"] for r in rows if r["lang"] == lang) // 2048) for lang in {r["lang"] for r in rows})
+    assert len(by_sequence) <= 1.03 * least + 4
+
+
+def test_unknown_language_is_rejected_on_a_small_table_too(spark):
+    rng = np.random.default_rng(6)
+    junk = [" ".join("".join(rng.choice(list("bcdfghjkqxzvw"), 7)) for _ in range(60)) for _ in range(20)]
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = langid.keep_known(clean.unionByName(spark.createDataFrame([(10_000_000 + k, t, None, "junk", 0) for k, t in enumerate(junk)], DOCS)))
+    assert got.where("doc_id >= 10000000").count() == 0 < got.count()
