@@ -116,7 +116,10 @@ def decode_block(bits: bytes, checkpoints: bytes, n: int, table: np.ndarray, lim
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids, n_tokens): ids with the end id, as little-endian unsigned integers of id_width(tokenizer) bytes."""
+    """(doc_id, ids, n_tokens, used, times): ids with the end id, as little-endian unsigned integers of id_width(tokenizer) bytes.
+
+    The first row of each slice of a task has the slice's counts: used are the ids that occur in it, times their numbers.
+    """
     width = id_width(tokenizer)
 
     def make():
@@ -124,11 +127,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
 
         def each(rows):
             ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(f"<u{width}") for x in encode(rows["text"])]
-            return {"doc_id": rows["doc_id"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids]}
+            times = np.bincount(np.concatenate(ids))
+            used = np.flatnonzero(times)
+            none = [None] * (len(ids) - 1)
+            counts = {"used": [used.astype("<u4").tobytes(), *none], "times": [times[used].astype("<u4").tobytes(), *none]}
+            return {"doc_id": rows["doc_id"], "ids": [x.tobytes() for x in ids], "n_tokens": [len(x) for x in ids], **counts}
 
         return each
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, ids binary, n_tokens long")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, ids binary, n_tokens long, used binary, times binary")
 
 
 def id_width(tokenizer: str) -> int:
@@ -138,17 +145,20 @@ def id_width(tokenizer: str) -> int:
     return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
 
 
-def id_counts(tokens: DataFrame, width: int) -> np.ndarray:
-    """Global count of each id. Tasks count their own rows; the result has one row for each id of the vocabulary."""
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """Global count of each id, from the counts of tokenize's slices. The result has one row for each id of the vocabulary."""
 
     def make():
         def each(rows):
-            ids, n = np.unique(np.frombuffer(b"".join(rows["ids"]), f"<u{width}"), return_counts=True)
-            return {"id": ids.tolist(), "n": n.tolist()}
+            ids, times = (np.frombuffer(b"".join(rows[c]), "<u4") for c in ("used", "times"))
+            n = np.bincount(ids, times).astype(np.int64)
+            used = np.flatnonzero(n)
+            return {"id": used.tolist(), "n": n[used].tolist()}
 
         return each
 
-    found = map_rows(tokens.select("ids"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = tokens.select("used", "times").where(F.col("used").isNotNull())
+    found = map_rows(counted, make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -168,7 +178,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark = docs.sparkSession
     width = id_width(tokenizer)
     tokens = stage(tokenize(docs, tokenizer), "ids")
-    lengths = code_lengths(id_counts(tokens, width))
+    lengths = code_lengths(id_counts(tokens))
     codes = canonical_codes(lengths)
     book = spark.sparkContext.broadcast((lengths, codes))
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0

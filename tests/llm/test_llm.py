@@ -1013,3 +1013,12 @@ def test_unknown_language_is_rejected_on_a_small_table_too(spark):
     clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.keep_known(clean.unionByName(spark.createDataFrame([(10_000_000 + k, t, None, "junk", 0) for k, t in enumerate(junk)], DOCS)))
     assert got.where("doc_id >= 10000000").count() == 0 < got.count()
+
+
+def test_token_ids_are_counted_while_they_are_made(spark, odd, empty, documents):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for docs in (odd, empty, documents.limit(60)):
+        tokens = huffman.tokenize(docs, path)
+        ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in tokens.collect()), f"<u{huffman.id_width(path)}")
+        got, want = huffman.id_counts(tokens.drop("ids")), np.bincount(ids, minlength=1)
+        assert got.tolist() == want.tolist()
