@@ -1022,3 +1022,18 @@ def test_token_ids_are_counted_while_they_are_made(spark, odd, empty, documents)
         ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in tokens.collect()), f"<u{huffman.id_width(path)}")
         got, want = huffman.id_counts(tokens.drop("ids")), np.bincount(ids, minlength=1)
         assert got.tolist() == want.tolist()
+
+
+def test_byte_level_texts_are_split_by_their_bytes():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    near = [*"aéß×÷Āñ.,-_'1²½\n\t \x1c\x00😀я中\u0301\u200bªº", " ", " ", "  ", "\n\n", " the", "Word", "'s", "'ll", "’s", "<|", "x" * 70]
+    near += [*"\x85\xa0\u1680\u2003\u200a\u2028\u202f\u205f\u3000"]
+    texts = [None, "", " ", "\n"] + ["".join(rng.choice(near if k % 3 else [*near, "<|endoftext|>"], rng.integers(1, 40))) for k in range(3000)]
+    encode, untouched = WordEncoder(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    split, by_pattern = encode._split, []
+    encode._split = lambda text: by_pattern.append(text) or split(text)
+    whole = [np.array(e.ids, "<u4").tobytes() for e in untouched.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encode(texts) == whole == encode(texts)
+    assert by_pattern == 2 * [t for t in texts if t and "<|endoftext|>" in t]
