@@ -12,10 +12,13 @@ from lacuna.operators import gnn, graph, grow, lineage, merge, profile, raster,
 from lacuna.sources.staging import stage
 
 
-def classify_points(points: DataFrame, edges: DataFrame, names: list[str], weights: gnn.Weights, config: SnapshotConfig | None = None) -> DataFrame:
-    """points with score and inner: normalised features, one network pass over the whole graph, threshold."""
+def classify_points(points: DataFrame, edges: DataFrame | graph.Within, names: list[str], weights: gnn.Weights, config: SnapshotConfig | None = None) -> DataFrame:
+    """points with score and inner: normalised features, one network pass over the whole graph, threshold.
+
+    edges: pairs of node ids (src, dst), or a radius: all pairs of points that are closer, of which none is written.
+    """
     config = config or SnapshotConfig()
-    adj = stage(graph.adjacency(graph.canonical_edges(edges)), "adjacency")
+    adj = edges if isinstance(edges, graph.Within) else stage(graph.adjacency(graph.canonical_edges(edges)), "adjacency")
     feats = stage(profile.features(points, names, config.normalize, config.z_bin_size, config.r_bin_size), "features")
     scored = gnn.softmax_score(gnn.forward(feats, adj, [f"f{k}" for k in range(len(names))], weights), weights.attention.shape[1])
     return points.join(scored, "node_id").withColumn("inner", F.col("score") > config.detection_threshold)

@@ -456,7 +456,7 @@ def classify_particles(spark, sf_dir):
     """The whole scoring of points: profiles, scaling, network, threshold."""
     points = stage(V.particles(spark, sf_dir), "points")
     config = SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05)
-    got = classify_points(points, graph.radius_edges(points, RADIUS), ["density", "temperature"], TOY, config)
+    got = classify_points(points, graph.Within(RADIUS), ["density", "temperature"], TOY, config)
     return got.select("node_id", F.round("score", 6).alias("score"), "inner")
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators import ball
+from lacuna.operators.graph import Within
 from lacuna.sources.staging import held_settings, stage
 
 #: A chunk of at most so many edge ends is scored in one task, without a shuffle between the message rounds.
@@ -71,12 +73,15 @@ def _dense(nodes: DataFrame, names: list[str], w: Weights) -> DataFrame:
     return nodes.select("node_id", *names, *[f"mean_{n}" for n in names]).mapInPandas(run, f"node_id long, {cols}")
 
 
-def forward(nodes: DataFrame, adj: DataFrame, names: list[str], w: Weights) -> DataFrame:
-    """(node_id, o0, o1, ...): output of the network for each node; adj is symmetric and without loops.
+def forward(nodes: DataFrame, adj: DataFrame | Within, names: list[str], w: Weights) -> DataFrame:
+    """(node_id, o0, o1, ...): output of the network for each node; adj is symmetric and without loops, or a radius around the nodes' x, y, z.
 
     Both message rounds are joins and map-side combined sums over scalar columns. Attention is a softmax
-    over the neighbours and the node itself: first the largest logit of each head, then sums shifted by it.
+    over the neighbours and the node itself: first the largest logit of each head, then sums shifted by it. Of a
+    radius no pair is written (ball.forward).
     """
+    if isinstance(adj, Within):
+        return ball.forward(nodes, adj.r, names, w)
     heads, out = w.attention.shape
     made = _dense(neighbour_means(nodes, adj, names), names, w)
     left = [f"l{k}" for k in range(heads * out)]

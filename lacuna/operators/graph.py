@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,13 @@ from lacuna.sources.staging import small, stage
 AHEAD_8, AHEAD_4 = ((0, 1), (1, -1), (1, 0), (1, 1)), ((0, 1), (1, 0))
 
 
+@dataclass(frozen=True)
+class Within:
+    """The graph of all pairs of points (node_id, x, y, z) closer than r, as a rule instead of a table: radius_edges without its rows."""
+
+    r: float
+
+
 def canonical_edges(pairs: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (src, dst) with src < dst; loops and null ends are dropped."""
     a, b = F.col(src), F.col(dst)
