@@ -25,11 +25,11 @@ def classify_points(points: DataFrame, edges: DataFrame | graph.Within, names: l
 
 
 def classify_chunks(
-    points: DataFrame, held: DataFrame, edges: DataFrame, names: list[str], weights: gnn.Weights, config: SnapshotConfig | None = None, cache: str | None = None, attributes: dict | None = None, force: bool = False
+    points: DataFrame, held: DataFrame, edges: DataFrame | graph.Within, names: list[str], weights: gnn.Weights, config: SnapshotConfig | None = None, cache: str | None = None, attributes: dict | None = None, force: bool = False
 ) -> DataFrame:
     """points with score and inner, scored chunk by chunk: features of the whole snapshot, the network on each chunk's own edges.
 
-    held: (chunk, node_id) with halos; edges: (chunk, src, dst), raw. Of a node in several chunks the highest chunk counts, a node of
+    held: (chunk, node_id) with halos; edges: (chunk, src, dst), raw, or a radius for each chunk's own points. Of a node in several chunks the highest chunk counts, a node of
     none scores 0. With cache, a path (config.score_path), scores are read from there if they were made with the
     same attributes (model, snapshot) and feature settings, unless forced; the threshold is applied to them afterwards.
     """

@@ -484,8 +484,8 @@ def classify_chunk_tables(spark, sf_dir):
 def chunk_scores_cached(spark, sf_dir):
     """The same by way of a saved score table, read a second time under another threshold."""
     path = stage_path(spark, "scores")
-    points, held, edges = _chunked(spark, sf_dir)
-    make = lambda level: classify_chunks(points, held, edges, ["density", "temperature"], TOY, SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05, detection_threshold=level), path, {"model": "toy"})
+    points, held, _ = _chunked(spark, sf_dir)
+    make = lambda level: classify_chunks(points, held, graph.Within(RADIUS), ["density", "temperature"], TOY, SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05, detection_threshold=level), path, {"model": "toy"})
     make(0.5)
     return make(0.9).select("node_id", F.round("score", 6).alias("score"), "inner")
 

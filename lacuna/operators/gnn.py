@@ -176,13 +176,17 @@ def forward_in_chunks(nodes: DataFrame, edges: DataFrame, names: list[str], w: W
     return sent.groupBy("chunk", "node_id").agg(*_attended(w)).select("chunk", "node_id", *_outputs(w))
 
 
-def score_chunks(features: DataFrame, held: DataFrame, edges: DataFrame, names: list[str], w: Weights, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def score_chunks(features: DataFrame, held: DataFrame, edges: DataFrame | Within, names: list[str], w: Weights, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(node_id, score) of the nodes that chunks hold: each chunk is scored on its own raw edges, and of a node in several the highest chunk counts.
 
-    features: (node_id, names...) of all nodes. held: (chunk, node_id), halos included. edges: (chunk, src, dst). Nodes that
+    features: (node_id, names...) of all nodes. held: (chunk, node_id), halos included. edges: (chunk, src, dst), or a radius: the pairs of
+    a chunk's nodes that are closer, by features' x, y, z; no pair is written then. Nodes that
     features doesn't have are no part of a chunk, and nodes of no chunk get no row. A chunk is the unit of work
     (masks.chunk_count sizes them); if one has over local_rows edge ends, rounds are dealt by (chunk, node) instead.
     """
+    if isinstance(edges, Within):
+        nodes = stage(held.select("chunk", "node_id").distinct().join(features.select("node_id", *ball.AXES, *names), "node_id"), "held")
+        return last_chunk_wins(softmax_score(ball.forward(nodes, edges.r, names, w, ("chunk",)), w.attention.shape[1], keep=("chunk", "node_id")))
     nodes = stage(held.select("chunk", "node_id").distinct().join(features.select("node_id", *names), "node_id"), "held")
     edges = stage(edges.select("chunk", "src", "dst"), "chunk_edges")
     most = edges.groupBy("chunk").count().agg(F.max("count")).first()[0] or 0
