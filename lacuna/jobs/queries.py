@@ -460,11 +460,10 @@ def classify_particles(spark, sf_dir):
     return got.select("node_id", F.round("score", 6).alias("score"), "inner")
 
 
-def _chunked(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Particles, eight azimuthal chunks with their halos, and each chunk's own radius graph."""
+def _chunked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Particles, and eight azimuthal chunks with their halos."""
     points = stage(V.particles(spark, sf_dir), "points")
-    held = stage(graph.in_chunks(M.with_chunks(points, 8, 0.05).select("chunk", "id"), points), "held")
-    return points, held, graph.chunk_edges(graph.radius_edges(points, RADIUS), held)
+    return points, stage(graph.in_chunks(M.with_chunks(points, 8, 0.05).select("chunk", "id"), points), "held")
 
 
 def chunk_members(spark, sf_dir):
@@ -475,16 +474,16 @@ def chunk_members(spark, sf_dir):
 
 def classify_chunk_tables(spark, sf_dir):
     """The scoring of points chunk by chunk on halo edges: features of all, a graph for each chunk, the last chunk wins."""
-    points, held, edges = _chunked(spark, sf_dir)
+    points, held = _chunked(spark, sf_dir)
     config = SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05)
-    got = classify_chunks(points, held, edges, ["density", "temperature"], TOY, config)
+    got = classify_chunks(points, held, graph.Within(RADIUS), ["density", "temperature"], TOY, config)
     return got.select("node_id", F.round("score", 6).alias("score"), "inner")
 
 
 def chunk_scores_cached(spark, sf_dir):
     """The same by way of a saved score table, read a second time under another threshold."""
     path = stage_path(spark, "scores")
-    points, held, _ = _chunked(spark, sf_dir)
+    points, held = _chunked(spark, sf_dir)
     make = lambda level: classify_chunks(points, held, graph.Within(RADIUS), ["density", "temperature"], TOY, SnapshotConfig(z_bin_size=0.05, r_bin_size=0.05, detection_threshold=level), path, {"model": "toy"})
     make(0.5)
     return make(0.9).select("node_id", F.round("score", 6).alias("score"), "inner")
