@@ -441,8 +441,8 @@ def graphconv_mean(spark, sf_dir):
 
 
 def gnn_softmax(spark, sf_dir):
-    points, adj = _points(spark, sf_dir)
-    got = gnn.softmax_score(gnn.forward(points, adj, ["density", "temperature"], TOY))
+    points = stage(V.particles(spark, sf_dir), "points")
+    got = gnn.softmax_score(gnn.forward(points, graph.Within(RADIUS), ["density", "temperature"], TOY))
     return got.select("node_id", F.round("score", 6).alias("score"))
 
 

@@ -117,7 +117,7 @@ def test_senders_by_and_by(monkeypatch, kind):
                 assert np.allclose(found[h, :, i], (a * values.reshape(2, 2, -1)[h][:, near]).sum(1) / a.sum())
 
 
-@pytest.mark.parametrize("name", ["classify_particles", "chunk_scores_cached", "classify_chunk_tables"])
+@pytest.mark.parametrize("name", ["classify_particles", "chunk_scores_cached", "classify_chunk_tables", "gnn_softmax"])
 def test_no_pair_is_written(spark, tmp_path, name):
     """300 points next to each other have 44,850 pairs; no written table has more than a few rows a point."""
     rng = np.random.default_rng(7)
